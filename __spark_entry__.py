@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # n
 
 from vistrata.functions.columns import col  # noqa: E402
 from vistrata.operators import (  # noqa: E402
-    association, chartdata, clean, encode, evaluate, features, profile, quantiles, transform,
+    association, chartdata, clean, encode, evaluate, features, knn, models, profile, quantiles,
+    split, transform,
 )
 from vistrata.plans.session import scratch_path  # noqa: E402
-from vistrata.sources import files, report  # noqa: E402
+from vistrata.sources import files, modelstore, report  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -331,11 +332,138 @@ def _chart_queries() -> dict[str, Query]:
     }
 
 
+REGRESSORS = {
+    "linear_regression": "Linear Regression", "ridge": "Ridge", "lasso": "Lasso",
+    "random_forest_regressor": "Random Forest", "gradient_boosting_regressor": "Gradient Boosting",
+    "decision_tree_regressor": "Decision Tree", "knn_regressor": "KNN", "svr": "SVR",
+}
+CLASSIFIERS = {
+    "logistic_regression": "Logistic Regression", "random_forest_classifier": "Random Forest",
+    "gradient_boosting_classifier": "Gradient Boosting",
+    "decision_tree_classifier": "Decision Tree", "knn_classifier": "KNN", "svm": "SVM",
+}
+INPUTS = ["quantity", "discount", "tax"]
+
+
+def _with_targets(df: DataFrame) -> DataFrame:
+    """A numeric and a two-class target that depend on the features."""
+    revenue = F.col("quantity") * (1 - F.col("discount"))
+    return df.withColumn("revenue", revenue).withColumn(
+        "tier", F.when(revenue > 24, "high").when(revenue <= 24, "low"))
+
+
+def _model_queries() -> dict[str, Query]:
+    def trained(name: str, kind: str) -> Query:
+        target = "revenue" if kind == "regression" else "tier"
+
+        def run(df: DataFrame) -> DataFrame:
+            model = models.train_model(
+                _with_targets(df), target, name, kind, feature_cols=INPUTS, cv_folds=0)
+            rows = [("train_samples", float(model.train_samples)),
+                    ("test_samples", float(model.test_samples)), *model.metrics.items()]
+            return df.sparkSession.createDataFrame(rows, "metric string, value double")
+        return on_messy(run)
+
+    def simple(name: str) -> Query:
+        def run(df: DataFrame) -> DataFrame:
+            model = models.fit_all(_with_targets(df), "revenue", name, feature_cols=["quantity"])
+            return rounded(models.coefficients(model, df.sparkSession), 4)
+        return on_messy(run)
+
+    def predict_linear(df: DataFrame) -> DataFrame:
+        model = models.fit_all(
+            _with_targets(df), "revenue", "Linear Regression", feature_cols=["quantity"])
+        return rounded(model.predict(df).select(*KEYS, "prediction"))
+
+    def vectors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        vec = F.col("embedding").cast("array<double>").alias("vec")
+        return (df.select(F.col("vec_id").alias("id"), vec, "label"),
+                df.select(F.col("vec_id").alias("qid"), vec))
+
+    def knn_regress(df: DataFrame) -> DataFrame:
+        return rounded(knn.average(knn.nearest_neighbours(*vectors(df), k=5)))
+
+    def prepared(df: DataFrame) -> DataFrame:
+        data = split.prepare(_with_targets(df), "tier", "classification", INPUTS)
+        return rounded(data.rows.groupBy("label").agg(
+            F.count("*").alias("n"), *[F.sum(c).alias(n) for c, n in zip(data.inputs, INPUTS)]), 2)
+
+    def split_sizes(df: DataFrame) -> DataFrame:
+        source = _with_targets(df)
+        by_class = split.mark_test(split.prepare(source, "tier", "classification", INPUTS))
+        whole = split.mark_test(split.prepare(source, "revenue", "regression", INPUTS))
+        counts = [F.count("*").alias("n"), F.count_if("_test").alias("n_test")]
+        return by_class.groupBy(F.col("label").cast("int").alias("label")).agg(*counts).unionByName(
+            whole.agg(F.lit(-1).alias("label"), *counts))
+
+    def cv_scores(df: DataFrame) -> DataFrame:
+        data = split.prepare(_with_targets(df), "revenue", "regression", INPUTS)
+        found = models.cross_validate(data, "Linear Regression", 5)
+        rows = [(i, s, found["mean"], found["std"]) for i, s in enumerate(found["scores"])]
+        return df.sparkSession.createDataFrame(
+            rows, "fold int, score double, mean double, std double")
+
+    def compared(df: DataFrame) -> DataFrame:
+        return models.compare_models(
+            _with_targets(df), "revenue", ["Lasso", "Decision Tree", "Linear Regression"],
+            feature_cols=INPUTS, cv_folds=3)
+
+    def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _with_targets(messy(spark, sf_dir))
+        model = models.fit_all(df, "tier", "Decision Tree", "classification", INPUTS)
+        path = scratch_path(spark, "model")
+        modelstore.save_model(model, spark, path)
+        again = modelstore.load_model(spark, path)
+        first = model.predict(df).select(*KEYS, F.col("prediction_label").alias("before"))
+        return again.predict(df).select(
+            F.col("prediction_label").alias("after")).groupBy("after").count().join(
+            first.groupBy(F.col("before").alias("after")).agg(F.count("*").alias("before")), "after")
+
+    def preview(df: DataFrame) -> DataFrame:
+        model = models.fit_all(
+            _with_targets(df), "tier", "Logistic Regression", "classification", INPUTS)
+        return model.predict(df).select(*INPUTS, "prediction_label").limit(500)
+
+    def confusion(df: DataFrame) -> DataFrame:
+        model = models.train_model(_with_targets(df), "tier", "Decision Tree", "classification",
+                                   feature_cols=INPUTS, cv_folds=0)
+        return model.confusion()
+
+    def importances(df: DataFrame) -> DataFrame:
+        source = _with_targets(df).select(*INPUTS, "revenue")
+        return models.rf_feature_importance(source, "revenue", n_estimators=20)
+
+    return {
+        "prepare_features": on_messy(prepared),
+        "split_sizes": on_messy(split_sizes),
+        "linreg_simple": simple("Linear Regression"),
+        "ridge_simple": simple("Ridge"),
+        "lasso_simple": simple("Lasso"),
+        "predict_linear": on_messy(predict_linear),
+        "knn_neighbours": on_table(
+            "embeddings", lambda d: knn.nearest_neighbours(*vectors(d), k=5)
+            .select("qid", "id", "rank")),
+        "knn_classify": on_table("embeddings", lambda d: knn.vote(
+            knn.nearest_neighbours(*vectors(d), k=5)).drop("votes")),
+        "knn_regress": on_table("embeddings", knn_regress),
+        "cv_scores": on_messy(cv_scores),
+        "compare_models": on_messy(compared),
+        "model_comparison": on_messy(lambda d: chartdata.model_comparison(compared(d), "r2")),
+        "model_roundtrip": roundtrip,
+        "prediction_preview": on_messy(preview),
+        "test_confusion": on_messy(confusion),
+        "rf_importance": on_messy(importances),
+        "importance_bars": on_messy(lambda d: chartdata.importance_bars(importances(d))),
+        **{f"model_{key}": trained(name, "regression") for key, name in REGRESSORS.items()},
+        **{f"model_{key}": trained(name, "classification") for key, name in CLASSIFIERS.items()},
+    }
+
+
 def queries() -> dict[str, Query]:
     return {
         **_profile_queries(), **_association_queries(), **_clean_queries(),
         **_transform_queries(), **_encode_queries(), **_feature_queries(),
-        **_evaluation_queries(), **_chart_queries(),
+        **_evaluation_queries(), **_chart_queries(), **_model_queries(),
     }
 
 
@@ -918,8 +1046,55 @@ def _chart_sql() -> dict[str, str]:
     }
 
 
+def _model_sql() -> dict[str, str]:
+    complete = """, p AS (SELECT *, quantity * (1 - discount) AS revenue,
+        CASE WHEN quantity * (1 - discount) > 24 THEN 0 ELSE 1 END AS tier FROM messy
+        WHERE quantity IS NOT NULL AND discount IS NOT NULL),
+    s AS (SELECT avg(quantity) AS mx, avg(revenue) AS my, count(*) AS n,
+                 regr_sxy(revenue, quantity) AS sxy, regr_sxx(revenue, quantity) AS sxx FROM p)"""
+
+    def line(slope: str) -> str:
+        return with_sql(f"SELECT 'intercept' AS term, round(my - {slope} * mx, 4) AS value FROM s"
+                        f" UNION ALL SELECT 'quantity', round({slope}, 4) FROM s", complete)
+
+    near = """WITH d AS (SELECT q.vec_id AS qid, t.vec_id AS id, t.label,
+        round(sqrt(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], t.embedding::DOUBLE[]),
+              lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS distance
+        FROM embeddings q CROSS JOIN embeddings t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d),
+    n AS (SELECT * FROM r WHERE rank <= 5)"""
+    sizes = """, c AS (SELECT tier AS label, count(*) AS n FROM p GROUP BY tier),
+    t AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(ceil(sum(n) * 0.2::DOUBLE) AS BIGINT) AS want
+          FROM c),
+    f AS (SELECT label, c.n, floor(t.want * c.n / t.n::DOUBLE) AS base,
+                 t.want * c.n / t.n::DOUBLE - floor(t.want * c.n / t.n::DOUBLE) AS rest FROM c, t),
+    o AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS i FROM f)
+    SELECT label, n, CAST(base + CASE WHEN i <= (SELECT want FROM t) - (SELECT sum(base) FROM f)
+           THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM o
+    UNION ALL SELECT -1, n, want FROM t"""
+    return {
+        "prepare_features": with_sql(
+            "SELECT CAST(tier AS DOUBLE) AS label, count(*) AS n, round(sum(quantity), 2)"
+            " AS quantity, round(sum(discount), 2) AS discount, round(sum(tax), 2) AS tax FROM p"
+            " GROUP BY tier", complete),
+        "split_sizes": with_sql("", complete + sizes),
+        "linreg_simple": line("sxy / sxx"),
+        "ridge_simple": line("sxy / (sxx + 1)"),
+        "lasso_simple": line("sign(sxy) * greatest(abs(sxy) / n - 1, 0) / (sxx / n)"),
+        "predict_linear": with_sql(
+            f"SELECT {KEY_SQL}, round(my - sxy / sxx * mx + sxy / sxx * coalesce(quantity, 0), 6)"
+            " AS prediction FROM messy, s", complete),
+        "knn_neighbours": near + " SELECT qid, id, rank FROM n",
+        "knn_classify": near + """, v AS (SELECT qid, label, count(*) AS votes FROM n GROUP BY ALL)
+            SELECT qid, CAST(first(label ORDER BY votes DESC, label) AS DOUBLE) AS prediction
+            FROM v GROUP BY qid""",
+        "knn_regress": near + " SELECT qid, round(avg(label), 6) AS prediction FROM n GROUP BY qid",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        **_model_sql(),
         **_profile_sql(), **_association_sql(), **_clean_sql(), **_transform_sql(),
         **_encode_sql(), **_feature_sql(), **_evaluation_sql(), **_chart_sql(),
     }

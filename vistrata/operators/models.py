@@ -88,8 +88,7 @@ REGRESSORS: dict[str, Callable[[FitContext, dict], Any]] = {
         maxDepth=p.get("depth", TREE_DEPTH), seed=SEED),
     "KNN": lambda c, p: None,
     "SVR": lambda c, p: LinearRegression(
-        loss="huber", regParam=1.0 / c.n, standardization=False, solver="l-bfgs",
-        maxIter=p.get("max_iter", 100)),
+        loss="huber", regParam=1.0 / c.n, solver="l-bfgs", maxIter=p.get("max_iter", 200)),
 }
 KERNEL_MODELS = ("SVM", "SVR")
 
