@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,7 +24,9 @@ from vistrata.functions.columns import as_double, col, normalise_missing, requir
 from vistrata.operators.ordered import running_totals
 
 # Distinct values that Spark's exact aggregate may hold in one buffer.
-BUFFERED_VALUES = 1_000_000
+BUFFERED_VALUES = 100_000
+# The estimate of distinct values has a standard error of 5 %: ten of them.
+SKETCH_ROOM = 1.5
 # Rows of a bracket that may be brought to the driver to finish a rank.
 BRACKET_ROWS = 20_000
 # percentile_approx keeps ranks within n / SKETCH_ACCURACY.
@@ -37,18 +39,19 @@ def interpolate(low: float, high: float, fraction: float) -> float:
 
 
 @dataclass
-class _Rank:
-    """Search state of one order statistic of one column."""
+class _Bracket:
+    """Search state of neighbouring order statistics of one column."""
 
     source: Column
-    rank: int
-    low: float | None
-    high: float | None
-    # An open bracket excludes its end values: the rank is known not to be on them.
+    # Ranks (0-based) still to be found, and those found.
+    ranks: set[int]
+    low: float | None = None
+    high: float | None = None
+    # An open bracket excludes its end values: no open rank lies on them.
     open: bool = False
     slack: int = 1
-    value: float | None = None
     below: int = 0
+    found: dict[int, float] = field(default_factory=dict)
 
     def inside(self) -> Column:
         test = self.source.isNotNull()
@@ -66,63 +69,70 @@ class _Rank:
     def at(self, end: float | None) -> Column:
         return F.lit(False) if end is None or self.open else self.source == end
 
+    def resolve(self, rank: int, value: float) -> None:
+        self.ranks.discard(rank)
+        self.found[rank] = value
 
-def _locate(df: DataFrame, ranks: list[_Rank], bracket_rows: int) -> None:
-    """Fill ``value`` of every rank by repeated narrowing."""
-    active, finished = list(ranks), []
+
+def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
+    """Find all ranks of all brackets by repeated narrowing."""
+    active, readable = list(brackets), []
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     while active:
         exprs = {}
-        for i, r in enumerate(active):
-            exprs[f"{i}_below"] = F.count_if(r.under())
-            exprs[f"{i}_inside"] = F.count_if(r.inside())
-            exprs[f"{i}_at_low"] = F.count_if(r.at(r.low))
-            exprs[f"{i}_at_high"] = F.count_if(r.at(r.high))
+        for i, b in enumerate(active):
+            exprs[f"{i}_below"] = F.count_if(b.under())
+            exprs[f"{i}_inside"] = F.count_if(b.inside())
+            exprs[f"{i}_at_low"] = F.count_if(b.at(b.low))
+            exprs[f"{i}_at_high"] = F.count_if(b.at(b.high))
             exprs[f"{i}_grid"] = F.percentile_approx(
-                F.when(r.inside(), r.source), grid, SKETCH_ACCURACY
+                F.when(b.inside(), b.source), grid, SKETCH_ACCURACY
             )
         seen = fit_scalars(df, exprs)
         pending = []
-        for i, r in enumerate(active):
+        for i, b in enumerate(active):
             below, inside, points = (seen[f"{i}_{k}"] for k in ("below", "inside", "grid"))
-            place = r.rank - below
-            if not 0 <= place < inside:
-                # The bracket missed the rank: open it up and look again.
-                r.low, r.high, r.open, r.slack = None, None, False, r.slack * 4
-                pending.append(r)
-            elif place < seen[f"{i}_at_low"]:
-                r.value = r.low
-            elif place >= inside - seen[f"{i}_at_high"]:
-                r.value = r.high
-            elif inside <= bracket_rows:
-                r.below = below
-                finished.append(r)
-            else:
-                _narrow(r, points, place / inside * GRID)
-                pending.append(r)
+            if min(b.ranks) < below or max(b.ranks) >= below + inside:
+                # The bracket missed a rank: open it up and look again.
+                b.low, b.high, b.open, b.slack = None, None, False, b.slack * 4
+                pending.append(b)
+                continue
+            for rank in sorted(b.ranks):
+                if rank - below < seen[f"{i}_at_low"]:
+                    b.resolve(rank, b.low)
+                elif rank - below >= inside - seen[f"{i}_at_high"]:
+                    b.resolve(rank, b.high)
+            if b.ranks and inside <= bracket_rows:
+                b.below = below
+                readable.append(b)
+            elif b.ranks:
+                _narrow(b, points, below, inside)
+                pending.append(b)
         active = pending
-    if finished:
-        _read_brackets(df, finished)
-
-
-def _narrow(r: _Rank, points: list[float], place: float) -> None:
-    """Next bracket around a grid position; a heavy value may fill a whole bracket,
-    so one that did not shrink is continued without its ends."""
-    first, last = math.floor(place) - r.slack, math.ceil(place) + r.slack
-    low = points[first] if first >= 0 else r.low
-    high = points[last] if last <= GRID else r.high
-    if (low, high) == (r.low, r.high):
-        r.open = True
+    if readable:
+        _read(df, readable)
+
+
+def _narrow(b: _Bracket, points: list[float], below: int, inside: int) -> None:
+    """Next bracket around the grid positions of the ranks. A heavy value may fill a
+    whole bracket, so one that did not shrink is continued without its ends."""
+    first = math.floor((min(b.ranks) - below) / inside * GRID) - b.slack
+    last = math.ceil((max(b.ranks) - below) / inside * GRID) + b.slack
+    low = points[first] if first >= 0 else b.low
+    high = points[last] if last <= GRID else b.high
+    if (low, high) == (b.low, b.high):
+        b.open = True
     else:
-        r.low, r.high, r.open = low, high, False
+        b.low, b.high, b.open = low, high, False
 
 
-def _read_brackets(df: DataFrame, ranks: list[_Rank]) -> None:
+def _read(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Finish brackets with few rows from their value counts."""
     hits = F.array_compact(
         F.array(
             *[
-                F.when(r.inside(), F.struct(F.lit(i).alias("i"), r.source.alias("v")))
-                for i, r in enumerate(ranks)
+                F.when(b.inside(), F.struct(F.lit(i).alias("i"), b.source.alias("v")))
+                for i, b in enumerate(brackets)
             ]
         )
     )
@@ -130,10 +140,11 @@ def _read_brackets(df: DataFrame, ranks: list[_Rank]) -> None:
     rows = df.select(F.explode(hits).alias("hit")).groupBy("hit.i", "hit.v").count().collect()
     for i, value, n in rows:
         counts.setdefault(i, []).append((value, n))
-    for i, r in enumerate(ranks):
+    for i, b in enumerate(brackets):
         pairs = sorted(counts[i])
         ends = list(accumulate(n for _, n in pairs))
-        r.value = pairs[bisect_right(ends, r.rank - r.below)][0]
+        for rank in list(b.ranks):
+            b.resolve(rank, pairs[bisect_right(ends, rank - b.below)][0])
 
 
 def exact_quantiles(
@@ -149,62 +160,60 @@ def exact_quantiles(
     sizes = fit_scalars(
         clean,
         {f"n_{c}": F.count(col(c)) for c in columns}
-        | {f"d_{c}": F.approx_count_distinct(col(c), 0.02) for c in columns},
+        | {f"d_{c}": F.approx_count_distinct(col(c)) for c in columns},
     )
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     filled = [c for c in columns if sizes[f"n_{c}"]]
-    # 1.2: six standard errors of the distinct-count sketch.
     buffered = [
-        c for c in filled if min(sizes[f"n_{c}"], 1.2 * sizes[f"d_{c}"]) <= buffered_values
+        c for c in filled
+        if min(sizes[f"n_{c}"], SKETCH_ROOM * sizes[f"d_{c}"]) <= buffered_values
     ]
     narrowed = [c for c in filled if c not in buffered]
 
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    exprs = {f"q_{c}": F.percentile(col(c), wanted) for c in buffered}
-    starts: dict[tuple[str, int], tuple[str, str]] = {}
-    for c in narrowed:
-        n = sizes[f"n_{c}"]
-        for rank in _ranks(n, probabilities):
-            margin = 2.0 / SKETCH_ACCURACY
-            edges = [max(0.0, rank / n - margin), min(1.0, (rank + 1) / n + margin)]
-            exprs[f"s_{c}_{rank}"] = F.percentile_approx(
-                col(c), F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY
-            )
-            starts[c, rank] = edges
-    found = fit_scalars(clean, exprs) if exprs else {}
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = [e for p in probabilities for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = F.array(*[F.lit(e) for e in edges])
+    found = fit_scalars(
+        clean,
+        {c: F.percentile(col(c), wanted) for c in buffered}
+        | {c: F.percentile_approx(col(c), sketch, SKETCH_ACCURACY) for c in narrowed},
+    ) if filled else {}
     for c in buffered:
-        result[c] = list(found[f"q_{c}"])
+        result[c] = list(found[c])
 
-    searches = {}
-    for (c, rank), edges in starts.items():
-        low, high = found[f"s_{c}_{rank}"]
-        searches[c, rank] = _Rank(
-            col(c), rank, low if edges[0] > 0 else None, high if edges[1] < 1 else None
-        )
-    if searches:
-        _locate(clean, list(searches.values()), bracket_rows)
+    brackets: dict[tuple[str, int], _Bracket] = {}
     for c in narrowed:
         n = sizes[f"n_{c}"]
         for j, p in enumerate(probabilities):
             place = p * (n - 1)
-            low, high = math.floor(place), math.ceil(place)
-            result[c][j] = interpolate(
-                searches[c, low].value, searches[c, high].value, place - low
+            brackets[c, j] = _Bracket(
+                col(c), {math.floor(place), math.ceil(place)},
+                found[c][2 * j] if p > margin else None,
+                found[c][2 * j + 1] if p < 1 - margin else None,
             )
+    if brackets:
+        _locate(clean, list(brackets.values()), bracket_rows)
+    for (c, j), b in brackets.items():
+        place = probabilities[j] * (sizes[f"n_{c}"] - 1)
+        low, high = math.floor(place), math.ceil(place)
+        result[c][j] = interpolate(b.found[low], b.found[high], place - low)
     return result
 
 
-def _ranks(n: int, probabilities: list[float]) -> list[int]:
-    return sorted(
-        {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-    )
-
+def kth_smallest(
+    df: DataFrame, requests: dict[str, tuple[Column, int, float | None, float | None]]
+) -> dict[str, float]:
+    """Order statistics of numeric expressions; NULLs are skipped.
 
-def kth_smallest(df: DataFrame, requests: dict[str, tuple[Column, int]]) -> dict[str, float]:
-    """Order statistics (0-based) of numeric expressions; NULLs are skipped."""
-    searches = {name: _Rank(source, k, None, None) for name, (source, k) in requests.items()}
-    _locate(df, list(searches.values()), BRACKET_ROWS)
-    return {name: s.value for name, s in searches.items()}
+    A request is ``(expression, 0-based rank, low, high)``; the bounds are a guess
+    of where the value lies and may be None.
+    """
+    brackets = {
+        name: _Bracket(source, {k}, low, high) for name, (source, k, low, high) in requests.items()
+    }
+    _locate(df, list(brackets.values()), BRACKET_ROWS)
+    return {name: b.found[requests[name][1]] for name, b in brackets.items()}
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
@@ -238,8 +247,8 @@ def grouped_quantiles(
     )
     largest = (
         clean.groupBy(group)
-        .agg(F.count("*").alias("n"), F.approx_count_distinct("value", 0.02).alias("d"))
-        .agg(F.max(F.least(F.col("n"), F.col("d") * 1.2)), F.sum("d"))
+        .agg(F.count("*").alias("n"), F.approx_count_distinct("value").alias("d"))
+        .agg(F.max(F.least(F.col("n"), F.col("d") * SKETCH_ROOM)), F.sum("d"))
         .first()
     )
     names = [f"q{i}" for i in range(len(probabilities))]

@@ -101,6 +101,14 @@ def test_sizes(counts: dict, test_size: float) -> dict:
     return sizes
 
 
+def _border_request(h: Column, n: int, wanted: int):
+    """Where the wanted-th smallest of n uniform hashes lies, give or take eight deviations."""
+    share = wanted / n
+    reach = 8 * math.sqrt(share * (1 - share) / n) + 8 / n
+    return (h, wanted - 1, max(0.0, share - reach) * _HASH_SPACE,
+            min(1.0, share + reach) * _HASH_SPACE)
+
+
 def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """Add ``_test``: exactly ceil(n*size) rows, stratified for up to 20 classes.
 
@@ -117,16 +125,18 @@ def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED) -> DataF
         n = rows.count()
         if n < 2:
             raise ValueError("a split needs at least two complete rows")
-        border = kth_smallest(rows, {"all": (h, math.ceil(n * test_size) - 1)})["all"]
+        request = _border_request(h, n, math.ceil(n * test_size))
+        border = kth_smallest(rows, {"all": request})["all"]
         return rows.withColumn("_test", h <= F.lit(border))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(counts.values(), default=0) < 2:
         raise ValueError("the least frequent class has fewer than two rows")
     sizes = test_sizes(counts, test_size)
     wanted = {c: m for c, m in sizes.items() if m}
-    borders = kth_smallest(
-        rows, {str(c): (F.when(F.col("label") == c, h), m - 1) for c, m in wanted.items()}
-    )
+    borders = kth_smallest(rows, {
+        str(c): _border_request(F.when(F.col("label") == c, h), counts[c], m)
+        for c, m in wanted.items()
+    })
     limit = F.lit(-1.0)
     for c in wanted:
         limit = F.when(F.col("label") == c, F.lit(borders[str(c)])).otherwise(limit)
