@@ -9,13 +9,15 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+    DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel,
+    LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, GBTRegressor, LinearRegression, LinearRegressionModel,
+    RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -281,33 +283,29 @@ def _fit_neighbours(train, data: Prepared, scaled: bool, params: dict) -> Neighb
 
 
 def _estimator_model(fitted):
+    """The fitted estimator of a pipeline: its last stage, before any probability scaling."""
     if isinstance(fitted, NeighbourModel):
         return None
-    models = [s for s in fitted.stages if not isinstance(s, VectorAssembler)]
-    for stage in models:
-        if hasattr(stage, "featureImportances") or hasattr(stage, "coefficients") \
-                or hasattr(stage, "models") or hasattr(stage, "coefficientMatrix"):
-            return stage
-    return None
+    kinds = (VectorAssembler, StandardScalerModel, RandomFourierFeatures)
+    return next(s for s in fitted.stages if not isinstance(s, kinds))
 
 
 def importance(fitted, features: list[str]) -> list[tuple[str, float]]:
     """Impurity importances, or absolute coefficients where there is one per feature."""
     model = _estimator_model(fitted)
-    values: list[float] = []
-    if hasattr(model, "featureImportances"):
-        values = model.featureImportances.toArray().tolist()
-    elif hasattr(model, "models"):
-        parts = [m.featureImportances.toArray() for m in model.models
-                 if hasattr(m, "featureImportances")]
-        values = (sum(parts) / len(parts)).tolist() if parts else []
-    elif hasattr(model, "coefficientMatrix") and model.numClasses > 2:
-        values = []
-    elif hasattr(model, "coefficients"):
-        values = [abs(v) for v in model.coefficients.toArray().tolist()]
-    if len(values) != len(features):
+    if isinstance(model, OneVsRestModel):
+        trees = [m for m in model.models if isinstance(m, GBTClassificationModel)]
+        values = sum(m.featureImportances.toArray() for m in trees) / len(trees) if trees else []
+    elif isinstance(model, LogisticRegressionModel):
+        values = model.coefficientMatrix.toArray().ravel()
+    elif isinstance(model, (LinearRegressionModel, LinearSVCModel)):
+        values = model.coefficients.toArray()
+    else:
+        values = model.featureImportances.toArray() if model else []
+    kernel = model and any(isinstance(s, RandomFourierFeatures) for s in fitted.stages)
+    if kernel or len(values) != len(features):
         return []
-    ranked = sorted(zip(features, values), key=lambda pair: -pair[1])
+    ranked = sorted(zip(features, map(abs, values)), key=lambda pair: -pair[1])
     return [(name, round(float(v), 6)) for name, v in ranked]
 
 

@@ -26,21 +26,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+# Local folders made for sessions that name none, by application id.
+_own_folders: dict[str, str] = {}
+
+
 def work_directory(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the session names it.
 
-    Only where the session names none (a local test) a fresh local folder is
-    made and set on the session.
+    Only where the session names none (a local test) a fresh local folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="vistrata-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="vistrata-")
+    return _own_folders[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -57,7 +60,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A DataFrame over a few fitted scalars or already aggregated statistics."""
-    return spark.createDataFrame(rows, schema)
