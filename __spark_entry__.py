@@ -113,7 +113,7 @@ def _profile_queries() -> dict[str, Query]:
         "describe_part": on_table("part", profile.describe_numeric),
         "categorical_top5": on_messy(profile.top_values),
         "categorical_top5_documents": on_table(
-            "documents", lambda d: profile.top_values(d, ["lang", "source"])),
+            "documents", lambda d: profile.top_values(d, ["lang", "source", "text"])),
         "value_counts": on_messy(lambda d: profile.value_counts(d, "flag")),
         "value_counts_brand": on_table("part", lambda d: profile.value_counts(d, "p_brand")),
         "categorical_stats": on_messy(lambda d: profile.categorical_stats(d, "flag")),
@@ -493,10 +493,16 @@ def _describe_sql(columns: list[str], source: str) -> str:
 
 
 def _top5_sql(columns: list[str], source: str) -> str:
+    # Equal counts are ordered by value; of long texts, by their beginning and hash.
+    def key(c: str) -> str:
+        return (f"CASE WHEN length({c}::VARCHAR) > 64 THEN substring({c}::VARCHAR, 1, 64)"
+                f" || chr(0) || sha256({c}::VARCHAR) ELSE {c}::VARCHAR END")
+
     return union_sql(
-        f"SELECT '{c}' AS \"column\", value, n, rank FROM (SELECT CAST({c} AS VARCHAR) AS value,"
-        f" count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS rank"
-        f" FROM {source} WHERE {c} IS NOT NULL GROUP BY 1) WHERE rank <= 5"
+        f"SELECT '{c}' AS \"column\", value, n, rank FROM (SELECT *, row_number() OVER"
+        f" (ORDER BY n DESC, key) AS rank FROM (SELECT CAST({c} AS VARCHAR) AS value,"
+        f" {key(c)} AS key, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1, 2))"
+        " WHERE rank <= 5"
         for c in columns
     )
 
@@ -643,7 +649,7 @@ def _profile_sql() -> dict[str, str]:
         "describe_numeric": with_sql(_describe_sql(NUMERIC, "messy")),
         "describe_part": _describe_sql(["p_partkey", "p_size", "p_retailprice"], "part"),
         "categorical_top5": with_sql(_top5_sql(["flag", "status", "is_bulk"], "messy")),
-        "categorical_top5_documents": _top5_sql(["lang", "source"], "documents"),
+        "categorical_top5_documents": _top5_sql(["lang", "source", "text"], "documents"),
         "value_counts": with_sql(
             "SELECT flag AS value, count(*) AS n FROM messy WHERE flag IS NOT NULL GROUP BY flag"),
         "value_counts_brand": "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand",

@@ -31,7 +31,7 @@ def test_filters_reach_the_scan(messy):
 
 
 def test_top_values_are_limited_before_the_shuffle(messy):
-    assert count_nodes(profile.top_values(messy), "WindowGroupLimit") == 2
+    assert count_nodes(profile.top_keys(messy, ["flag", "status"], 5), "WindowGroupLimit") == 2
 
 
 def test_imputation_and_caps_are_projections(messy):

@@ -158,3 +158,20 @@ class TestDistribution:
         patterns = profile.missing_patterns(sample).collect()
         assert sum(r.row_count for r in patterns) == len(sample_pdf)
         assert isinstance(pd.DataFrame(patterns), pd.DataFrame)
+
+
+class TestLongTexts:
+    """Long texts are counted by compact keys and come back whole."""
+
+    @pytest.fixture
+    def texts(self, spark):
+        base = "x" * 80
+        rows = [(base + "a",)] * 5 + [(base + "b",)] * 3 + [("short",)] * 4 + [(base[:64],)] * 2
+        return spark.createDataFrame([*rows, (None,)], "t string")
+
+    def test_top_values(self, texts):
+        rows = profile.top_values(texts, ["t"], 3).orderBy("rank").collect()
+        assert [(r.value, r.n) for r in rows] == [("x" * 80 + "a", 5), ("short", 4), ("x" * 80 + "b", 3)]
+
+    def test_cardinality(self, texts):
+        assert profile.cardinality(texts).first().cardinality == 4

@@ -16,7 +16,7 @@ from vistrata.functions.aggregates import fit_scalars, per_column, r4, union_all
 from vistrata.functions.columns import (
     as_double, col, is_numeric, normalise_missing, require, require_numeric,
 )
-from vistrata.operators.profile import iqr_bounds
+from vistrata.operators.profile import iqr_bounds, top_values
 from vistrata.operators.quantiles import exact_quantiles
 
 IMPUTE_STRATEGIES = ("mean", "median", "mode", "constant", "drop")
@@ -36,8 +36,13 @@ def modes(df: DataFrame, names: list[str]) -> dict[str, Any]:
     Each column is counted by a distributed aggregate that reads that column
     only; no buffer holds all values of a column.
     """
+    texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    found = {}
+    if texts:
+        found = {r["column"]: r["value"] for r in top_values(df, texts, 1).collect()}
+    names = [c for c in names if c not in texts]
     if not names:
-        return {}
+        return found
     tops = []
     for i, name in enumerate(names):
         counts = df.select(col(name).alias("v")).na.drop().groupBy("v").agg(
@@ -47,7 +52,7 @@ def modes(df: DataFrame, names: list[str]) -> dict[str, Any]:
         fields = [F.col("v").alias(f"v{j}") if j == i else F.lit(None).alias(f"v{j}")
                   for j in range(len(names))]
         tops.append(best.select(F.lit(i).alias("i"), *fields))
-    return {names[r["i"]]: r[f"v{r['i']}"] for r in union_all(tops).collect()}
+    return found | {names[r["i"]]: r[f"v{r['i']}"] for r in union_all(tops).collect()}
 
 
 def _as_column_type(df: DataFrame, name: str, value: Any) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from vistrata.functions.aggregates import fit_scalars, r4
 from vistrata.functions.columns import as_double, col, normalise_missing, require
 from vistrata.operators.association import dense_cells
-from vistrata.operators.lookup import value_sizes
 from vistrata.operators.ordered import running_totals
 
 
@@ -93,9 +92,11 @@ def _score_steps(df: DataFrame, label: str, score: str, positive: Any):
     steps = rows.groupBy("score").agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
-    total = fit_scalars(rows, {"pos": F.count_if(hit), "neg": F.count_if(~hit)})
-    size = value_sizes(rows, ["score"])["score"]
-    ordered = running_totals(steps, ["score"], ["pos", "neg"], size.distinct, descending=True)
+    total = fit_scalars(rows, {
+        "pos": F.count_if(hit), "neg": F.count_if(~hit),
+        "scores": F.approx_count_distinct("score"),
+    })
+    ordered = running_totals(steps, ["score"], ["pos", "neg"], total["scores"], descending=True)
     return ordered, total
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vistrata.plans.session import materialise
 
 BLOCK_ROWS = 4_000
-MAX_PIVOTS = 200
+MAX_PIVOTS = 2_000
 ROWS_PER_PIVOT = 500
 DISTANCE_DIGITS = 9
 # Room for rounding in the bounds, relative and absolute.
@@ -57,8 +57,9 @@ def _route_queries(pivots, radius, near_cell, near_distance, k):
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1_000):
-                part = batch.iloc[start : start + 1_000]
+            step = max(1, 4_000_000 // max(1, len(near_cell), len(pivots)))
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
                 distances = _pivot_distances(_vectors(part["vec"]), pivots)
                 if len(near_cell) >= k:
                     upper = distances[:, near_cell] + near_distance

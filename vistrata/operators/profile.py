@@ -9,14 +9,16 @@ from vistrata.functions.aggregates import (
     fit_scalars, per_column, percent, r4, safe_corr, sample_skewness, union_all,
 )
 from vistrata.functions.columns import (
-    as_double, categorical_columns, col, is_numeric, non_numeric_columns, normalise_missing,
-    numeric_columns, require, require_numeric,
+    as_double, categorical_columns, col, is_numeric, normalise_missing, numeric_columns, require,
+    require_numeric,
 )
 from vistrata.operators.quantiles import exact_quantiles
 
 # Fixed values of the histogram rule: between 5 and 30 bins, one per ten values.
 MIN_BINS, MAX_BINS, VALUES_PER_BIN = 5, 30, 10
 IQR_REACH = 1.5
+# Characters up to which a text is its own key when values are counted.
+SHORT_TEXT = 64
 # Row hashes that may be broadcast when repeated rows are confirmed.
 REPEATED_HASHES = 100_000
 # Pair aggregates per job, and the number of columns from which partial cross
@@ -164,29 +166,74 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     return per_column(clean, names, stats)
 
 
+def compact_key(value: Column) -> Column:
+    """A text of at most about 130 characters that stands for the value.
+
+    Short texts are kept. A long one is cut to its beginning, which keeps the order,
+    followed by its SHA-256, which keeps different texts apart; so counting long
+    texts shuffles short keys.
+    """
+    text = value.cast("string")
+    long_key = F.concat(F.substring(text, 1, SHORT_TEXT), F.lit("\x00"), F.sha2(text, 256))
+    return F.when(F.char_length(text) > SHORT_TEXT, long_key).otherwise(text)
+
+
+def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
+    """``column, key`` for every present value of the columns."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), compact_key(col(c)).alias("key")) for c in names
+    ])
+    return df.select(F.explode(cells).alias("r")).select("r.*").filter("key is not null")
+
+
+def top_keys(df: DataFrame, names: list[str], k: int) -> DataFrame:
+    """``column, key, n, rank``: the most frequent compact keys per column."""
+    counts = _keyed(df, names).groupBy("column", "key").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("key"))
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent values of every categorical column, ties by value."""
+    """``column, value, n, rank``: the ``k`` most frequent values per categorical column.
+
+    Ties go to the smaller value (or, for long texts with the same beginning, to the
+    smaller hash). The winners are found by their compact keys; whole texts are
+    fetched for them only.
+    """
     names = columns if columns is not None else categorical_columns(df)
     if not names:
         return _empty(df, "column string, value string, n long, rank int")
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
-                      for c in names])
-        ).alias("r")
-    ).select("r.*")
-    counts = long.filter("value is not null").groupBy("column", "value").agg(
-        F.count("*").alias("n")
-    )
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    clean = normalise_missing(df)
+    best = top_keys(clean, names, k)
+    texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return best.withColumnRenamed("key", "value")
+    winners = best.collect()
+    long_keys = {c: [r["key"] for r in winners if r["column"] == c and "\x00" in r["key"]]
+                 for c in texts}
+    wanted = [
+        F.struct(F.lit(c).alias("column"), compact_key(col(c)).alias("key"), col(c).alias("value"))
+        for c in texts if long_keys[c]
+    ]
+    fetched: dict[tuple[str, str], str] = {}
+    if wanted:
+        keys = [key for part in long_keys.values() for key in part]
+        hits = clean.select(F.explode(F.array(*wanted)).alias("r")).select("r.*").filter(
+            F.col("key").isin(keys))
+        one = hits.groupBy("column", "key").agg(F.first("value").alias("value"))
+        fetched = {(r["column"], r["key"]): r["value"] for r in one.collect()}
+    rows = [(r["column"], fetched.get((r["column"], r["key"]), r["key"]), r["n"], r["rank"])
+            for r in winners]
+    return df.sparkSession.createDataFrame(rows, "column string, value string, n long, rank int")
 
 
 def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """All values with their counts, most frequent first (or the first ``limit``)."""
     require(df, column)
-    counts = _counts(df, column).orderBy(F.desc("n"), F.asc("value"))
-    return counts if limit is None else counts.limit(limit)
+    if limit is not None:
+        return top_values(df, [column], limit).select("value", "n").orderBy(
+            F.desc("n"), F.asc("value"))
+    return _counts(df, column).orderBy(F.desc("n"), F.asc("value"))
 
 
 def _counts(df: DataFrame, column: str) -> DataFrame:
@@ -221,51 +268,47 @@ def skewed_columns(df: DataFrame, threshold: float = 1.0) -> DataFrame:
     return skewness(df).filter(F.abs("skewness") > threshold)
 
 
+def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """``column, cardinality``: distinct present values of the non-numeric columns."""
+    names = [f.name for f in df.schema.fields
+             if not isinstance(f.dataType, (T.NumericType, T.ArrayType, T.MapType, T.StructType))]
+    clean = normalise_missing(df)
+    if not names:
+        return _empty(df, "column string, cardinality long")
+    if approximate:
+        return per_column(
+            clean, names, lambda c: {"cardinality": F.approx_count_distinct(col(c))}
+        ).drop("position")
+    # All columns together: one shuffle of (column, key).
+    keys = _keyed(clean, names).distinct().groupBy("column").agg(F.count("*").alias("seen"))
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    # One row per column on either side.
+    return every.join(F.broadcast(keys), "column", "left").select(
+        "column", F.coalesce("seen", F.lit(0)).alias("cardinality"))
+
+
 def quality_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: kind, missing count and share, skewness or cardinality, one scan."""
+    """Per column: kind, rows, missing count and share, skewness or cardinality."""
     clean = normalise_missing(df)
     numeric = set(numeric_columns(df))
-    plain = {f.name for f in df.schema.fields
-             if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
 
     def stats(name: str) -> dict[str, Column]:
         absent = F.count_if(col(name).isNull())
-        skew, distinct = F.lit(None).cast("double"), F.lit(None).cast("long")
+        skew = F.lit(None).cast("double")
         if name in numeric:
             skew = r4(sample_skewness(as_double(df, name)))
-        elif name in plain:
-            distinct = F.approx_count_distinct(col(name)) if approximate else F.max(distinct)
         return {
             "missing_count": absent,
             "missing_pct": percent(absent, F.count(F.lit(1))),
             "skewness": skew,
-            "cardinality": distinct,
             "n_rows": F.count(F.lit(1)),
         }
 
-    found = per_column(clean, df.columns, stats)
     kinds = F.array(*[F.lit("numeric" if c in numeric else "non_numeric") for c in df.columns])
-    found = found.withColumn("kind", F.element_at(kinds, F.col("position") + 1))
-    exact = [c for c in df.columns if c not in numeric and c in plain]
-    if approximate or not exact:
-        return found
-    # Exact distinct counts of all columns together: one shuffle of (column, value).
-    long = clean.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
-                      for c in exact])
-        ).alias("r")
-    ).select("r.*")
-    distinct = (
-        long.filter("value is not null").distinct()
-        .groupBy("column").agg(F.count("*").alias("distinct_values"))
-    )
+    found = per_column(clean, df.columns, stats).withColumn(
+        "kind", F.element_at(kinds, F.col("position") + 1))
     # At most one row per column on either side.
-    joined = found.join(F.broadcast(distinct), "column", "left")
-    is_exact = F.col("column").isin(exact)
-    return joined.withColumn(
-        "cardinality", F.when(is_exact, F.coalesce("distinct_values", F.lit(0)))
-    ).drop("distinct_values")
+    return found.join(F.broadcast(cardinality(df, approximate)), "column", "left")
 
 
 # -- correlation ----------------------------------------------------------------
@@ -455,10 +498,6 @@ def outliers_iqr(df: DataFrame, columns: list[str] | str) -> DataFrame:
     return per_column(clean, names, stats)
 
 
-def non_numeric_cardinality(df: DataFrame) -> DataFrame:
-    return quality_summary(df).filter(F.col("column").isin(non_numeric_columns(df)))
-
-
 def grid_page(
     df: DataFrame,
     predicate: Column | str | None = None,

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vistrata.functions.aggregates import fit_scalars
 from vistrata.functions.columns import as_double, col, normalise_missing, require_numeric
+from vistrata.operators.lookup import attach_by_value, value_sizes
 from vistrata.operators.ordered import running_totals
 
 # Distinct values that Spark's exact aggregate may hold in one buffer.
@@ -261,15 +262,18 @@ def grouped_quantiles(
             group, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)]
         )
 
-    frequencies = clean.groupBy(group, "value").agg(F.count("*").alias("n_rows"))
-    ordered = running_totals(frequencies, [group, "value"], ["n_rows"], largest[1])
-    totals = ordered.groupBy(group).agg(
-        F.sum("n_rows").alias("n"), F.min("before_n_rows").alias("start")
+    frequencies = clean.groupBy(group, "value").agg(F.count("*").alias("rows"))
+    ordered = running_totals(frequencies, [group, "value"], ["rows"], largest[1])
+    totals = ordered.groupBy(F.col(group).alias("value")).agg(
+        F.count("*").alias("n_rows"),
+        F.sum("rows").alias("n"),
+        F.min("before_rows").alias("start"),
     )
-    placed = ordered.join(totals, group).withColumn(
-        "first", F.col("before_n_rows") - F.col("start")
-    )
-    last = F.col("first") + F.col("n_rows") - 1
+    # A group's totals go to its values as a lookup, so a crowded group is no hot key.
+    placed = attach_by_value(
+        ordered, group, totals, value_sizes(frequencies, [group])[group]
+    ).withColumn("first", F.col("before_rows") - F.col("start"))
+    last = F.col("first") + F.col("rows") - 1
     picks = []
     for name, p in zip(names, probabilities):
         place = F.lit(float(p)) * (F.col("n") - 1)

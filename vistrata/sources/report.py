@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vistrata.functions.aggregates import union_all
+from vistrata.functions.aggregates import per_column, percent, r4, sample_skewness, union_all
+from vistrata.functions.columns import as_double, col, normalise_missing, numeric_columns
 from vistrata.operators import profile
+from vistrata.operators.quantiles import exact_quantiles
 
 SECTIONS = ("overview", "summary", "correlation", "quality")
+DESCRIBED = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
@@ -42,17 +45,59 @@ def _long(table: DataFrame, section: str, key, stats: list[str]) -> DataFrame:
                         F.explode(cells).alias("c")).select("section", "column", "c.stat", "c.value")
 
 
+def _column_cells(df: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+    """All per-column statistics of the sections, from one aggregate over the table."""
+    clean = normalise_missing(df)
+    numeric = numeric_columns(df)
+    quartiles = {}
+    if "summary" in sections and numeric:
+        quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+    nothing = F.lit(None).cast("double")
+
+    def stats(name: str) -> dict[str, Column]:
+        absent = F.count_if(col(name).isNull())
+        share = percent(absent, F.count(F.lit(1)))
+        x = as_double(df, name) if name in numeric else None
+        found: dict[str, Column] = {}
+        for section in ("overview", "quality"):
+            if section in sections:
+                found[f"{section}:missing_count"] = absent.cast("double")
+                found[f"{section}:missing_pct"] = share
+        if "quality" in sections:
+            found["quality:skewness"] = nothing if x is None else r4(sample_skewness(x))
+        if "summary" in sections:
+            q = quartiles.get(name, [None] * 3)
+            described = {
+                "count": F.count(x).cast("double"), "mean": r4(F.avg(x)),
+                "std": r4(F.stddev_samp(x)), "min": r4(F.min(x)),
+                **{k: r4(F.lit(v).cast("double")) for k, v in zip(("q25", "q50", "q75"), q)},
+                "max": r4(F.max(x)),
+            } if x is not None else dict.fromkeys(DESCRIBED, nothing)
+            found |= {f"summary:{k}": v for k, v in described.items()}
+        return found
+
+    table = per_column(clean, df.columns, stats)
+    cells = [
+        F.struct(F.lit(section).alias("section"), F.lit(stat).alias("stat"),
+                 F.col(f"`{section}:{stat}`").alias("value"))
+        for section, stat in (name.split(":") for name in stats(df.columns[0]))
+    ]
+    long = table.select("column", F.explode(F.array(*cells)).alias("c")).select(
+        "c.section", "column", "c.stat", "c.value")
+    # Text columns have no numeric statistics; a numeric column keeps its empty ones.
+    is_described = F.col("column").isin(numeric) if numeric else F.lit(False)
+    return long.filter(F.col("value").isNotNull() | ((F.col("section") == "summary") & is_described))
+
+
 def profile_report(df: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """All sections as one tidy table ``section, column, stat, value``."""
     parts = []
+    if set(sections) & {"overview", "summary", "quality"}:
+        parts.append(_column_cells(df, sections))
     if "overview" in sections:
         parts.append(_long(profile.overview(df), "overview", F.lit(""), [
             "n_rows", "n_columns", "missing_cells", "duplicate_rows", "approx_size_mb"]))
-        parts.append(_long(profile.missing_by_column(df), "overview", F.col("column"),
-                           ["missing_count", "missing_pct"]))
     if "summary" in sections:
-        parts.append(_long(profile.describe_numeric(df), "summary", F.col("column"),
-                           ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
         tops = profile.top_values(df)
         parts.append(tops.select(
             F.lit("summary").alias("section"), "column",
@@ -62,9 +107,7 @@ def profile_report(df: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataF
             F.lit("correlation").alias("section"), F.col("column_x").alias("column"),
             F.col("column_y").alias("stat"), F.col("r").alias("value")))
     if "quality" in sections:
-        parts.append(_long(profile.quality_summary(df), "quality", F.col("column"),
-                           ["missing_count", "missing_pct", "skewness", "cardinality"])
-                     .filter("value is not null"))
+        parts.append(_long(profile.cardinality(df), "quality", F.col("column"), ["cardinality"]))
     return union_all(parts)
 
 
