@@ -39,9 +39,14 @@ class TestQuantiles:
     def test_missing_column(self, tiny):
         assert quantiles.exact_quantiles(tiny("missing"), ["x"], [0.5], 0) == {"x": [None]}
 
-    @pytest.mark.parametrize("buffered", [10**6, 0])
-    def test_grouped_equals_pandas(self, skewed, skewed_pdf, buffered, many_ranges):
-        rows = quantiles.grouped_quantiles(skewed, "grp", "value", [0.25, 0.5, 0.75], buffered)
+    # One aggregate, two narrowed groups beside it, and the common order of all groups.
+    @pytest.mark.parametrize("buffered,groups", [(10**6, 9), (30, 2), (0, 9)])
+    def test_grouped_equals_pandas(self, spark, skewed, skewed_pdf, buffered, groups, many_ranges):
+        skewed_pdf = skewed_pdf.copy()
+        skewed_pdf.loc[skewed_pdf["grp"].between("g000", "g099"), "grp"] = "crowded"
+        skewed = from_pandas(spark, skewed_pdf)
+        rows = quantiles.grouped_quantiles(
+            skewed, "grp", "value", [0.25, 0.5, 0.75], buffered, groups)
         found = {r["grp"]: [r.q0, r.q1, r.q2] for r in rows.collect()}
         want = skewed_pdf.dropna(subset=["value"]).groupby("grp")["value"]
         assert len(found) == want.ngroups

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,6 +34,8 @@ BRACKET_ROWS = 20_000
 # percentile_approx keeps ranks within n / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 GRID = 256
+# Crowded groups whose quantiles are narrowed one by one in shared scans.
+NARROWED_GROUPS = 30
 
 
 def interpolate(low: float, high: float, fraction: float) -> float:
@@ -76,9 +79,12 @@ class _Bracket:
 
 
 def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
-    """Find all ranks of all brackets by repeated narrowing."""
+    """Find all ranks of all brackets by repeated narrowing.
+
+    The counts of a round are plain aggregates over all rows; a new sketch is made
+    only for brackets that are still wide, from the rows inside them.
+    """
     active, readable = list(brackets), []
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     while active:
         exprs = {}
         for i, b in enumerate(active):
@@ -86,17 +92,14 @@ def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
             exprs[f"{i}_inside"] = F.count_if(b.inside())
             exprs[f"{i}_at_low"] = F.count_if(b.at(b.low))
             exprs[f"{i}_at_high"] = F.count_if(b.at(b.high))
-            exprs[f"{i}_grid"] = F.percentile_approx(
-                F.when(b.inside(), b.source), grid, SKETCH_ACCURACY
-            )
         seen = fit_scalars(df, exprs)
-        pending = []
+        missed, wide = [], []
         for i, b in enumerate(active):
-            below, inside, points = (seen[f"{i}_{k}"] for k in ("below", "inside", "grid"))
+            below, inside = seen[f"{i}_below"], seen[f"{i}_inside"]
             if min(b.ranks) < below or max(b.ranks) >= below + inside:
                 # The bracket missed a rank: open it up and look again.
                 b.low, b.high, b.open, b.slack = None, None, False, b.slack * 4
-                pending.append(b)
+                missed.append(b)
                 continue
             for rank in sorted(b.ranks):
                 if rank - below < seen[f"{i}_at_low"]:
@@ -107,13 +110,25 @@ def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
                 b.below = below
                 readable.append(b)
             elif b.ranks:
-                _narrow(b, points, below, inside)
-                pending.append(b)
-        active = pending
+                wide.append((b, below, inside))
+        if wide:
+            grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+            points = fit_scalars(
+                df.filter(_any_inside([b for b, _, _ in wide])),
+                {i: F.percentile_approx(F.when(b.inside(), b.source), grid, SKETCH_ACCURACY)
+                 for i, (b, _, _) in enumerate(wide)},
+            )
+            for i, (b, below, inside) in enumerate(wide):
+                _narrow(b, points[i], below, inside)
+        active = missed + [b for b, _, _ in wide]
     if readable:
         _read(df, readable)
 
 
+def _any_inside(brackets: list[_Bracket]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(b.inside(), F.lit(False)) for b in brackets])
+
+
 def _narrow(b: _Bracket, points: list[float], below: int, inside: int) -> None:
     """Next bracket around the grid positions of the ranks. A heavy value may fill a
     whole bracket, so one that did not shrink is continued without its ends."""
@@ -138,7 +153,8 @@ def _read(df: DataFrame, brackets: list[_Bracket]) -> None:
         )
     )
     counts: dict[int, list[tuple[float, int]]] = {}
-    rows = df.select(F.explode(hits).alias("hit")).groupBy("hit.i", "hit.v").count().collect()
+    near = df.filter(_any_inside(brackets)).select(F.explode(hits).alias("hit"))
+    rows = near.groupBy("hit.i", "hit.v").count().collect()
     for i, value, n in rows:
         counts.setdefault(i, []).append((value, n))
     for i, b in enumerate(brackets):
@@ -171,32 +187,42 @@ def exact_quantiles(
     ]
     narrowed = [c for c in filled if c not in buffered]
 
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    if buffered:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        found = fit_scalars(clean, {c: F.percentile(col(c), wanted) for c in buffered})
+        result |= {c: list(found[c]) for c in buffered}
+    if narrowed:
+        sources = {c: (col(c), sizes[f"n_{c}"]) for c in narrowed}
+        result |= _narrowed_quantiles(clean, sources, probabilities, bracket_rows)
+    return result
+
+
+def _narrowed_quantiles(
+    df: DataFrame,
+    sources: dict[object, tuple[Column, int]],
+    probabilities: list[float],
+    bracket_rows: int,
+) -> dict:
+    """Quantiles by narrowing; ``sources`` maps a name to an expression and its row count."""
     margin = 2.0 / SKETCH_ACCURACY
     edges = [e for p in probabilities for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = F.array(*[F.lit(e) for e in edges])
-    found = fit_scalars(
-        clean,
-        {c: F.percentile(col(c), wanted) for c in buffered}
-        | {c: F.percentile_approx(col(c), sketch, SKETCH_ACCURACY) for c in narrowed},
-    ) if filled else {}
-    for c in buffered:
-        result[c] = list(found[c])
-
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    for c in narrowed:
-        n = sizes[f"n_{c}"]
+    first = fit_scalars(
+        df, {c: F.percentile_approx(x, sketch, SKETCH_ACCURACY) for c, (x, _) in sources.items()}
+    )
+    brackets: dict[tuple, _Bracket] = {}
+    for c, (x, n) in sources.items():
         for j, p in enumerate(probabilities):
             place = p * (n - 1)
             brackets[c, j] = _Bracket(
-                col(c), {math.floor(place), math.ceil(place)},
-                found[c][2 * j] if p > margin else None,
-                found[c][2 * j + 1] if p < 1 - margin else None,
+                x, {math.floor(place), math.ceil(place)},
+                first[c][2 * j] if p > margin else None,
+                first[c][2 * j + 1] if p < 1 - margin else None,
             )
-    if brackets:
-        _locate(clean, list(brackets.values()), bracket_rows)
+    _locate(df, list(brackets.values()), bracket_rows)
+    result: dict = {c: [None] * len(probabilities) for c in sources}
     for (c, j), b in brackets.items():
-        place = probabilities[j] * (sizes[f"n_{c}"] - 1)
+        place = probabilities[j] * (sources[c][1] - 1)
         low, high = math.floor(place), math.ceil(place)
         result[c][j] = interpolate(b.found[low], b.found[high], place - low)
     return result
@@ -232,13 +258,14 @@ def grouped_quantiles(
     column: str,
     probabilities: list[float],
     buffered_values: int = BUFFERED_VALUES,
+    narrowed_groups: int = NARROWED_GROUPS,
 ) -> DataFrame:
     """Exact quantiles of ``column`` per group: ``group, n, q0, q1, ...``.
 
-    While every group is small, or has few distinct values, Spark's exact
-    aggregate is used. A larger group is not gathered: the (group, value)
-    frequencies are ordered over all groups together and each quantile is read
-    off the running totals.
+    A group with few distinct values goes through Spark's exact aggregate. A few
+    crowded groups are narrowed like columns of their own. Many crowded groups are
+    not gathered either: the (group, value) frequencies are ordered over all groups
+    together and each quantile is read off the running totals.
     """
     require_numeric(df, column)
     clean = (
@@ -246,24 +273,33 @@ def grouped_quantiles(
         .select(col(group).alias(group), as_double(df, column).alias("value"))
         .na.drop()
     )
-    largest = (
-        clean.groupBy(group)
-        .agg(F.count("*").alias("n"), F.approx_count_distinct("value").alias("d"))
-        .agg(F.max(F.least(F.col("n"), F.col("d") * SKETCH_ROOM)), F.sum("d"))
-        .first()
+    sizes = clean.groupBy(group).agg(
+        F.count("*").alias("n"), F.approx_count_distinct("value").alias("d")
     )
+    crowded = F.least(F.col("n"), F.col("d") * SKETCH_ROOM) > buffered_values
+    hot = sizes.filter(crowded).limit(narrowed_groups + 1).collect()
     names = [f"q{i}" for i in range(len(probabilities))]
-    if (largest[0] or 0) <= buffered_values:
+    if len(hot) <= narrowed_groups:
+        values = [r[group] for r in hot]
+        small = clean.filter(~col(group).isin(values)) if hot else clean
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        summary = clean.groupBy(group).agg(
+        summary = small.groupBy(group).agg(
             F.count("*").alias("n"), F.percentile("value", wanted).alias("q")
+        ).select(group, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+        if not hot:
+            return summary
+        members = clean.filter(col(group).isin(values))
+        found = _narrowed_quantiles(
+            members,
+            {r[group]: (F.when(col(group) == r[group], F.col("value")), r["n"]) for r in hot},
+            probabilities, BRACKET_ROWS,
         )
-        return summary.select(
-            group, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)]
-        )
+        rows = [(r[group], r["n"], *found[r[group]]) for r in hot]
+        return summary.unionByName(df.sparkSession.createDataFrame(rows, summary.schema))
 
+    pairs = sizes.agg(F.sum("d")).first()[0]
     frequencies = clean.groupBy(group, "value").agg(F.count("*").alias("rows"))
-    ordered = running_totals(frequencies, [group, "value"], ["rows"], largest[1])
+    ordered = running_totals(frequencies, [group, "value"], ["rows"], pairs)
     totals = ordered.groupBy(F.col(group).alias("value")).agg(
         F.count("*").alias("n_rows"),
         F.sum("rows").alias("n"),
