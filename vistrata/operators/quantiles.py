@@ -44,8 +44,10 @@ def interpolate(low: float, high: float, fraction: float) -> float:
 
 @dataclass
 class _Bracket:
-    """Search state of neighbouring order statistics of one column."""
+    """Search state of neighbouring order statistics of one expression."""
 
+    # Brackets of the same expression share a name.
+    name: object
     source: Column
     # Ranks (0-based) still to be found, and those found.
     ranks: set[int]
@@ -57,54 +59,94 @@ class _Bracket:
     below: int = 0
     found: dict[int, float] = field(default_factory=dict)
 
-    def inside(self) -> Column:
-        test = self.source.isNotNull()
-        if self.low is not None:
-            test = test & (self.source > self.low if self.open else self.source >= self.low)
-        if self.high is not None:
-            test = test & (self.source < self.high if self.open else self.source <= self.high)
-        return test
-
-    def under(self) -> Column:
-        if self.low is None:
-            return F.lit(False)
-        return self.source <= self.low if self.open else self.source < self.low
-
-    def at(self, end: float | None) -> Column:
-        return F.lit(False) if end is None or self.open else self.source == end
+    def holds(self, value: float) -> bool:
+        if self.open:
+            return (self.low is None or value > self.low) and (self.high is None or value < self.high)
+        return (self.low is None or value >= self.low) and (self.high is None or value <= self.high)
 
     def resolve(self, rank: int, value: float) -> None:
         self.ranks.discard(rank)
         self.found[rank] = value
 
 
+def _by_name(brackets: list[_Bracket]) -> dict[object, list[_Bracket]]:
+    groups: dict[object, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault(b.name, []).append(b)
+    return groups
+
+
+def _cell(x: Column, edges: list[float], first: int = 0) -> Column:
+    """Place of x among sorted edges: 2i in the gap before edge i, 2i + 1 on it."""
+    if not edges:
+        return F.lit(2 * first)
+    middle = len(edges) // 2
+    edge = F.lit(edges[middle])
+    return (
+        F.when(x < edge, _cell(x, edges[:middle], first))
+        .when(x == edge, 2 * (first + middle) + 1)
+        .otherwise(_cell(x, edges[middle + 1 :], first + middle + 1))
+    )
+
+
+def _count(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[int, int, int, int]]:
+    """Rows below, inside, at the low end and at the high end of each bracket.
+
+    All bracket ends of an expression cut its values into cells; one grouped count
+    of the cells answers every bracket.
+    """
+    groups = _by_name(brackets)
+    edges = {
+        name: sorted({e for b in group for e in (b.low, b.high) if e is not None})
+        for name, group in groups.items()
+    }
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(x.isNotNull(), _cell(x, edges[name])).alias("cell"))
+        for i, (name, x) in enumerate((n, g[0].source) for n, g in groups.items())
+    ])
+    counts = (
+        df.select(F.explode(cells).alias("c")).select("c.*").filter("cell is not null")
+        .groupBy("i", "cell").agg(F.count("*").alias("n")).collect()
+    )
+    filled = {name: [0] * (2 * len(edges[name]) + 1) for name in groups}
+    names = list(groups)
+    for i, cell, n in counts:
+        filled[names[i]][cell] = n
+
+    def measure(b: _Bracket) -> tuple[int, int, int, int]:
+        n, ends = filled[b.name], edges[b.name]
+        first = 0 if b.low is None else 2 * ends.index(b.low) + 1
+        last = len(n) - 1 if b.high is None else 2 * ends.index(b.high) + 1
+        if b.open:
+            first = first if b.low is None else first + 1
+            last = last if b.high is None else last - 1
+            return sum(n[:first]), sum(n[first : last + 1]), 0, 0
+        at_low = 0 if b.low is None else n[first]
+        at_high = 0 if b.high is None else n[last]
+        return sum(n[:first]), sum(n[first : last + 1]), at_low, at_high
+
+    return [measure(b) for b in brackets]
+
+
 def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
     """Find all ranks of all brackets by repeated narrowing.
 
-    The counts of a round are plain aggregates over all rows; a new sketch is made
-    only for brackets that are still wide, from the rows inside them.
+    A round counts cells over all rows; a new sketch is made only for brackets that
+    are still wide, from the rows inside them.
     """
     active, readable = list(brackets), []
     while active:
-        exprs = {}
-        for i, b in enumerate(active):
-            exprs[f"{i}_below"] = F.count_if(b.under())
-            exprs[f"{i}_inside"] = F.count_if(b.inside())
-            exprs[f"{i}_at_low"] = F.count_if(b.at(b.low))
-            exprs[f"{i}_at_high"] = F.count_if(b.at(b.high))
-        seen = fit_scalars(df, exprs)
         missed, wide = [], []
-        for i, b in enumerate(active):
-            below, inside = seen[f"{i}_below"], seen[f"{i}_inside"]
+        for b, (below, inside, at_low, at_high) in zip(active, _count(df, active)):
             if min(b.ranks) < below or max(b.ranks) >= below + inside:
                 # The bracket missed a rank: open it up and look again.
                 b.low, b.high, b.open, b.slack = None, None, False, b.slack * 4
                 missed.append(b)
                 continue
             for rank in sorted(b.ranks):
-                if rank - below < seen[f"{i}_at_low"]:
+                if rank - below < at_low:
                     b.resolve(rank, b.low)
-                elif rank - below >= inside - seen[f"{i}_at_high"]:
+                elif rank - below >= inside - at_high:
                     b.resolve(rank, b.high)
             if b.ranks and inside <= bracket_rows:
                 b.below = below
@@ -113,11 +155,11 @@ def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
                 wide.append((b, below, inside))
         if wide:
             grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-            points = fit_scalars(
-                df.filter(_any_inside([b for b, _, _ in wide])),
-                {i: F.percentile_approx(F.when(b.inside(), b.source), grid, SKETCH_ACCURACY)
-                 for i, (b, _, _) in enumerate(wide)},
-            )
+            points = fit_scalars(df, {
+                i: F.percentile_approx(F.when(_within(b.source, [b]), b.source), grid,
+                                       SKETCH_ACCURACY)
+                for i, (b, _, _) in enumerate(wide)
+            })
             for i, (b, below, inside) in enumerate(wide):
                 _narrow(b, points[i], below, inside)
         active = missed + [b for b, _, _ in wide]
@@ -125,8 +167,27 @@ def _locate(df: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> None:
         _read(df, readable)
 
 
-def _any_inside(brackets: list[_Bracket]) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(b.inside(), F.lit(False)) for b in brackets])
+def _within(x: Column, brackets: list[_Bracket]) -> Column:
+    """Whether x lies in one of the brackets, ends included."""
+    spans: list[list[float]] = []
+    infinity = float("inf")
+    for low, high in sorted(
+        (-infinity if b.low is None else b.low, infinity if b.high is None else b.high)
+        for b in brackets
+    ):
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+
+    def search(part: list[list[float]]) -> Column:
+        if len(part) == 1:
+            return (x >= F.lit(part[0][0])) & (x <= F.lit(part[0][1]))
+        middle = len(part) // 2
+        return F.when(x < F.lit(part[middle][0]), search(part[:middle])).otherwise(
+            search(part[middle:]))
+
+    return F.coalesce(search(spans), F.lit(False))
 
 
 def _narrow(b: _Bracket, points: list[float], below: int, inside: int) -> None:
@@ -144,21 +205,23 @@ def _narrow(b: _Bracket, points: list[float], below: int, inside: int) -> None:
 
 def _read(df: DataFrame, brackets: list[_Bracket]) -> None:
     """Finish brackets with few rows from their value counts."""
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(b.inside(), F.struct(F.lit(i).alias("i"), b.source.alias("v")))
-                for i, b in enumerate(brackets)
-            ]
-        )
+    groups = _by_name(brackets)
+    within = {name: _within(group[0].source, group) for name, group in groups.items()}
+    near = df.filter(reduce(lambda a, b: a | b, within.values()))
+    hits = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(within[name], group[0].source).alias("v"))
+        for i, (name, group) in enumerate(groups.items())
+    ])
+    rows = (
+        near.select(F.explode(hits).alias("hit")).select("hit.*").filter("v is not null")
+        .groupBy("i", "v").agg(F.count("*").alias("n")).collect()
     )
-    counts: dict[int, list[tuple[float, int]]] = {}
-    near = df.filter(_any_inside(brackets)).select(F.explode(hits).alias("hit"))
-    rows = near.groupBy("hit.i", "hit.v").count().collect()
+    names = list(groups)
+    values: dict[object, list[tuple[float, int]]] = {name: [] for name in names}
     for i, value, n in rows:
-        counts.setdefault(i, []).append((value, n))
-    for i, b in enumerate(brackets):
-        pairs = sorted(counts[i])
+        values[names[i]].append((value, n))
+    for b in brackets:
+        pairs = sorted(pair for pair in values[b.name] if b.holds(pair[0]))
         ends = list(accumulate(n for _, n in pairs))
         for rank in list(b.ranks):
             b.resolve(rank, pairs[bisect_right(ends, rank - b.below)][0])
@@ -215,7 +278,7 @@ def _narrowed_quantiles(
         for j, p in enumerate(probabilities):
             place = p * (n - 1)
             brackets[c, j] = _Bracket(
-                x, {math.floor(place), math.ceil(place)},
+                c, x, {math.floor(place), math.ceil(place)},
                 first[c][2 * j] if p > margin else None,
                 first[c][2 * j + 1] if p < 1 - margin else None,
             )
@@ -237,7 +300,7 @@ def kth_smallest(
     of where the value lies and may be None.
     """
     brackets = {
-        name: _Bracket(source, {k}, low, high) for name, (source, k, low, high) in requests.items()
+        name: _Bracket(name, source, {k}, low, high) for name, (source, k, low, high) in requests.items()
     }
     _locate(df, list(brackets.values()), BRACKET_ROWS)
     return {name: b.found[requests[name][1]] for name, b in brackets.items()}
