@@ -23,6 +23,14 @@ from vistrata.operators import (  # noqa: E402
 from vistrata.plans.session import scratch_path  # noqa: E402
 from vistrata.sources import files, modelstore, report  # noqa: E402
 
+try:  # the corpus operators may be absent as a whole
+    import corpus_pipeline  # noqa: E402
+    from vistrata.llm import queries as corpus_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "vistrata.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # lineitem with missing values, outliers, a boolean and categories; runs in both engines.
@@ -459,11 +467,18 @@ def _model_queries() -> dict[str, Query]:
     }
 
 
+def _corpus_queries() -> dict[str, Query]:
+    if corpus_queries is None:
+        return {}
+    return {"pipeline": corpus_pipeline.run, **corpus_queries.QUERIES}
+
+
 def queries() -> dict[str, Query]:
     return {
         **_profile_queries(), **_association_queries(), **_clean_queries(),
         **_transform_queries(), **_encode_queries(), **_feature_queries(),
         **_evaluation_queries(), **_chart_queries(), **_model_queries(),
+        **_corpus_queries(),
     }
 
 
@@ -1103,4 +1118,5 @@ def oracle_sql() -> dict[str, str]:
         **_model_sql(),
         **_profile_sql(), **_association_sql(), **_clean_sql(), **_transform_sql(),
         **_encode_sql(), **_feature_sql(), **_evaluation_sql(), **_chart_sql(),
+        **(corpus_queries.SQL if corpus_queries else {}),
     }
