@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from vistrata.llm.tables import quoted
+from vistrata.llm.tables import packed_counts, quoted
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
@@ -63,7 +63,7 @@ def _parts(text: str) -> Iterator[str]:
 
 def count_trigrams(docs: DataFrame, text_column: str = "text", lang_column: str = "lang"
                    ) -> DataFrame:
-    """``lang, bucket, n`` over all rows with both a text and a language."""
+    """Counts by language (``name``) and bucket, of all rows with a text and a language."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, found = Trigrams(), {}
         for batch in batches:
@@ -74,12 +74,11 @@ def count_trigrams(docs: DataFrame, text_column: str = "text", lang_column: str
                     total += np.bincount(buckets, minlength=BUCKETS)
         for lang, total in found.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+            yield pd.DataFrame({"name": lang, "counter": at, "n": total[at]})
 
     rows = docs.select(quoted(text_column).alias("text"),
                        quoted(lang_column).cast("string").alias("lang")).dropna()
-    counted = rows.mapInPandas(count, "lang string, bucket long, n long")
-    return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(count, "name string, counter long, n long")
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -95,11 +94,11 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if n > train_rows:
         part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
         rows = rows.filter(part < F.lit(1_000_000 * train_rows // n))
-    counts = count_trigrams(rows).toPandas()
-    langs = sorted(counts["lang"].unique())
+    counts = packed_counts(count_trigrams(rows), BUCKETS)
+    langs = sorted(counts)
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
-    code = counts["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(int)
-    table[counts["bucket"].to_numpy(int), code] += counts["n"].to_numpy()
+    for i, lang in enumerate(langs):
+        table[:, i] += counts[lang]
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vistrata.llm.components import components
-from vistrata.llm.tables import join_groups, quoted, unused
+from vistrata.llm.tables import join_groups, packed_counts, quoted, unused
 from vistrata.llm.wordhash import WordHasher, as_bytes, mixed, numbers, windows
 from vistrata.plans.session import materialise
 
@@ -136,16 +136,15 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> np.ndarr
                 found += np.bincount(cells & (COUNTERS - 1), minlength=COUNTERS)
                 n_docs += int((counts > 0).sum())
         at = np.flatnonzero(found)
-        yield pd.DataFrame({"counter": np.concatenate((at, [-1])).astype("int32"),
-                            "n": np.concatenate((found[at], [n_docs]))})
-
-    rows = docs.select(quoted(text_column).alias("text")).mapInPandas(count, "counter int, n long")
-    summed = rows.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    total = int(summed.loc[summed["counter"] < 0, "n"].sum())
-    seen = summed[summed["counter"] >= 0]
-    df = np.zeros(COUNTERS)
-    df[seen["counter"].to_numpy(int)] = seen["n"].to_numpy()
-    return (1 + np.log((total + 1) / (df + 1))).astype(np.float32)
+        yield pd.DataFrame({"name": "words", "counter": at, "n": found[at]})
+        yield pd.DataFrame({"name": ["texts"], "counter": [0], "n": [n_docs]})
+
+    rows = docs.select(quoted(text_column).alias("text")).mapInPandas(
+        count, "name string, counter long, n long")
+    seen = packed_counts(rows, COUNTERS)
+    total = seen["texts"][0] if "texts" in seen else 0
+    return (1 + np.log((total + 1) / (seen.get("words", np.zeros(COUNTERS)) + 1))).astype(
+        np.float32)
 
 
 def signatures(docs: DataFrame, idf, id_column: str, text_column: str) -> DataFrame:

@@ -12,7 +12,8 @@ it on. Three cases, by anchor and context digests over the whole corpus:
   of each distinct context goes to the task of its anchor, which builds the suffix array
   of the contexts by linear grouping (``lyndon``) and marks the windows that equal their
   neighbour in the array and stand at another place. Before sorting, contexts are cut
-  to what any other of their anchor may share, and those that become equal are one.
+  to what any other of their anchor may share, and those that lie in another are left
+  to it as a further place of that part.
 
 An anchor with more distinct contexts than ``GROUP_CONTEXTS`` is not gathered in a task:
 its windows are counted by digest in the shuffle instead, with the same result. Documents
@@ -40,6 +41,8 @@ LEFT = WINDOW - GRAM
 SEGMENT = 1 << 20
 SORT_BYTES = 1 << 19
 GROUP_CONTEXTS = 20_000
+# Contexts of an anchor in which others are looked for; those found in none are sorted, too.
+OPEN_CONTEXTS = 8
 _PLACE_BITS = np.uint64(28)
 
 
@@ -184,11 +187,12 @@ def trimmed(contexts: list[bytes], lefts: list[int], counts: list[int], group: n
     return np.where(many, 0, left - back), np.where(many, sizes, left + ahead)
 
 
-def repeated_starts(contexts: list[bytes], places: list[list[tuple[int, int]]],
-                    ) -> list[np.ndarray]:
+def repeated_starts(contexts: list[bytes], places: list[tuple[int, int]],
+                    parts: list[list[tuple[int, int]]]) -> list[np.ndarray]:
     """Per context, the offsets of its windows that also start at another place.
 
-    ``places`` has, for each context, where it stands: (text, first byte) pairs.
+    ``places`` has where each context stands: a text and its first byte. ``parts``
+    has the bounds of the parts of it that stand at further places.
     """
     sizes = np.array([len(c) for c in contexts])
     starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -207,9 +211,14 @@ def repeated_starts(contexts: list[bytes], places: list[list[tuple[int, int]]],
         at = np.flatnonzero(near)
         same[low + at] = (raw[here[at][:, None] + span] == raw[there[at][:, None] + span]).all(1)
     # A run of equal windows is repeated when they do not all stand at one place.
-    text = np.array([p[0][0] for p in places], np.int64)
-    first = np.array([p[0][1] for p in places], np.int64)
-    several = np.array([len(p) > 1 for p in places], bool)
+    text = np.array([p[0] for p in places], np.int64)
+    first = np.array([p[1] for p in places], np.int64)
+    more = np.zeros(len(raw) + 1, np.int64)  # further places of the window at each symbol
+    for start, bounds in zip(starts, parts):
+        for low, high in bounds:
+            more[start + low] += 1
+            more[start + high - WINDOW + 1] -= 1
+    several = np.cumsum(more) > 0
     where = (text[owner[order]] << 40) + first[owner[order]] + offset[order]
     run = np.cumsum(~same) - 1
     n_runs = int(run[-1]) + 1 if len(run) else 0
@@ -217,7 +226,7 @@ def repeated_starts(contexts: list[bytes], places: list[list[tuple[int, int]]],
     np.minimum.at(low, run, where)
     np.maximum.at(high, run, where)
     many = low < high
-    many[run[several[owner[order]]]] = True
+    many[run[several[order]]] = True
     hit = order[many[run]] if n_runs else order
     return _by_owner(owner[hit], offset[hit], len(sizes))
 
@@ -241,18 +250,35 @@ def _sorted_spans(rows: list[tuple]) -> pd.DataFrame:
     group = np.unique(np.array(grams, np.int64), return_inverse=True)[1]
     low, high = trimmed(contexts, lefts, counts, group)
     code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-    members: dict[tuple, list[int]] = {}
-    for i in np.flatnonzero(high - low >= WINDOW):
-        members.setdefault((int(group[i]), contexts[i][low[i]:high[i]]), []).append(i)
+    whole: list[tuple[int, list[tuple[int, int, int]]]] = []  # a context and what it contains
+    at_group = np.flatnonzero(high - low >= WINDOW)
+    at_group = at_group[np.lexsort((low[at_group] - high[at_group], group[at_group]))]
+    open_, current = [], -1
+    for i in at_group.tolist():
+        if group[i] != current:
+            current, open_ = group[i], []
+        own, here = contexts[i][low[i]:high[i]], int(low[i]) - lefts[i]
+        for held, inside in open_:
+            shift = here - (int(low[held]) - lefts[held])
+            if 0 <= shift and contexts[held][low[held] + shift:high[held]].startswith(own):
+                inside.append((i, shift, shift + len(own)))
+                break
+        else:
+            whole.append((i, []))
+            if len(open_) < OPEN_CONTEXTS:
+                open_.append(whole[-1])
     out: list[tuple] = []
-    if members:
-        places = [[(code[keys[i]], firsts[i] + int(low[i])) for i in own]
-                  + [(-1, 0)] * (counts[own[0]] - 1) for own in members.values()]
-        hits = repeated_starts([text for _, text in members], places)
-        for own, hit in zip(members.values(), hits):
-            for a, b in _spans(hit):
-                out += [(keys[i], firsts[i] + int(low[i]) + a, firsts[i] + int(low[i]) + b)
-                        for i in own]
+    if whole:
+        texts = [contexts[i][low[i]:high[i]] for i, _ in whole]
+        places = [(code[keys[i]], firsts[i] + int(low[i])) for i, _ in whole]
+        parts = [[(a, b) for _, a, b in inside]
+                 + ([(0, len(t))] if counts[i] > 1 else [])
+                 for (i, inside), t in zip(whole, texts)]
+        for (held, inside), text, hit in zip(whole, texts, repeated_starts(texts, places, parts)):
+            for i, shift, end in [(held, 0, len(text)), *inside]:
+                at = firsts[i] + int(low[i]) - shift
+                own = hit[(hit >= shift) & (hit <= end - WINDOW)]
+                out += [(keys[i], at + a, at + b) for a, b in _spans(own)]
     return pd.DataFrame(out, columns=["text_key", "low", "high"])
 
 

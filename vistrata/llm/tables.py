@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The fixed white space of words: space and U+0009 to U+000D.
@@ -59,3 +61,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: Column, to
     near = rows.join(hot, key)
     far = rows.join(hot.select(key), key, "left_anti").join(groups.filter(~heavy), key)
     return near.unionByName(far)
+
+
+# Counters that are sent to the driver as one value.
+PACK = 1 << 14
+
+
+def packed_counts(counts: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """Tables of ``size`` counters by name, from rows of ``name, counter, n``.
+
+    The rows are summed and packed by tasks, so the driver gets a few arrays of
+    bytes per name, in single precision, and not a row per counter.
+    """
+    summed = counts.groupBy("name", "counter").agg(F.sum("n").alias("n"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros(PACK, np.float32)
+        dense[part["counter"].to_numpy(int) % PACK] = part["n"]
+        first = int(part["counter"].iloc[0]) // PACK
+        return pd.DataFrame({"name": [part["name"].iloc[0]], "place": [first],
+                             "dense": [dense.tobytes()]})
+
+    packed = summed.withColumn("place", F.floor(F.col("counter") / PACK)).groupBy(
+        "name", "place").applyInPandas(pack, "name string, place long, dense binary")
+    out: dict[str, np.ndarray] = {}
+    for row in packed.collect():
+        table = out.setdefault(row["name"], np.zeros(size))
+        part = np.frombuffer(row["dense"], np.float32)[:size - row["place"] * PACK]
+        table[row["place"] * PACK:row["place"] * PACK + len(part)] = part
+    return out
