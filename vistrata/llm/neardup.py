@@ -9,10 +9,11 @@ counted over all documents in a fixed number of hashed counters.
 Improved consistent weighted sampling (Ioffe, ICDM 2010) draws samples that agree with
 a probability equal to the weighted Jaccard similarity. Bands of samples are bucketed;
 documents that share a bucket are compared exactly. Equal texts are one node. In a
-bucket all nodes are compared with its least node; then, with the components that gave,
-nodes of different components that share a bucket, so no all-pairs step happens inside
-a group of copies and no link between components is missed. Classes are the connected
-components of the verified links.
+bucket all nodes are compared with the node that shares most buckets, then those that
+are not yet connected with a few others, and last the nodes of different components
+with each other, so no all-pairs step happens inside a group of copies. In crowded buckets,
+of texts that share a passage, that last step takes the pairs that share a rare shingle,
+which all similar pairs do. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from vistrata.plans.session import materialise
 RUN_WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
+# In buckets above so many nodes, pairs are found by their rare shingles.
+CROWD = 32
+# Rounds in which the nodes of a bucket are compared with further nodes of it, so many a round.
+ROUNDS, CENTRES = 2, 4
 COUNTERS = 1 << 20
 LEVELS = 1 << 16
 GROUP_BYTES = 1 << 20
@@ -212,11 +217,86 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     return rows.mapInPandas(run, "a binary, b binary, similarity double")
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets with the component of each node."""
+def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``band, fp, label, size`` of the buckets with nodes of several components."""
     found = components(links)
-    return buckets.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "band", "fp", F.coalesce("root", "fp").alias("label"))
+    members = materialise(
+        buckets.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "band", "fp", F.coalesce("root", "fp").alias("label")), "members")
+    several = members.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.count(F.lit(1)).alias("size")).filter("low != high")
+    return materialise(members.join(several.select("band", "size"), "band"), "open")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _with_centres(open_: DataFrame, turn: int) -> DataFrame:
+    """Each node of a bucket with a few nodes of it that belong to other components."""
+    picks = [F.min(F.struct(F.xxhash64("fp", F.lit(turn * CENTRES + j)), F.col("fp").alias("c"),
+                            F.col("label").alias("label_c")))
+             for j in range(CENTRES)]
+    centres = open_.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("picks")).select(
+        "band", F.explode("picks").alias("x")).select("band", "x.c", "x.label_c")
+    return open_.join(centres, "band").filter("label != label_c").select(*_pair("fp", "c"))
+
+
+def _across(open_: DataFrame, texts: DataFrame, idf, similar: float) -> DataFrame:
+    """Nodes of different components that share a bucket and, in a crowded one, a rare shingle.
+
+    Two texts of weighted Jaccard similarity ``s`` share at least ``s`` of the weight
+    of each. With the shingles of all texts in one order, the first that two such
+    texts share is therefore among those that begin each of them up to ``1 - s`` of its
+    weight. In the order of frequency these hold no shingle of a passage that many
+    texts share, unless a text has little else; no pair is lost.
+    """
+    def cross(rows: DataFrame) -> DataFrame:
+        other = rows.select("band", F.col("fp").alias("other"), F.col("label").alias("label_o"))
+        return rows.join(other, "band").filter("label < label_o").select(*_pair("fp", "other"))
+
+    def each(sampler: Sampler, batch: pd.DataFrame):
+        for _, hashes, counts in sampler.groups(list(batch["text"])):
+            runs, weights, sizes = sampler.weighted(hashes, counts)
+            ends = np.cumsum(sizes)
+            for low, high in zip(ends - sizes, ends):
+                yield runs[low:high], weights[low:high]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, found = Sampler(idf.value), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for runs, _ in each(sampler, batch):
+                np.add.at(found, (runs >> np.uint64(44)).astype(np.int64), 1)
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"name": "runs", "counter": at, "n": found[at]})
+
+    crowded = open_.filter(F.col("size") > CROWD).select("fp", "label").distinct()
+    source = materialise(
+        crowded.join(texts, "fp").select("fp", "label", "text"), "crowded-texts")
+    seen = packed_counts(source.mapInPandas(count, "name string, counter long, n long"),
+                         COUNTERS).get("runs", np.zeros(COUNTERS))
+    frequency = source.sparkSession.sparkContext.broadcast(seen.astype(np.float32))  # 4 MB
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, often = Sampler(idf.value), frequency.value
+        for batch in batches:
+            kept = []
+            for runs, weights in each(sampler, batch):
+                own = often[(runs >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((runs, own))
+                before = np.cumsum(weights[order]) - weights[order]
+                first = order[before <= (1 - similar) * weights.sum() * (1 + 1e-9)]
+                kept.append(runs[first[own[first] > 1]].view(np.int64))
+            yield batch[["fp", "label"]].assign(bands=kept)
+
+    found = source.mapInPandas(rare, "fp binary, label binary, bands array<long>")
+    found = materialise(found.select("fp", "label", F.explode("bands").alias("band")), "rare")
+    shared = found.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = shared.filter("low != high").select("band")
+    small = open_.filter(F.col("size") <= CROWD).select("fp", "label", "band")
+    return cross(small).unionByName(cross(found.join(shared, "band").select(
+        "fp", "label", "band")))
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -238,14 +318,22 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     exploded = nodes.select("fp", F.explode("bands").alias("band"))
     crowded = materialise(
-        exploded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("a"))
-        .filter("size > 1"), "crowded")
+        exploded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"),
+        "crowded")
     n_members = nodes.count() * BANDS
+    members = materialise(
+        join_groups(exploded, crowded, "band", F.col("size"), n_members), "members")
+    # What copies were made from shares more buckets with them than they do with each other.
+    known = members.groupBy("fp").agg(F.sum("size").alias("known"))
+    centres = members.join(known, "fp").groupBy("band", "size").agg(
+        F.max(F.struct("known", "fp"))["fp"].alias("a"))
     buckets = materialise(
-        join_groups(exploded, crowded, "band", F.col("size"), n_members)
-        .select("band", "fp", "a"), "buckets")
+        join_groups(members.drop("size"), materialise(centres, "centres"), "band",
+                    F.col("size"), n_members).select("band", "fp", "a"), "buckets")
     first = materialise(
-        buckets.filter("a != fp").select("a", F.col("fp").alias("b")).distinct(), "pairs")
+        buckets.filter("a != fp")
+        .select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct(),
+        "pairs")
     wanted = buckets.select("fp").distinct().join(
         nodes.select("fp", F.col("rep").alias("doc_id")), "fp")
     texts = docs.select(quoted(id_column).cast("long").alias("id"),
@@ -256,17 +344,18 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     texts = materialise(texts.dropDuplicates(["fp"]) if _ids_repeat(sigs) else texts, "texts")
 
     links = materialise(verified(first, texts, idf, similar), "links")
-    members = materialise(_labelled(buckets.select("band", "fp"), links), "members")
-    mixed_bands = members.groupBy("band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    open_ = materialise(members.join(mixed_bands.select("band"), "band"), "open")
-    other = open_.select("band", F.col("fp").alias("b"), F.col("label").alias("label_b"))
-    second = (
-        open_.join(other, "band").filter(F.col("label") < F.col("label_b"))
-        .select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti"))
-    more = materialise(verified(second, texts, idf, similar), "links")
-    all_links = links.unionByName(more)
+    tested = first
+    buckets = buckets.select("band", "fp")
+    for turn in range(ROUNDS + 1):
+        open_ = _open_buckets(buckets, links)
+        if turn < ROUNDS:
+            pairs = _with_centres(open_, turn)
+        else:
+            pairs = _across(open_, texts, idf, similar)
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(pairs, texts, idf, similar), "links")
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+    all_links = links
     roots = components(all_links)
     ends = all_links.select(F.col("a").alias("fp")).unionByName(
         all_links.select(F.col("b").alias("fp"))).groupBy("fp").agg(
