@@ -253,8 +253,13 @@ def _across(open_: DataFrame, texts: DataFrame, idf, similar: float) -> DataFram
     texts share, unless a text has little else; no pair is lost.
     """
     def cross(rows: DataFrame) -> DataFrame:
-        other = rows.select("band", F.col("fp").alias("other"), F.col("label").alias("label_o"))
-        return rows.join(other, "band").filter("label < label_o").select(*_pair("fp", "other"))
+        """What two texts share from their first shared run on is no more than either's rest."""
+        other = rows.select("band", *[F.col(c).alias(f"{c}_o")
+                                      for c in ("fp", "label", "rest", "total")])
+        enough = F.least("rest", "rest_o") >= (F.col("total") + F.col("total_o")) * F.lit(
+            similar / (1 + similar) * (1 - 1e-9))
+        return rows.join(other, "band").filter((F.col("label") < F.col("label_o")) & enough).select(
+            *_pair("fp", "fp_o"))
 
     def each(sampler: Sampler, batch: pd.DataFrame):
         for _, hashes, counts in sampler.groups(list(batch["text"])):
@@ -281,22 +286,29 @@ def _across(open_: DataFrame, texts: DataFrame, idf, similar: float) -> DataFram
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler, often = Sampler(idf.value), frequency.value
         for batch in batches:
-            kept = []
+            kept, rests, totals = [], [], []
             for runs, weights in each(sampler, batch):
                 own = often[(runs >> np.uint64(44)).astype(np.int64)]
                 order = np.lexsort((runs, own))
                 before = np.cumsum(weights[order]) - weights[order]
                 first = order[before <= (1 - similar) * weights.sum() * (1 + 1e-9)]
-                kept.append(runs[first[own[first] > 1]].view(np.int64))
-            yield batch[["fp", "label"]].assign(bands=kept)
-
-    found = source.mapInPandas(rare, "fp binary, label binary, bands array<long>")
-    found = materialise(found.select("fp", "label", F.explode("bands").alias("band")), "rare")
+                met = own[first] > 1
+                kept.append(runs[first[met]].view(np.int64))
+                rests.append((weights.sum() - before[:len(first)])[met])
+                totals.append(weights.sum())
+            yield batch[["fp", "label"]].assign(bands=kept, rests=rests, total=totals)
+
+    found = source.mapInPandas(
+        rare, "fp binary, label binary, bands array<long>, rests array<double>, total double")
+    found = materialise(found.select(
+        "fp", "label", "total", F.explode(F.arrays_zip("bands", "rests")).alias("x")).select(
+        "fp", "label", "total", F.col("x.bands").alias("band"), F.col("x.rests").alias("rest")),
+        "rare")
     shared = found.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     shared = shared.filter("low != high").select("band")
-    small = open_.filter(F.col("size") <= CROWD).select("fp", "label", "band")
-    return cross(small).unionByName(cross(found.join(shared, "band").select(
-        "fp", "label", "band")))
+    small = open_.filter(F.col("size") <= CROWD).select(
+        "fp", "label", "band", F.lit(1.0).alias("rest"), F.lit(0.0).alias("total"))
+    return cross(small).unionByName(cross(found.join(shared, "band").select(*small.columns)))
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
