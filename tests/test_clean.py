@@ -227,3 +227,39 @@ class TestFeatures:
         assert name == "a_divide_b" and column(out, f"`{name}`") == [2.0, None]
         with pytest.raises(ValueError):
             features.create_interaction_feature(df, "a", "b", "power")
+
+
+class TestPowerFarFromOne:
+    """Columns on which the plain formula cancels or overflows, against a search in numpy."""
+
+    @pytest.mark.parametrize("method", ["boxcox", "yeojohnson"])
+    @pytest.mark.parametrize("kind", ["years", "narrow"])
+    def test_fit(self, spark, method, kind):
+        rng = np.random.default_rng(1)
+        x = rng.integers(1990, 2025, 800).astype(float) if kind == "years" else (
+            1000 + rng.random(800))
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        power = transform.fit_power(df, "x", method)
+        logs = np.log(x) if method == "boxcox" else np.log1p(x)
+        logs -= logs.mean()
+
+        def fit(p):
+            return -len(x) / 2 * np.log(np.var(np.expm1(p * logs) / p))
+
+        reach = max(0.1, abs(power) / 10)
+        best = max(fit(p) for p in power + np.linspace(-reach, reach, 2_000))
+        assert fit(power) >= best - 1e-6
+
+    def test_two_sided(self, spark):
+        x = np.random.default_rng(4).normal(0.5, 2, 800)
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+
+        def fit(p):
+            y = np.where(x >= 0, (np.abs(x) + 1) ** p - 1, 0) / p - np.where(
+                x < 0, (1 + np.abs(x)) ** (2 - p) - 1, 0) / (2 - p)
+            return (p - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum() - len(x) / 2 * np.log(
+                np.var(y))
+
+        grid = np.linspace(0.5, 1.5, 2_000)
+        best = grid[int(np.argmax([fit(p) for p in grid]))]
+        assert abs(transform.fit_power(df, "x", "yeojohnson") - best) < 1e-3

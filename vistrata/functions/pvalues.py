@@ -12,9 +12,11 @@ import math
 
 _TINY = 1e-300
 _EPS = 1e-16
+# Parameters from which asymptotic forms are used, and the error they may have.
+_LARGE, _LARGE_ERROR = 1e5, 1e-9
 
 
-def _continued_fraction(numerators, denominators, limit: int = 20_000) -> float:
+def _continued_fraction(numerators, denominators, limit: int = 2_000_000) -> float:
     """b0 + a1/(b1 + a2/(b2 + ...)) by the modified Lentz scheme."""
     value = denominators(0) or _TINY
     c, d = value, 0.0
@@ -24,18 +26,26 @@ def _continued_fraction(numerators, denominators, limit: int = 20_000) -> float:
         c = (b + a / c) or _TINY
         value *= c * d
         if abs(c * d - 1.0) < _EPS * 4:
-            break
-    return value
+            return value
+    raise ArithmeticError("the continued fraction of a tail probability does not converge")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
+def incomplete_beta(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b).
+
+    ``rest`` is 1 - x, for callers that know it more exactly than x near 1 tells.
+    Where ``a`` outweighs ``b`` by far, the gamma limit in -ln x is exact to about
+    b^3 / a^2.
+    """
+    rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
+    if a > _LARGE and b ** 3 < _LARGE_ERROR * a * a:
+        return incomplete_gamma_upper(b, -(a + (b - 1.0) / 2.0) * math.log1p(-rest))
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - incomplete_beta(b, a, 1.0 - x)
+        return 1.0 - incomplete_beta(b, a, rest, x)
 
     def numerator(i: int) -> float:
         m = i // 2
@@ -45,7 +55,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
     front = (
         math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
+        + a * (math.log(x) if x < 0.5 else math.log1p(-rest)) + b * math.log(rest)
     )
     return math.exp(front) / a / _continued_fraction(numerator, lambda i: 1.0)
 
@@ -54,6 +64,8 @@ def incomplete_gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
     if x <= 0.0:
         return 1.0
+    if a > _LARGE:
+        return _large_gamma_upper(a, x)
     front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -70,10 +82,25 @@ def incomplete_gamma_upper(a: float, x: float) -> float:
     return min(1.0, front * fraction)
 
 
+def _large_gamma_upper(a: float, x: float) -> float:
+    """Q(a, x) by Temme's uniform expansion (DLMF 8.12.4), first term; relative to 1/a."""
+    mu = (x - a) / a
+    if abs(mu) < 1e-3:
+        half_square = mu * mu * (0.5 - mu / 3 + mu * mu / 4 - mu ** 3 / 5)
+    else:
+        half_square = mu - math.log1p(mu)
+    eta = math.copysign(math.sqrt(2.0 * half_square), mu)
+    bend = -1.0 / 3.0 + mu / 12.0 if abs(mu) < 1e-4 else 1.0 / mu - 1.0 / eta
+    density = math.exp(-a * half_square) / math.sqrt(2.0 * math.pi * a)
+    return min(1.0, max(0.0, 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + density * bend))
+
+
 def t_two_sided(t: float | None, df: float) -> float | None:
     if t is None or df <= 0:
         return None
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    if math.isinf(t):
+        return 0.0
+    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def correlation_p(r: float | None, n: int) -> float | None:
@@ -90,7 +117,8 @@ def f_upper(f: float | None, d1: float, d2: float) -> float | None:
         return None
     if math.isinf(f):
         return 0.0
-    return incomplete_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return incomplete_beta(
+        d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def chi2_upper(x: float | None, dof: int) -> float | None:

@@ -227,7 +227,7 @@ def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
     p = pvalues.chi2_upper(statistic, dof) if n else None
     return df.sparkSession.createDataFrame(
         [(n, dof, _rounded(statistic, 4), _rounded(p, 6))],
-        "n long, dof int, chi2 double, chi2_p double",
+        "n long, dof long, chi2 double, chi2_p double",
     )
 
 
