@@ -32,7 +32,7 @@ from vistrata.llm.tables import quoted
 MARK = "▁"
 # Fixed values of the model format: the types of pieces.
 NORMAL, BYTE = 1, 6
-# Words and pairs remembered per task.
+# Words, in each of two tables, and pairs remembered per task.
 CACHE_WORDS = 300_000
 CACHE_PAIRS = 500_000
 NO_SCORE = float("-inf")
@@ -73,6 +73,7 @@ class PieceCoder:
         self.split = re.compile(self._word_pattern()).findall
         self.pairs: dict = {}
         self.words: dict = {}
+        self.older: dict = {}  # the table before, so frequent words are not coded again
         self._build()
 
     def _word_pattern(self) -> str:
@@ -253,10 +254,12 @@ class PieceCoder:
         Bytes stand for whole characters, so no run of bytes goes on in the next
         word in a way that decodes differently; words are decoded one by one.
         """
-        ids = [i for part in self.split(MARK + word) for i in self.ids(self.pieces(part))]
-        known = (len(ids), ",".join(map(str, ids)), self.text_of(ids))
+        known = self.older.get(word)
+        if known is None:
+            ids = [i for part in self.split(MARK + word) for i in self.ids(self.pieces(part))]
+            known = (len(ids), ",".join(map(str, ids)), self.text_of(ids))
         if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         if len(word) <= 64:
             self.words[word] = known
         return known
