@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # noqa: E402
 
 from vistrata.functions.columns import col  # noqa: E402
@@ -169,7 +170,12 @@ def _association_queries() -> dict[str, Query]:
         "group_stats": on_messy(lambda d: association.group_stats(d, "price", "flag")),
         "anova": on_table(
             "orders", lambda d: association.anova(d, "o_totalprice", "o_orderstatus")),
-        "crosstab": on_messy(lambda d: association.crosstab(d, "flag", "status")),
+        "crosstab": on_messy(lambda d: association.crosstab(d, "flag", "status", ["F", "O"])),
+        "crosstab_parts": on_table("lineitem", lambda d: association.crosstab(
+            d.withColumn("mode", F.col("l_linenumber")), "mode", "l_partkey",
+            list(range(1, 1_501)))),
+        "crosstab_observed": on_table(
+            "lineitem", lambda d: association.crosstab(d, "l_partkey", "l_suppkey")),
         "chi2": on_messy(lambda d: association.chi_square(d, "flag", "status")),
         "chi2_yates": on_messy(
             lambda d: association.chi_square(d, "is_bulk", "status").drop("chi2_p")),
@@ -245,6 +251,10 @@ def _encode_queries() -> dict[str, Query]:
     return {
         "encode_label": coded(keyed("flag_encoded"), "flag", "label"),
         "encode_onehot": coded(keyed("flag_A", "flag_N", "flag_R"), "flag", "onehot"),
+        "encode_onehot_sparse": on_messy(lambda d: encode.encode_categorical(
+            d, "flag", "onehot_sparse")[0].select(*KEYS, F.concat_ws(",", F.transform(
+                vector_to_array("flag_onehot"), lambda v: v.cast("int").cast("string"))).alias(
+                    "flags"))),
         "encode_ordinal": coded(keyed("flag_ordinal"), "flag", "ordinal",
                                 ordinal_order=["R", "A"]),
         "encode_ordinal_sorted": coded(keyed("flag_ordinal"), "flag", "ordinal"),
@@ -308,7 +318,7 @@ def _evaluation_queries() -> dict[str, Query]:
             "flag", "guess")),
         "confusion_matrix": on_messy(lambda d: evaluate.confusion_matrix(
             d.withColumn("guess", F.when(F.col("status") == "F", "A").otherwise("N")),
-            "flag", "guess")),
+            "flag", "guess", ["A", "N", "R"])),
         "roc_points": scored(lambda d: rounded(evaluate.roc_points(d, "quality", "score"))),
         "roc_auc": scored(lambda d: evaluate.roc_auc(d, "quality", "score")),
         "roc_auc_bulk": on_messy(lambda d: evaluate.roc_auc(d, "is_bulk", "price")),
@@ -328,15 +338,16 @@ def _chart_queries() -> dict[str, Query]:
         "distribution_bars_category": on_table(
             "part", lambda d: chartdata.distribution_bars(d, "p_brand")),
         "scatter_bins": on_messy(lambda d: chartdata.scatter_bins(d, "quantity", "price", 10)),
-        "scatter_sample": on_messy(
-            lambda d: chartdata.scatter_sample(d, "quantity", "price", "flag", 2_000)),
+        "scatter_points": on_messy(
+            lambda d: rounded(chartdata.scatter_points(d, "quantity", "price", "flag"))),
         "trendline": on_messy(lambda d: chartdata.trendline(d, "quantity", "price", "flag")),
         "box_stats": on_messy(lambda d: chartdata.box_stats(d, "price", "flag")),
         "box_stats_all": on_messy(lambda d: chartdata.box_stats(d, "price")),
         "outlier_points": on_messy(
             lambda d: rounded(chartdata.outlier_points(d, "price", KEYS))),
         "time_series": on_table("events", lambda d: chartdata.time_series(d, "ts", "value")),
-        "crosstab_long": on_messy(lambda d: association.crosstab(d, "is_bulk", "flag")),
+        "crosstab_long": on_messy(lambda d: association.crosstab(
+            d, "is_bulk", "flag", ["A", "N", "R"])),
     }
 
 
@@ -404,6 +415,11 @@ def _model_queries() -> dict[str, Query]:
         return by_class.groupBy(F.col("label").cast("int").alias("label")).agg(*counts).unionByName(
             whole.agg(F.lit(-1).alias("label"), *counts))
 
+    def split_members(df: DataFrame) -> DataFrame:
+        data = split.prepare(_with_targets(df), "revenue", "regression", INPUTS)
+        return rounded(split.mark_test(data).filter("_test").groupBy(*data.inputs).agg(
+            F.count("*").alias("n")).withColumnsRenamed(dict(zip(data.inputs, INPUTS))))
+
     def cv_scores(df: DataFrame) -> DataFrame:
         data = split.prepare(_with_targets(df), "revenue", "regression", INPUTS)
         found = models.cross_validate(data, "Linear Regression", 5)
@@ -430,7 +446,8 @@ def _model_queries() -> dict[str, Query]:
     def preview(df: DataFrame) -> DataFrame:
         model = models.fit_all(
             _with_targets(df), "tier", "Logistic Regression", "classification", INPUTS)
-        return model.predict(df).select(*INPUTS, "prediction_label").limit(500)
+        return model.predict(df).select(*KEYS, *INPUTS, "prediction_label").orderBy(
+            *KEYS).limit(500)
 
     def confusion(df: DataFrame) -> DataFrame:
         model = models.train_model(_with_targets(df), "tier", "Decision Tree", "classification",
@@ -439,11 +456,12 @@ def _model_queries() -> dict[str, Query]:
 
     def importances(df: DataFrame) -> DataFrame:
         source = _with_targets(df).select(*INPUTS, "revenue")
-        return models.rf_feature_importance(source, "revenue", n_estimators=20)
+        return models.rf_feature_importance(source, "revenue")
 
     return {
         "prepare_features": on_messy(prepared),
         "split_sizes": on_messy(split_sizes),
+        "split_members": on_messy(split_members),
         "linreg_simple": simple("Linear Regression"),
         "ridge_simple": simple("Ridge"),
         "lasso_simple": simple("Lasso"),
@@ -508,16 +526,11 @@ def _describe_sql(columns: list[str], source: str) -> str:
 
 
 def _top5_sql(columns: list[str], source: str) -> str:
-    # Equal counts are ordered by value; of long texts, by their beginning and hash.
-    def key(c: str) -> str:
-        return (f"CASE WHEN length({c}::VARCHAR) > 64 THEN substring({c}::VARCHAR, 1, 64)"
-                f" || chr(0) || sha256({c}::VARCHAR) ELSE {c}::VARCHAR END")
-
+    # Equal counts are ordered by value.
     return union_sql(
         f"SELECT '{c}' AS \"column\", value, n, rank FROM (SELECT *, row_number() OVER"
-        f" (ORDER BY n DESC, key) AS rank FROM (SELECT CAST({c} AS VARCHAR) AS value,"
-        f" {key(c)} AS key, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1, 2))"
-        " WHERE rank <= 5"
+        f" (ORDER BY n DESC, value) AS rank FROM (SELECT CAST({c} AS VARCHAR) AS value,"
+        f" count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= 5"
         for c in columns
     )
 
@@ -766,6 +779,13 @@ def _association_sql() -> dict[str, str]:
                  " SELECT k AS groups, CAST(n AS BIGINT) AS n, round(f, 4) AS anova_f,"
                  " round((1 + 2 * f / (n - k)) ** (-(n - k) / 2.0), 6) AS anova_p FROM f",
         "crosstab": _crosstab_sql("flag", "status"),
+        "crosstab_parts": "SELECT CAST(a.x AS VARCHAR) AS x, CAST(b.y AS VARCHAR) AS y,"
+                          " coalesce(n, 0) AS n FROM (SELECT DISTINCT l_linenumber AS x FROM"
+                          " lineitem) a CROSS JOIN (SELECT unnest(range(1, 1501)) AS y) b LEFT JOIN"
+                          " (SELECT l_linenumber AS x, l_partkey AS y, count(*) AS n FROM lineitem"
+                          " GROUP BY ALL) c ON c.x = a.x AND c.y = b.y",
+        "crosstab_observed": "SELECT CAST(l_partkey AS VARCHAR) AS x, CAST(l_suppkey AS VARCHAR)"
+                             " AS y, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey",
         "crosstab_long": _crosstab_sql("is_bulk", "flag"),
         "chi2": with_sql(
             "SELECT CAST(sum(o) AS BIGINT) AS n, 2 AS dof, round(sum((o - e) ** 2 / e), 4) AS chi2,"
@@ -876,6 +896,9 @@ def _encode_sql() -> dict[str, str]:
             f"SELECT {KEY_SQL}, coalesce(code, -1) AS flag_encoded FROM messy LEFT JOIN codes"
             " USING (flag)", codes),
         "encode_onehot": with_sql(f"SELECT {KEY_SQL}, {hot} FROM messy"),
+        "encode_onehot_sparse": with_sql(
+            f"SELECT {KEY_SQL}, concat_ws(',', flag_A, flag_N, flag_R) AS flags FROM"
+            f" (SELECT {KEY_SQL}, {hot} FROM messy)"),
         "encode_ordinal": with_sql(
             f"SELECT {KEY_SQL}, CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 1 END AS flag_ordinal"
             " FROM messy"),
@@ -1050,6 +1073,9 @@ def _chart_sql() -> dict[str, str]:
             "SELECT len(list_filter(ex, lambda z: z <= quantity)) AS x_bin,"
             " len(list_filter(ey, lambda z: z <= price)) AS y_bin, count(*) AS n FROM messy, e"
             " WHERE quantity IS NOT NULL GROUP BY 1, 2", grid),
+        "scatter_points": with_sql(
+            "SELECT round(quantity, 6) AS quantity, round(price, 6) AS price, flag FROM messy"
+            " WHERE quantity IS NOT NULL"),
         "trendline": with_sql(
             "SELECT flag AS color, count(*) AS n, round(regr_slope(price, quantity), 4) AS slope,"
             " round(regr_intercept(price, quantity), 4) AS intercept,"
@@ -1093,12 +1119,21 @@ def _model_sql() -> dict[str, str]:
     SELECT label, n, CAST(base + CASE WHEN i <= (SELECT want FROM t) - (SELECT sum(base) FROM f)
            THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM o
     UNION ALL SELECT -1, n, want FROM t"""
+    members = """, k AS (SELECT quantity, discount, tax, concat_ws('|', quantity, discount, tax,
+        revenue, row_number() OVER (PARTITION BY quantity, discount, tax, revenue)) AS key FROM p),
+    i AS (SELECT *, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS id FROM k),
+    h AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY
+          CAST('0x' || substr(md5('42:' || id), 1, 13) AS BIGINT)) AS place FROM i)"""
     return {
         "prepare_features": with_sql(
             "SELECT CAST(tier AS DOUBLE) AS label, count(*) AS n, round(sum(quantity), 2)"
             " AS quantity, round(sum(discount), 2) AS discount, round(sum(tax), 2) AS tax FROM p"
             " GROUP BY tier", complete),
         "split_sizes": with_sql("", complete + sizes),
+        "split_members": with_sql(
+            "SELECT round(quantity, 6) AS quantity, round(discount, 6) AS discount,"
+            " round(tax, 6) AS tax, count(*) AS n FROM h WHERE place <= ceil(total * 0.2::DOUBLE)"
+            " GROUP BY 1, 2, 3", complete + members),
         "linreg_simple": line("sxy / sxx"),
         "ridge_simple": line("sxy / (sxx + 1)"),
         "lasso_simple": line("sign(sxy) * greatest(abs(sxy) / n - 1, 0) / (sxx / n)"),

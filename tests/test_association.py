@@ -62,12 +62,16 @@ class TestPairs:
         row = association.anova(tiny("constant"), "x", "c").first()
         assert (row.groups, row.anova_f, row.anova_p) == (1, None, None)
 
-    def test_crosstab_has_zero_cells(self, spark):
+    def test_crosstab_over_listed_values_has_zero_cells(self, spark):
         df = spark.createDataFrame([("a", "u"), ("b", "v"), ("b", None)], "x string, y string")
-        cells = {(r.x, r.y): r.n for r in association.crosstab(df, "x", "y").collect()}
+        cells = {(r.x, r.y): r.n for r in association.crosstab(df, "x", "y", ["u", "v"]).collect()}
         assert cells == {("a", "u"): 1, ("a", "v"): 0, ("b", "u"): 0, ("b", "v"): 1}
-        assert association.crosstab(df, "x", "y", dense=False).count() == 2
-        assert association.dense_cells(association._cells(df, "x", "y"), limit=1).count() == 2
+        assert association.crosstab(df, "x", "y").count() == 2
+
+    def test_crosstab_of_many_values_is_complete(self, spark):
+        df = spark.range(3_000).selectExpr("id % 2 AS x", "id % 1001 AS y")
+        assert association.crosstab(df, "x", "y", list(range(1_001))).count() == 2_002
+        assert association.crosstab(df, "x", "y").count() == df.distinct().count()
 
     def test_chi_square_counts_unseen_cells(self, spark):
         rows = [("a", "u")] * 10 + [("b", "v")] * 20 + [("c", "w")] * 5 + [("a", "v")] * 3

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.operators import clean, encode, features, transform
+from vistrata.operators import clean, encode, features, profile, transform
 
 
 def column(df, name):
@@ -149,9 +149,31 @@ class TestEncode:
         total = out.select(sum(F.col(n) for n in names).alias("t"))
         assert sum(r.t for r in total.collect()) == sample_pdf["category"].notna().sum()
 
-    def test_onehot_guard(self, sample):
-        with pytest.raises(ValueError):
-            encode.encode_categorical(sample, "city", "onehot", max_categories=2)
+    def test_onehot_of_listed_categories(self, sample):
+        out, summary = encode.encode_categorical(sample, "category", "onehot", categories=["B", "?"])
+        assert summary.first().new_columns == ["category_B", "category_?"]
+        assert out.agg(F.max("category_?")).first()[0] == 0
+
+    def test_sparse_onehot_of_any_width(self, spark):
+        df = spark.range(4_000).selectExpr(
+            "id", "CASE WHEN id % 5 > 0 THEN concat('v', lpad(id, 5, '0')) END AS c")
+        out, _ = encode.encode_categorical(df, "c", "onehot_sparse", broadcast_bytes=0)
+        rows = {r.id: r.c_onehot for r in out.collect()}
+        assert len(rows) == 4_000 and {v.size for v in rows.values()} == {3_200}
+        assert not len(rows[0].indices) and list(rows[1].indices) == [0]
+        assert list(rows[3_999].indices) == [3_199]
+
+    def test_sparse_onehot_without_values(self, spark):
+        df = spark.createDataFrame([(None,), (None,)], "c string")
+        out, _ = encode.encode_categorical(df, "c", "onehot_sparse")
+        assert [len(r[0].indices) for r in out.collect()] == [0, 0]
+
+    def test_mode_of_long_texts_is_the_smallest_of_the_ties(self, spark):
+        texts = ["x" * 80 + c for c in "dbca"] * 2 + [None]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        assert clean.modes(df, ["t"])["t"] == "x" * 80 + "a"
+        top = profile.top_values(df, ["t"], 3).orderBy("rank").collect()
+        assert [r.value[-1] for r in top] == ["a", "b", "c"]
 
     def test_names_with_dots_and_quotes(self, spark):
         df = spark.createDataFrame([("it's a.b`c",), (None,)], "`k.v` string")

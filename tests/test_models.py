@@ -41,6 +41,26 @@ class TestSplit:
         again = {r._row for r in split.mark_test(data, 0.23).filter("_test").collect()}
         assert first == again
 
+    def test_split_does_not_depend_on_the_layout(self, spark):
+        df = spark.range(2_000).selectExpr("(id % 700) * 0.5D AS x", "(id % 13) * 1.0D AS y")
+        tests = []
+        for rows in (df, df.repartition(7), df.orderBy(F.desc("x")).coalesce(1)):
+            marked = split.mark_test(split.prepare(rows, "y")).filter("_test")
+            tests.append(sorted(tuple(r) for r in marked.select("_f0", "label", "_row").collect()))
+        assert len(tests[0]) == 400 and tests[0] == tests[1] == tests[2]
+
+    def test_many_classes(self, spark):
+        df = spark.range(3_000).selectExpr("id * 1.0D AS x", "concat('c', id % 1500) AS c")
+        data = split.prepare(df, "c", "classification", ["x"])
+        assert len(data.classes) == 1_500
+        assert data.rows.agg(F.max("label")).first()[0] == 1_499
+
+    def test_frequent_rows_are_written_in_blocks(self, spark, monkeypatch):
+        monkeypatch.setattr(split, "COPIES_PER_TASK", 10)
+        df = spark.range(95).selectExpr("1.0D AS x", "id % 2 * 1.0D AS y")
+        data = split.prepare(df, "y")
+        assert data.rows.count() == 95 == data.rows.select("_row").distinct().count()
+
     def test_identical_rows_are_split_too(self, spark):
         df = spark.createDataFrame([(1.0, 2.0)] * 100, "x double, y double")
         marked = split.mark_test(split.prepare(df, "y"), 0.25)

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from vistrata.operators import clean, encode, profile
+from vistrata.operators import association, clean, encode, profile
 from vistrata.plans.inspect import count_nodes, plan_text
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -56,6 +56,18 @@ def test_large_dictionaries_are_not_broadcast_whole(messy, spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_rank_plans_grow_linearly(messy, spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    names = ["price", "quantity", "discount", "tax", "l_partkey", "l_suppkey"]
+    try:
+        scans = [count_nodes(association.average_ranks(messy, names[:k], 0), "Scan")
+                 for k in (1, 3, 6)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert scans[2] <= 6 * scans[0] and scans[2] - scans[1] <= 3 * scans[0]
+
+
 def test_no_cross_join_in_any_profile(messy):
     for run in (profile.overview, profile.correlation_matrix, profile.quality_summary):
         text = plan_text(run(messy))

@@ -98,7 +98,8 @@ class TestCharts:
         assert row.n == row.outliers + len(inside)
 
     def test_scatter(self, sample):
-        assert chartdata.scatter_sample(sample, "salary", "score", "city").count() == 103
+        points = chartdata.scatter_points(sample, "salary", "score", "city")
+        assert points.columns == ["salary", "score", "city"] and points.count() == 103
         bins = chartdata.scatter_bins(sample, "salary", "score", 5).collect()
         assert sum(r.n for r in bins) == 103 and all(0 <= r.x_bin < 5 for r in bins)
 
@@ -126,7 +127,7 @@ class TestEvaluate:
         row = evaluate.eval_classification(df, "y", "p").first()
         assert (row.precision_weighted, row.recall_weighted, row.f1_weighted) == (0.0, 0.0, 0.0)
         cells = {(r.actual, r.predicted): r.n for r in
-                 evaluate.confusion_matrix(df, "y", "p").collect()}
+                 evaluate.confusion_matrix(df, "y", "p", ["a", "b"]).collect()}
         assert cells == {("a", "a"): 0, ("a", "b"): 2, ("b", "a"): 0, ("b", "b"): 0}
 
     def test_regression_edges(self, spark):

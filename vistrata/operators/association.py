@@ -15,8 +15,6 @@ from vistrata.operators.ordered import running_totals
 from vistrata.operators.profile import correlation_pairs
 from vistrata.operators.quantiles import grouped_quantiles
 
-# Values of one crosstab axis that may become columns (zero cells are filled in).
-DENSE_VALUES = 1_000
 VIF_LIMIT = 5.0
 
 
@@ -162,41 +160,39 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def dense_cells(cells: DataFrame, limit: int = DENSE_VALUES) -> DataFrame:
-    """Fill the zero cells of ``x, y, n`` counts, values as text.
+def dense_cells(cells: DataFrame, y_values: list) -> DataFrame:
+    """All cells of ``x, y, n`` counts over the given values of ``y``, zeros included.
 
-    The values of ``y`` become columns and back, which bounds the extra rows by
-    the values of ``x`` times ``limit``. With more values only the cells that
-    occur are returned: their zeros are implied.
+    Values are compared as text. Each ``x`` holds one map of its listed cells, so
+    the list bounds what a group gathers.
     """
-    texts = cells.select(
-        F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n"
-    )
-    found = texts.select("y").distinct().orderBy("y").limit(limit + 1).collect()
-    if not found or len(found) > limit:
-        return texts
-    wanted = [r[0] for r in found]
-    counts = F.array(*[
-        F.struct(F.lit(v).alias("y"),
-                 F.coalesce(F.sum(F.when(F.col("y") == v, F.col("n"))), F.lit(0)).alias("n"))
-        for v in wanted
-    ])
+    wanted = [str(v) for v in dict.fromkeys(y_values)]
+    texts = _as_text(cells)
+    own = F.when(F.col("y").isin(wanted), F.struct("y", "n"))
+    listed = F.transform(F.array(*[F.lit(v) for v in wanted]), lambda v: F.struct(
+        v.alias("y"), F.coalesce(F.try_element_at(F.col("seen"), v), F.lit(0)).alias("n")))
     return (
-        texts.groupBy("x").agg(counts.alias("cells"))
-        .select("x", F.explode("cells").alias("c")).select("x", "c.y", "c.n")
+        texts.groupBy("x").agg(F.map_from_entries(F.collect_list(own)).alias("seen"))
+        .select("x", F.explode(listed).alias("c")).select("x", "c.y", "c.n")
     )
 
 
-def crosstab(df: DataFrame, x: str, y: str, dense: bool = True) -> DataFrame:
-    """``x, y, n``: contingency counts in long form, zero cells included."""
-    cells = _cells(df, x, y)
-    if dense:
-        return dense_cells(cells)
+def _as_text(cells: DataFrame) -> DataFrame:
     return cells.select(
         F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n"
     )
 
 
+def crosstab(df: DataFrame, x: str, y: str, y_values: list | None = None) -> DataFrame:
+    """``x, y, n``: contingency counts in long form.
+
+    Without ``y_values`` these are the cells that occur, whatever their number.
+    With a list of values there is one cell per ``x`` and listed value, zeros included.
+    """
+    cells = _cells(df, x, y)
+    return _as_text(cells) if y_values is None else dense_cells(cells, y_values)
+
+
 def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, dof, chi2, chi2_p``; Yates' correction for one degree of freedom.
 

@@ -57,14 +57,11 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = MAX_BINS) -> DataFra
     ).agg(F.count("*").alias("n"))
 
 
-def scatter_sample(
-    df: DataFrame, x: str, y: str, color: str | None = None, points: int = 10_000, seed: int = 42
-) -> DataFrame:
-    """About ``points`` raw points, drawn uniformly; all of them in a smaller table."""
-    require(df, x, y, *([color] if color else []))
-    rows = df.select(*[col(c) for c in dict.fromkeys([x, y, *([color] if color else [])])])
-    n = rows.count()
-    return rows if n <= points else rows.sample(fraction=points / n, seed=seed)
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+    """Every point with both coordinates, as a lazy projection; ``scatter_bins`` reduces."""
+    names = list(dict.fromkeys([x, y, *([color] if color else [])]))
+    require(df, *names)
+    return normalise_missing(df).select(*[col(c) for c in names]).na.drop(subset=[x, y])
 
 
 def trendline(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -6,15 +6,14 @@ the rows (see ``lookup``); no window or sort runs over the rows themselves.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, functions as F
 
 from vistrata.functions.columns import col, normalise_missing, require
 from vistrata.operators.lookup import ValueSize, attach_by_value, value_sizes
 from vistrata.operators.ordered import running_totals
 
-ENCODING_METHODS = ("label", "onehot", "ordinal", "frequency")
-# Columns a one-hot encoding may add before the caller has to ask for more.
-MAX_CATEGORIES = 1_000
+ENCODING_METHODS = ("label", "onehot", "onehot_sparse", "ordinal", "frequency")
 
 
 def encode_categorical(
@@ -23,21 +22,25 @@ def encode_categorical(
     method: str = "label",
     ordinal_order: list | None = None,
     drop_original: bool = True,
-    max_categories: int = MAX_CATEGORIES,
+    categories: list | None = None,
     broadcast_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Encode one column; the original is dropped unless asked otherwise.
 
     label: position among the sorted values, missing is -1. onehot: one 0/1 column
-    per sorted value, all 0 for missing. ordinal: position in the given order (or
-    the sorted values), missing if unknown. frequency: share among present values.
+    per listed category, or per sorted value, all 0 for missing. onehot_sparse: the
+    same flags as one sparse vector, for columns of any cardinality. ordinal: position
+    in the given order (or the sorted values), missing if unknown. frequency: share
+    among present values.
     """
     if method not in ENCODING_METHODS:
         raise ValueError(f"method must be one of {ENCODING_METHODS}")
     require(df, column)
     clean = normalise_missing(df)
     if method == "onehot":
-        result, added = _onehot(clean, column, max_categories)
+        result, added = _onehot(clean, column, categories)
+    elif method == "onehot_sparse":
+        result, added = _sparse(clean, column, broadcast_bytes)
     elif method == "ordinal" and ordinal_order:
         result, added = _given_order(clean, column, ordinal_order)
     else:
@@ -53,14 +56,12 @@ def encode_categorical(
     return result, summary
 
 
-def _onehot(df: DataFrame, column: str, max_categories: int) -> tuple[DataFrame, list[str]]:
-    values = df.select(col(column).alias("v")).na.drop().distinct()
-    found = [r[0] for r in values.orderBy("v").limit(max_categories + 1).collect()]
-    if len(found) > max_categories:
-        raise ValueError(
-            f"{column!r} has more than {max_categories} values; pass max_categories to allow it"
-        )
-    names = {f"{column}_{v}": v for v in found}
+def _onehot(df: DataFrame, column: str, categories: list | None) -> tuple[DataFrame, list[str]]:
+    """Flag columns; their names are the schema of the result, so the driver holds them."""
+    if categories is None:
+        values = df.select(col(column).alias("v")).na.drop().distinct()
+        categories = [r[0] for r in values.orderBy("v").collect()]
+    names = {f"{column}_{v}": v for v in categories}
     flags = {
         name: F.coalesce(col(column) == F.lit(v), F.lit(False)).cast("int")
         for name, v in names.items()
@@ -68,6 +69,21 @@ def _onehot(df: DataFrame, column: str, max_categories: int) -> tuple[DataFrame,
     return (df.withColumns(flags) if flags else df), list(names)
 
 
+def _sparse(
+    df: DataFrame, column: str, broadcast_bytes: int | None
+) -> tuple[DataFrame, list[str]]:
+    coded, (code,) = _by_value(df, column, "label", broadcast_bytes)
+    name = f"{column}_onehot"
+    top = coded.agg(F.max(code)).first()[0]
+    # Missing values get the code after the last one, which the encoder drops.
+    last = F.lit(max(-1 if top is None else top, -1) + 1).cast("double")
+    place = F.when(col(code) < 0, last).otherwise(col(code).cast("double"))
+    ready = coded.withColumn("_place", place)
+    sizes = df.sparkSession.range(1).select(last.alias("_place"))
+    encoder = OneHotEncoder(inputCols=["_place"], outputCols=[name], dropLast=True).fit(sizes)
+    return encoder.transform(ready).drop("_place", code), [name]
+
+
 def _given_order(df: DataFrame, column: str, order: list) -> tuple[DataFrame, list[str]]:
     name = f"{column}_ordinal"
     # The last position wins when the order repeats a value.

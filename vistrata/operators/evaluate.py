@@ -59,22 +59,21 @@ def eval_classification(df: DataFrame, label: str, prediction: str) -> DataFrame
     )
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``actual, predicted, n`` over the union of labels, zero cells included."""
-    cells = _pairs(df, label, prediction).groupBy("label", "prediction").agg(
-        F.count("*").alias("n")
-    )
-    # Every class appears on both axes, if only with a zero.
-    axes = F.array(
-        F.struct(F.col("label").alias("x"), F.col("prediction").alias("y"), F.col("n")),
-        F.struct(F.col("prediction").alias("x"), F.col("label").alias("y"),
-                 F.lit(0).cast("long").alias("n")),
-    )
-    both = cells.select(F.explode(axes).alias("c")).select("c.*")
-    counts = both.groupBy("x", "y").agg(F.sum("n").alias("n"))
-    return dense_cells(counts).select(
-        F.col("x").alias("actual"), F.col("y").alias("predicted"), "n"
-    )
+def confusion_matrix(
+    df: DataFrame, label: str, prediction: str, classes: list | None = None
+) -> DataFrame:
+    """``actual, predicted, n``: the cells that occur, or all cells over ``classes``."""
+    cells = _pairs(df, label, prediction).groupBy(
+        F.col("label").alias("x"), F.col("prediction").alias("y")).agg(F.count("*").alias("n"))
+    if classes is not None:
+        # Every listed class is an actual one too, if only with zeros.
+        none = df.sparkSession.createDataFrame(
+            [(str(c), str(c), 0) for c in dict.fromkeys(classes)], "x string, y string, n long")
+        texts = cells.select(F.col("x").cast("string"), F.col("y").cast("string"), "n")
+        both = texts.unionByName(none).groupBy("x", "y").agg(F.sum("n").alias("n"))
+        cells = dense_cells(both, classes)
+    return cells.select(
+        F.col("x").cast("string").alias("actual"), F.col("y").cast("string").alias("predicted"), "n")
 
 
 def _score_steps(df: DataFrame, label: str, score: str, positive: Any):

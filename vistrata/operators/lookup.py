@@ -4,7 +4,7 @@ The table of values is broadcast only when its size is known to be small. A
 large one is joined by shuffle, with the hot values kept out of the shuffle: at
 most ``HOT_VALUES`` values can each hold more than 1/``HOT_VALUES`` of the
 rows, so they always fit a broadcast, and no key left in the shuffle holds more
-than that share.
+than that share. The rows are read once, so plans grow linearly with the columns.
 """
 
 from __future__ import annotations
@@ -74,10 +74,23 @@ def attach_by_value(
 
     heavy = F.col("n_rows") > F.lit(size.n / HOT_VALUES)
     hot = [r[0] for r in values.filter(heavy).select("value").collect()]
-    is_hot = col(column).isNull()
+    rows, alone = df, col(column).isNull()
     if hot:
-        is_hot = is_hot | col(column).isin(hot)
-    kept = table.filter(F.col("_value").isin(hot)) if hot else table.filter(F.lit(False))
-    near = df.filter(is_hot).join(F.broadcast(kept), match, "left")
-    far = df.filter(~is_hot).join(table, match, "left")
-    return near.unionByName(far).drop("_value")
+        few = table.filter(F.col("_value").isin(hot)).select(
+            F.col("_value").alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
+        rows = rows.join(F.broadcast(few), col(column) == F.col("_hot"), "left").drop("_hot")
+        alone = alone | col(column).isin(hot)
+    # Rows that need no partner any more are dealt by their own hash, so the table is
+    # read once and neither a hot nor a missing value gathers in one task.
+    whole = [col(f.name) for f in df.schema.fields if not _has_map(f.dataType)]
+    dealt = F.when(alone, F.xxhash64(*whole)).otherwise(F.xxhash64(col(column)))
+    met = rows.withColumn("_dealt", dealt).join(
+        table.withColumn("_value_hash", F.xxhash64("_value")),
+        match & (F.col("_dealt") == F.col("_value_hash")), "left")
+    kept = [col(c) for c in df.columns]
+    found = [F.coalesce(F.col(f"_hot_{c}"), col(c)).alias(c) if hot else col(c) for c in payload]
+    return met.select(*kept, *found)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()

@@ -34,8 +34,8 @@ from vistrata.plans.session import materialise
 
 MAX_ITERATIONS = 1_000
 TREES = 100
-# Depth of single trees and forests; MLlib allows up to 30.
-TREE_DEPTH = 10
+# Depth of single trees and forests: the most that MLlib allows.
+TREE_DEPTH = 30
 BOOSTING_ROUNDS, BOOSTING_DEPTH, BOOSTING_STEP = 100, 3, 0.1
 NEIGHBOURS = 5
 KERNEL_FEATURES = 256
@@ -95,16 +95,31 @@ REGRESSORS: dict[str, Callable[[FitContext, dict], Any]] = {
 KERNEL_MODELS = ("SVM", "SVR")
 
 
-def available_models(problem_type: str) -> list[str]:
-    check_problem_type(problem_type)
-    return list(CLASSIFIERS if problem_type == "classification" else REGRESSORS)
+@dataclass(frozen=True)
+class ModelFamily:
+    """The models of one problem type by name."""
+
+    kind: str
+    members: dict[str, Callable[[FitContext, dict], Any]]
+
+    def names(self) -> list[str]:
+        return [*self.members]
+
+    def settings(self, name: str) -> Callable[[FitContext, dict], Any]:
+        try:
+            return self.members[name]
+        except KeyError:
+            known = ", ".join(self.members)
+            raise ValueError(f"no {self.kind} model is called {name!r}; there are {known}") from None
 
 
-def _factory(problem_type: str, model_name: str):
-    registry = CLASSIFIERS if problem_type == "classification" else REGRESSORS
-    if model_name not in registry:
-        raise ValueError(f"Unknown model {model_name!r} for {problem_type}")
-    return registry[model_name]
+REGISTRY = {kind: ModelFamily(kind, members) for kind, members in (
+    ("classification", CLASSIFIERS), ("regression", REGRESSORS))}
+
+
+def available_models(problem_type: str) -> list[str]:
+    check_problem_type(problem_type)
+    return REGISTRY[problem_type].names()
 
 
 # -- fitted models --------------------------------------------------------------------
@@ -168,7 +183,7 @@ class TrainedModel:
         named = self.test_predictions.select(
             self._label(F.col("label")).alias("label"),
             self._label(F.col("prediction")).alias("prediction"))
-        return evaluate.confusion_matrix(named, "label", "prediction")
+        return evaluate.confusion_matrix(named, "label", "prediction", self.classes)
 
     def roc(self) -> DataFrame:
         return evaluate.roc_points(self.test_predictions, "label", "score", 1.0)
@@ -240,7 +255,7 @@ def fit(
     params: dict | None = None,
 ) -> PipelineModel | NeighbourModel:
     """Fit one model on prepared rows. Scaling is part of the fitted model."""
-    factory, params = _factory(data.problem_type, model_name), params or {}
+    settings, params = REGISTRY[data.problem_type].settings(model_name), params or {}
     kernel = model_name in KERNEL_MODELS
     if model_name == "KNN":
         return _fit_neighbours(train, data, scale_features, params)
@@ -257,7 +272,7 @@ def fit(
             gamma=context.gamma, seed=SEED))
     else:
         stages.append(VectorAssembler(inputCols=[current], outputCol="features"))
-    estimator = factory(context, params)
+    estimator = settings(context, params)
     stages.append(estimator)
     if model_name == "SVM" and context.classes == 2:
         # Probabilities from the margin (Platt scaling); the class stays the SVM's.
@@ -345,7 +360,8 @@ def fit_all(
     params: dict | None = None,
 ) -> TrainedModel:
     """Fit on all complete rows, without a test split."""
-    _factory(problem_type, model_name)
+    check_problem_type(problem_type)
+    REGISTRY[problem_type].settings(model_name)
     data = prepare(df, target, problem_type, feature_cols)
     fitted = fit(data.rows, data, model_name, scale_features, params)
     return TrainedModel(
@@ -360,7 +376,8 @@ def train_model(
     cv_folds: int = 5, params: dict | None = None,
 ) -> TrainedModel:
     """Split, fit, evaluate on the test rows and cross-validate."""
-    _factory(problem_type, model_name)
+    check_problem_type(problem_type)
+    REGISTRY[problem_type].settings(model_name)
     data = prepare(df, target, problem_type, feature_cols)
     marked = mark_test(data, test_size)
     return _train(data, marked, model_name, scale_features, cv_folds, params)

@@ -19,6 +19,8 @@ MIN_BINS, MAX_BINS, VALUES_PER_BIN = 5, 30, 10
 IQR_REACH = 1.5
 # Characters up to which a text is its own key when values are counted.
 SHORT_TEXT = 64
+# Winning keys up to this number are held by the driver; more stay a table.
+FEW_KEYS = 10_000
 # Row hashes that may be broadcast when repeated rows are confirmed.
 REPEATED_HASHES = 100_000
 # Pair aggregates per job, and the number of columns from which partial cross
@@ -187,44 +189,55 @@ def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def top_keys(df: DataFrame, names: list[str], k: int) -> DataFrame:
-    """``column, key, n, rank``: the most frequent compact keys per column."""
+    """``column, key, n``: the compact keys that can be among the ``k`` most frequent values.
+
+    Beginnings order texts as the texts do, but for equal ones; so all keys that tie
+    with the last place by count and beginning are candidates.
+    """
     counts = _keyed(df, names).groupBy("column", "key").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("key"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    head = F.substring("key", 1, SHORT_TEXT)
+    order = Window.partitionBy("column").orderBy(F.desc("n"), head.asc())
+    return counts.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """``column, value, n, rank``: the ``k`` most frequent values per categorical column.
 
-    Ties go to the smaller value (or, for long texts with the same beginning, to the
-    smaller hash). The winners are found by their compact keys; whole texts are
-    fetched for them only.
+    Ties go to the smaller value. Candidates are found by their compact keys; whole
+    texts are fetched for these only.
     """
     names = columns if columns is not None else categorical_columns(df)
     if not names:
         return _empty(df, "column string, value string, n long, rank int")
     clean = normalise_missing(df)
     best = top_keys(clean, names, k)
+    found = best.limit(FEW_KEYS + 1).collect()
+    few = len(found) <= FEW_KEYS
+    if few:
+        best = df.sparkSession.createDataFrame(
+            [tuple(r) for r in found], "column string, key string, n long")
+    is_long = F.contains(F.col("key"), F.lit("\x00"))
     texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
-    if not texts:
-        return best.withColumnRenamed("key", "value")
-    winners = best.collect()
-    long_keys = {c: [r["key"] for r in winners if r["column"] == c and "\x00" in r["key"]]
-                 for c in texts}
-    wanted = [
-        F.struct(F.lit(c).alias("column"), compact_key(col(c)).alias("key"), col(c).alias("value"))
-        for c in texts if long_keys[c]
-    ]
-    fetched: dict[tuple[str, str], str] = {}
-    if wanted:
-        keys = [key for part in long_keys.values() for key in part]
-        hits = clean.select(F.explode(F.array(*wanted)).alias("r")).select("r.*").filter(
-            F.col("key").isin(keys))
-        one = hits.groupBy("column", "key").agg(F.first("value").alias("value"))
-        fetched = {(r["column"], r["key"]): r["value"] for r in one.collect()}
-    rows = [(r["column"], fetched.get((r["column"], r["key"]), r["key"]), r["n"], r["rank"])
-            for r in winners]
-    return df.sparkSession.createDataFrame(rows, "column string, value string, n long, rank int")
+    if few:
+        texts = [c for c in texts if any(r["column"] == c and "\x00" in r["key"] for r in found)]
+    value = F.col("key")
+    if texts:
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column"), compact_key(col(c)).alias("key"),
+                     col(c).alias("text")) for c in texts])
+        wanted = best.filter(is_long).select("column", "key")
+        whole = (
+            clean.select(F.explode(cells).alias("r")).select("r.*").filter(is_long)
+            .join(F.broadcast(wanted) if few else wanted, ["column", "key"])
+            .groupBy("column", "key").agg(F.min("text").alias("text"))
+        )
+        best = best.join(whole, ["column", "key"], "left")
+        value = F.coalesce("text", "key")
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    return (
+        best.select("column", value.alias("value"), "n")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    )
 
 
 def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Model input tables: complete rows with a fixed row key, splits and folds by hash.
+"""Model input tables: complete rows with a row key, splits and folds by hash.
 
-The prepared rows are written once as a table. That fixes the row keys for all
-later jobs, so a split never changes when a task is recomputed, and it is the
-table every training pass reads.
+The key of a row is a digest of its values and of its number among equal rows, so a
+split depends on the rows alone and not on files, partitions or recomputed tasks.
+The prepared rows are written once: every training pass reads that table.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from vistrata.operators.quantiles import kth_smallest
 from vistrata.plans.session import materialise
 
 SEED = 42
-MAX_CLASSES = 1_000
 # Splits are stratified up to this many classes.
 STRATIFIED_CLASSES = 20
-# Hashes are cut to 52 bits: exact as doubles.
-_HASH_SPACE = 1 << 52
+# Equal rows that one task may write out.
+COPIES_PER_TASK = 100_000
+# Hashes are cut to 52 bits, 13 hex digits: exact as doubles.
+_HASH_SPACE, _HASH_DIGITS = 1 << 52, 13
+_KEY_DIGITS = 15
 
 
 @dataclass
@@ -45,10 +47,11 @@ def input_names(features: list[str]) -> list[str]:
     return [f"_f{i}" for i in range(len(features))]
 
 
-def model_features(df: DataFrame, target: str, feature_cols: list[str] | None) -> list[str]:
-    if feature_cols:
-        return [c for c in feature_cols if c in df.columns and c != target]
-    return [c for c in numeric_columns(df) if c != target]
+def usable_inputs(df: DataFrame, target: str, asked: list[str] | None) -> list[str]:
+    """The asked-for columns that exist (all numeric ones by default), less the target."""
+    pool = numeric_columns(df) if not asked else asked
+    present = set(df.columns) - {target}
+    return list(filter(present.__contains__, pool))
 
 
 def prepare(
@@ -60,7 +63,7 @@ def prepare(
     """Keep complete rows, turn features into doubles and classes into sorted codes."""
     check_problem_type(problem_type)
     require(df, target)
-    names = model_features(df, target, feature_cols)
+    names = usable_inputs(df, target, feature_cols)
     if not names:
         raise ValueError("no feature columns")
     require_numeric(df, *names)
@@ -72,21 +75,47 @@ def prepare(
     ).na.drop()
     classes = None
     if problem_type == "classification" or not numeric_target:
-        found = rows.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+        # A model holds parameters per class, so the driver may hold the class names.
+        found = rows.select("label").distinct().orderBy("label").collect()
         classes = [r[0] for r in found]
-        place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
-        rows = rows.withColumn("label", (place - 1).cast("double"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+        codes = df.sparkSession.createDataFrame(
+            [(c, float(i)) for i, c in enumerate(classes)],
+            f"label {rows.schema['label'].dataType.simpleString()}, _code double")
+        rows = rows.join(F.broadcast(codes), "label").select(
+            *inputs, F.col("_code").alias("label"))
+    keyed = with_row_keys(rows, [*inputs, "label"])
     return Prepared(
         materialise(keyed, "model-rows"), target, problem_type, names, classes, numeric_target,
         inputs,
     )
 
 
+def with_row_keys(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows with ``_row``, a digest of their values and their number among equal rows.
+
+    Equal rows are counted, combined before the shuffle, and written out again by
+    their number; the copies of a frequent row are dealt over tasks in blocks.
+    """
+    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    blocks = groups.withColumn("_block", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_PER_TASK}"))))
+    first = F.col("_block") * COPIES_PER_TASK + 1
+    many = materialise(blocks, "row-groups")
+    if many.filter("_block > 0").take(1):
+        many = many.repartition(*names, "_block")
+    each = many.withColumn("_copy", F.explode(F.sequence(
+        first, F.least(first + (COPIES_PER_TASK - 1), F.col("_copies")))))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in [*names, "_copy"]])
+    return each.select(*names, _digits(text, _KEY_DIGITS).alias("_row"))
+
+
+def _digits(text: Column, n: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
 def row_hash(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("_row"), F.lit(seed)), F.lit(_HASH_SPACE)).cast("double")
+    text = F.concat(F.lit(f"{seed}:"), F.col("_row").cast("string"))
+    return _digits(text, _HASH_DIGITS).cast("double")
 
 
 def test_sizes(counts: dict, test_size: float) -> dict:
