@@ -34,8 +34,8 @@ from vistrata.plans.session import materialise
 
 MAX_ITERATIONS = 1_000
 TREES = 100
-# Depth of single trees and forests: the most that MLlib allows.
-TREE_DEPTH = 30
+# Depth of single trees and forests; MLlib allows up to 30.
+TREE_DEPTH = 10
 BOOSTING_ROUNDS, BOOSTING_DEPTH, BOOSTING_STEP = 100, 3, 0.1
 NEIGHBOURS = 5
 KERNEL_FEATURES = 256
