@@ -234,6 +234,38 @@ def test_a_page_and_a_page_without_labels(spark):
     assert extract.main_texts(pages.limit(0)).collect() == []
 
 
+def test_names_leave_no_article_out():
+    body = "<h1>Title</h1><p>" + "some words of the text " * 20 + "</p>"
+    rest = '<div class="comments"><p>' + "a reader says so " * 10 + "</p></div>"
+    pages = [
+        f'<body><article class="post hentry category-social">{body}</article>{rest}</body>',
+        f'<body><article class="ad" id="share">{body}</article>{rest}</body>',
+        f'<body><div class="page has-sidebar"><main>{body}</main></div>{rest}</body>',
+        f'<body><div class="widget"><article>{body}</article></div>{rest}</body>',
+        f'<body><form id="all"><article>{body}</article></form>{rest}</body>',
+        f'<body><article><section id="related-work">{body}</section></article>{rest}</body>',
+        f'<body><article><div class="social">{body}</div></article>{rest}</body>',
+        f'<body><div data-id="ad" title="x class=ad y">{body}</div>{rest}</body>',
+        f'<body><div class="sidebar">{body}</div></body>',
+    ]
+    want = "Title\n" + " ".join(["some words of the text"] * 20)
+    counts = [extract.count_features(p) for p in pages]
+    assert all(counts[:7]) and not any(counts[7:])
+    total = sum(counts, counts[0].__class__())
+    weights = extract.learned_weights([(f, inside, n) for (f, inside), n in total.items()])
+    assert weights["named comments"] < 0 < weights["named social"]
+    for learned in (weights, {k: v for k, v in weights.items() if not k.startswith("named")}):
+        assert [extract.extract(p, learned) for p in pages] == [want] * len(pages)
+
+
+def test_whole_names_are_listed():
+    for yes in ('class="x ad"', "id=comments", 'class="cookie-notice"', "role='search'"):
+        assert extract.listed_name(yes)
+    for no in ('class="category-social has-sidebar"', 'id="related-work"', 'data-id="ad"',
+               'aria-grid="menu"', 'title="class=ad"', 'class="" id', 'role="ad"', "class=adé"):
+        assert not extract.listed_name(no), no
+
+
 def test_best_region_is_the_best():
     rng = random.Random(4)
     for _ in range(500):

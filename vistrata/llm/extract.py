@@ -4,8 +4,10 @@ A page is a sequence of words and tags. Words score positive, by the kind of blo
 they stand in, and tags negative; the weights are log odds counted, by Spark, over
 the labelled pages, those whose markup names the article (``article`` or ``main``).
 One linear scan finds the contiguous region with the largest sum. Elements that are
-never article text (menus, notices, forms, comments, ...) are known by name, role
-or class; their words do not count and are left out also inside the region.
+never article text (menus, forms, asides, ...) are known by their tag; their words do
+not count and are left out also inside the region, unless they hold an ``article`` or
+``main``. Roles, classes and ids (comments, notices, ...) leave nothing out: the words
+of such elements have weights of their own, learned for each listed name.
 """
 
 from __future__ import annotations
@@ -46,26 +48,31 @@ SKIPPED_NAMES = {
 LABEL_COST = 50.0
 LEAST_COST = 0.01
 LEAST_GAIN = 0.05
-UNSEEN = {"word": 1.0, "tag": -0.2}
+UNSEEN = {"word": 1.0, "named": -1.0, "tag": -0.2}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W_]+")
 
 
-def _is_skipped(name: str, attributes: str) -> bool:
-    if name in SKIPPED:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
+def listed_name(attributes: str) -> str:
+    """The first listed name in a role, class or id, or "".
+
+    A whole value counts: all of its parts must be listed, as in ``cookie-notice``.
+    """
     for key, value in ATTRIBUTE.findall(attributes):
-        parts = {p.lower() for p in NAME.findall(value)}
-        if parts & (SKIPPED_ROLES if key.lower() == "role" else SKIPPED_NAMES):
-            return True
-    return False
+        key = key.lower()
+        if key not in ("class", "id", "role"):
+            continue
+        names = SKIPPED_ROLES if key == "role" else SKIPPED_NAMES
+        for token in value.strip("\"'").split():
+            parts = [p.lower() for p in NAME.findall(token)]
+            if parts and all(p in names for p in parts):
+                return parts[0]
+    return ""
 
 
 def tokens_of(page: str) -> list[tuple[str, bool, str]]:
@@ -88,30 +95,59 @@ def tokens_of(page: str) -> list[tuple[str, bool, str]]:
     return out
 
 
-def without_skipped(tokens: list) -> list[tuple[str, bool, str, bool]]:
-    """The tokens, each with whether it stands in an element that is left out.
+def _ends(tokens: list) -> dict[int, int]:
+    """By the place of a start tag the place after its end tag, where it has one."""
+    ends, opened = {}, {}
+    for i, (name, is_end, _) in enumerate(tokens):
+        if not name or name in VOID:
+            continue
+        if not is_end:
+            opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            ends[opened[name].pop()] = i + 1
+    return ends
+
+
+def without_skipped(tokens: list) -> list[tuple[str, bool, str, bool, str]]:
+    """The tokens, each with whether it is left out and with the listed name it stands under.
 
-    Such an element ends at its end tag; one without an end tag ends with its
-    own tag, except ``head``, which ends where the body begins.
+    An element ends at its end tag; one without an end tag ends with its own tag,
+    except ``head``, which ends where the body begins. An element that is or holds a
+    label is neither left out nor named; inside others the innermost name counts.
     """
-    out, at, n = [], 0, len(tokens)
+    n, ends = len(tokens), _ends(tokens)
+    labels = [0]
+    for name, is_end, _ in tokens:
+        labels.append(labels[-1] + (name in LABELS and not is_end))
+    out, at, under = [], 0, []
     while at < n:
-        name, ends, rest = tokens[at]
-        if name and not ends and name not in VOID and _is_skipped(name, rest):
-            depth, end = 1, at + 1
-            while end < n and depth:
-                if tokens[end][0] == name:
-                    depth += -1 if tokens[end][1] else 1
-                if name == "head" and tokens[end][0] == "body":
-                    break
-                end += 1
-            if depth and name != "head":
-                end = at + 1
-            out.extend((*t, True) for t in tokens[at:end])
-            at = end
-        else:
-            out.append((name, ends, rest, False))
-            at += 1
+        name, is_end, rest = tokens[at]
+        while under and under[-1][0] <= at:
+            under.pop()
+        if name and not is_end and name not in VOID:
+            end = ends.get(at, at + 1)
+            if name == "head":
+                stop = ends.get(at, n)
+                end = next((i for i in range(at + 1, stop) if tokens[i][0] == "body"), stop)
+            if labels[end] == labels[at]:
+                if name in SKIPPED:
+                    out.extend((*t, True, "") for t in tokens[at:end])
+                    at = end
+                    continue
+                if rest and name not in ("html", "body") and (found := listed_name(rest)):
+                    under.append((min(end, under[-1][0]) if under else end, found))
+        out.append((name, is_end, rest, False, under[-1][1] if under else ""))
+        at += 1
+    return out
+
+
+def without_names(tokens: list, everywhere: bool = False) -> list:
+    """The tokens without the names inside labels, as a label tells more, or without any."""
+    out, depth = [], 0
+    for name, is_end, rest, skipped, named in tokens:
+        if name in LABELS and not skipped:
+            depth = max(0, depth + (-1 if is_end else 1))
+        out.append((name, is_end, rest, skipped, "" if everywhere or depth else named))
     return out
 
 
@@ -122,7 +158,7 @@ def _kind(name: str) -> str:
 def features_of(tokens: list) -> list[tuple[str, int]]:
     """Per token its feature and how many words it has (0 for tags)."""
     out, block, links = [], "body", 0
-    for name, ends, rest, _ in tokens:
+    for name, ends, rest, _, named in tokens:
         if name:
             if name == "a":
                 links = max(0, links + (-1 if ends else 1))
@@ -130,7 +166,8 @@ def features_of(tokens: list) -> list[tuple[str, int]]:
                 block = "body" if ends else _kind(name)
             out.append((("/" if ends else "") + _kind(name), 0))
         else:
-            out.append((f"word {block}{' link' if links else ''}", len(rest.split())))
+            feature = f"named {named}" if named else f"word {block}{' link' if links else ''}"
+            out.append((feature, len(rest.split())))
     return out
 
 
@@ -138,10 +175,10 @@ def count_features(page: str) -> Counter:
     """Words and tags of a labelled page by feature, inside and outside its article."""
     found: Counter = Counter()
     tokens = without_skipped(tokens_of(page))
-    if not any(name in LABELS and not skipped for name, _, _, skipped in tokens):
+    if not any(name in LABELS and not skipped for name, _, _, skipped, _ in tokens):
         return found
     depth = 0
-    for (name, ends, _, skipped), (feature, n) in zip(tokens, features_of(tokens)):
+    for (name, ends, _, skipped, _), (feature, n) in zip(tokens, features_of(tokens)):
         if name in LABELS:
             depth = max(0, depth + (-1 if ends else 1))
         elif not skipped:
@@ -150,15 +187,21 @@ def count_features(page: str) -> Counter:
 
 
 def learned_weights(counts: list[tuple[str, bool, int]]) -> dict[str, float]:
-    """Log odds of standing inside the article, smoothed; words above, tags below zero."""
+    """Log odds of standing inside the article, smoothed.
+
+    Words are held above and tags below zero; words under a listed name have theirs as it is.
+    """
     both: dict[str, list[int]] = {}
     for feature, inside, n in counts:
         both.setdefault(feature, [0, 0])[inside] += n
     weights = {}
     for feature, (outside, inside) in both.items():
         odds = math.log((inside + 1) / (outside + 1))
-        is_word = feature.startswith("word ")
-        weights[feature] = max(LEAST_GAIN, odds) if is_word else min(-LEAST_COST, odds)
+        if feature.startswith("named "):
+            weights[feature] = odds
+        else:
+            is_word = feature.startswith("word ")
+            weights[feature] = max(LEAST_GAIN, odds) if is_word else min(-LEAST_COST, odds)
     for name in LABELS:
         weights[name] = weights["/" + name] = -LABEL_COST
     return weights
@@ -176,18 +219,28 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The main text of a page; empty for a page without words."""
-    tokens = without_skipped(tokens_of(page))
+def scores_of(tokens: list, weights: dict[str, float]) -> list[float]:
     scores = []
-    for (name, _, _, skipped), (feature, n) in zip(tokens, features_of(tokens)):
+    for (name, _, _, skipped, named), (feature, n) in zip(tokens, features_of(tokens)):
         if name:
             scores.append(weights.get(feature, UNSEEN["tag"]))
         else:
-            scores.append(0.0 if skipped else n * weights.get(feature, UNSEEN["word"]))
-    low, high = best_region(scores)
+            unseen = UNSEEN["named" if named else "word"]
+            scores.append(0.0 if skipped else n * weights.get(feature, unseen))
+    return scores
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The main text of a page; empty for a page without words outside skipped elements.
+
+    If all words stand under names that tell against them, the names do not count.
+    """
+    tokens = without_names(without_skipped(tokens_of(page)))
+    low, high = best_region(scores_of(tokens, weights))
+    if low == high:
+        low, high = best_region(scores_of(without_names(tokens, everywhere=True), weights))
     blocks, parts = [], []
-    for name, _, rest, skipped in tokens[low:high]:
+    for name, _, rest, skipped, _ in tokens[low:high]:
         if not name:
             if not skipped:
                 parts.append(rest)
