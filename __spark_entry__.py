@@ -174,6 +174,9 @@ def _association_queries() -> dict[str, Query]:
         "crosstab_parts": on_table("lineitem", lambda d: association.crosstab(
             d.withColumn("mode", F.col("l_linenumber")), "mode", "l_partkey",
             list(range(1, 1_501)))),
+        "crosstab_all_parts": lambda spark, sf_dir: association.crosstab(
+            table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey",
+            table(spark, sf_dir, "part").select("p_partkey")),
         "crosstab_observed": on_table(
             "lineitem", lambda d: association.crosstab(d, "l_partkey", "l_suppkey")),
         "chi2": on_messy(lambda d: association.chi_square(d, "flag", "status")),
@@ -784,6 +787,11 @@ def _association_sql() -> dict[str, str]:
                           " lineitem) a CROSS JOIN (SELECT unnest(range(1, 1501)) AS y) b LEFT JOIN"
                           " (SELECT l_linenumber AS x, l_partkey AS y, count(*) AS n FROM lineitem"
                           " GROUP BY ALL) c ON c.x = a.x AND c.y = b.y",
+        "crosstab_all_parts": "SELECT CAST(a.x AS VARCHAR) AS x, CAST(b.y AS VARCHAR) AS y,"
+                              " coalesce(n, 0) AS n FROM (SELECT DISTINCT l_linenumber AS x FROM"
+                              " lineitem) a CROSS JOIN (SELECT DISTINCT p_partkey AS y FROM part) b"
+                              " LEFT JOIN (SELECT l_linenumber AS x, l_partkey AS y, count(*) AS n"
+                              " FROM lineitem GROUP BY ALL) c ON c.x = a.x AND c.y = b.y",
         "crosstab_observed": "SELECT CAST(l_partkey AS VARCHAR) AS x, CAST(l_suppkey AS VARCHAR)"
                              " AS y, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey",
         "crosstab_long": _crosstab_sql("is_bulk", "flag"),

@@ -73,6 +73,22 @@ class TestPairs:
         assert association.crosstab(df, "x", "y", list(range(1_001))).count() == 2_002
         assert association.crosstab(df, "x", "y").count() == df.distinct().count()
 
+    def test_crosstab_joins_the_values_of_a_table(self, spark):
+        df = spark.range(9_000).selectExpr("id % 3 AS x", "id % 7 * 2 + 5000 AS y").union(
+            spark.sql("SELECT 1L, NULL"))
+        values = spark.range(20_000).selectExpr("id AS k").union(
+            spark.sql("SELECT 7L UNION ALL SELECT NULL"))
+        got = association.crosstab(df, "x", "y", values).cache()
+        assert got.count() == 3 * 20_000 == got.distinct().count()
+        seen = {(r.x, r.y): r.n for r in got.filter("n > 0").collect()}
+        assert seen == {(r.x, r.y): r.n for r in association.crosstab(df, "x", "y").collect()}
+
+    def test_crosstab_all_parts_counts_every_row(self, spark):
+        import __spark_entry__ as entry
+        rows = entry.queries()["crosstab_all_parts"](spark, "/root/testdata/sf0.01")
+        total = entry.table(spark, "/root/testdata/sf0.01", "lineitem").count()
+        assert rows.agg({"n": "sum"}).first()[0] == total
+
     def test_chi_square_counts_unseen_cells(self, spark):
         rows = [("a", "u")] * 10 + [("b", "v")] * 20 + [("c", "w")] * 5 + [("a", "v")] * 3
         df = spark.createDataFrame(rows, "x string, y string")

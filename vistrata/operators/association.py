@@ -160,12 +160,15 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def dense_cells(cells: DataFrame, y_values: list) -> DataFrame:
+def dense_cells(cells: DataFrame, y_values: list | DataFrame) -> DataFrame:
     """All cells of ``x, y, n`` counts over the given values of ``y``, zeros included.
 
-    Values are compared as text. Each ``x`` holds one map of its listed cells, so
-    the list bounds what a group gathers.
+    Values are compared as text. With a list each ``x`` holds one map of its listed
+    cells, so the list bounds what a group gathers. The first column of a DataFrame
+    is joined instead, whatever its number of values; missing ones are left out.
     """
+    if isinstance(y_values, DataFrame):
+        return _joined_cells(_as_text(cells), y_values)
     wanted = [str(v) for v in dict.fromkeys(y_values)]
     texts = _as_text(cells)
     own = F.when(F.col("y").isin(wanted), F.struct("y", "n"))
@@ -177,17 +180,28 @@ def dense_cells(cells: DataFrame, y_values: list) -> DataFrame:
     )
 
 
+def _joined_cells(texts: DataFrame, y_values: DataFrame) -> DataFrame:
+    values = normalise_missing(y_values).select(
+        col(y_values.columns[0]).cast("string").alias("y")).na.drop().distinct()
+    every = texts.select("x").distinct().crossJoin(values)
+    return every.join(texts, ["x", "y"], "left").select(
+        "x", "y", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _as_text(cells: DataFrame) -> DataFrame:
     return cells.select(
         F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n"
     )
 
 
-def crosstab(df: DataFrame, x: str, y: str, y_values: list | None = None) -> DataFrame:
+def crosstab(
+    df: DataFrame, x: str, y: str, y_values: list | DataFrame | None = None
+) -> DataFrame:
     """``x, y, n``: contingency counts in long form.
 
     Without ``y_values`` these are the cells that occur, whatever their number.
-    With a list of values there is one cell per ``x`` and listed value, zeros included.
+    With a list or a DataFrame of values there is one cell per ``x`` and given value,
+    zeros included.
     """
     cells = _cells(df, x, y)
     return _as_text(cells) if y_values is None else dense_cells(cells, y_values)
