@@ -380,9 +380,12 @@ def _model_queries() -> dict[str, Query]:
 
         def run(df: DataFrame) -> DataFrame:
             model = models.train_model(
-                _with_targets(df), target, name, kind, feature_cols=INPUTS, cv_folds=0)
+                _with_targets(df), target, name, kind, feature_cols=INPUTS)
+            cv = model.cv_scores
             rows = [("train_samples", float(model.train_samples)),
-                    ("test_samples", float(model.test_samples)), *model.metrics.items()]
+                    ("test_samples", float(model.test_samples)), *model.metrics.items(),
+                    ("cv_mean", cv["mean"]), ("cv_std", cv["std"]),
+                    *((f"cv_fold_{i}", s) for i, s in enumerate(cv["scores"]))]
             return df.sparkSession.createDataFrame(rows, "metric string, value double")
         return on_messy(run)
 
@@ -432,8 +435,8 @@ def _model_queries() -> dict[str, Query]:
 
     def compared(df: DataFrame) -> DataFrame:
         return models.compare_models(
-            _with_targets(df), "revenue", ["Lasso", "Decision Tree", "Linear Regression"],
-            feature_cols=INPUTS, cv_folds=3)
+            _with_targets(df), "revenue", models.available_models("regression"),
+            feature_cols=INPUTS)
 
     def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _with_targets(messy(spark, sf_dir))
@@ -454,7 +457,7 @@ def _model_queries() -> dict[str, Query]:
 
     def confusion(df: DataFrame) -> DataFrame:
         model = models.train_model(_with_targets(df), "tier", "Decision Tree", "classification",
-                                   feature_cols=INPUTS, cv_folds=0)
+                                   feature_cols=INPUTS)
         return model.confusion()
 
     def importances(df: DataFrame) -> DataFrame:

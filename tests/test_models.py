@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from vistrata.operators import chartdata, models, split
 from vistrata.plans.session import scratch_path
 from vistrata.sources import modelstore
@@ -146,6 +147,23 @@ class TestTraining:
         assert len(cv["scores"]) == 3 and cv["scoring"] == "r2" and cv["mean"] > 0.9
         assert cv["std"] == pytest.approx(np.std(cv["scores"]), abs=1e-4)
 
+    def test_comparison_has_the_fold_scores(self, regression):
+        names = ["Linear Regression", "No Such Model"]
+        good, bad = models.compare_models(regression, "y", names).collect()
+        assert len(good.cv_scores) == 5 and bad.cv_scores is None
+        assert good.cv_mean == pytest.approx(np.mean(good.cv_scores), abs=1e-4)
+
+    def test_registered_models_are_whole(self, spark, monkeypatch):
+        queries, sf_dir = entry.queries(), "/root/testdata/sf0.001"
+        table = queries["model_linear_regression"](spark, sf_dir).collect()
+        assert [r.metric for r in table if r.metric.startswith("cv_")] == [
+            "cv_mean", "cv_std", *[f"cv_fold_{i}" for i in range(5)]]
+        calls = []
+        monkeypatch.setattr(models, "compare_models", lambda df, target, names, **how: (
+            calls.append((names, how.get("cv_folds", 5)))))
+        queries["compare_models"](spark, sf_dir)
+        assert calls == [(models.available_models("regression"), 5)] and len(calls[0][0]) == 8
+
     def test_scaling_keeps_a_linear_fit(self, regression):
         plain = models.train_model(regression, "y", "Linear Regression", cv_folds=0)
         scaled = models.train_model(

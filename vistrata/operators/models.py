@@ -447,11 +447,13 @@ def compare_models(
             model = _train(data, marked, name, scale_features, cv_folds, (params or {}).get(name))
             values = [model.metrics.get(f) for f in fields]
             cv = model.cv_scores
-            results.append((name, *values, cv.get("mean"), cv.get("std"), None))
+            results.append(
+                (name, *values, cv.get("mean"), cv.get("std"), cv.get("scores"), None))
         except Exception as error:  # one failing model must not hide the others
-            results.append((name, *[None] * len(fields), None, None, str(error).split("\n")[0]))
+            results.append(
+                (name, *[None] * len(fields), None, None, None, str(error).split("\n")[0]))
     schema = ", ".join(["model_name string", *[f"{f} double" for f in fields],
-                        "cv_mean double", "cv_std double", "error string"])
+                        "cv_mean double", "cv_std double", "cv_scores array<double>", "error string"])
     return df.sparkSession.createDataFrame(results, schema).orderBy(
         F.col(primary).desc_nulls_last(), "model_name")
 
