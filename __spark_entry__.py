@@ -167,6 +167,8 @@ def _association_queries() -> dict[str, Query]:
             lambda d: association.pearson_pair(d, "price", "quantity").drop("pearson_p")),
         "spearman_pair": on_messy(
             lambda d: association.spearman_pair(d, "price", "quantity").drop("spearman_p")),
+        "pearson_pair_p": on_messy(lambda d: association.pearson_pair(d, "price", "quantity")),
+        "spearman_pair_p": on_messy(lambda d: association.spearman_pair(d, "price", "quantity")),
         "group_stats": on_messy(lambda d: association.group_stats(d, "price", "flag")),
         "anova": on_table(
             "orders", lambda d: association.anova(d, "o_totalprice", "o_orderstatus")),
@@ -182,6 +184,7 @@ def _association_queries() -> dict[str, Query]:
         "chi2": on_messy(lambda d: association.chi_square(d, "flag", "status")),
         "chi2_yates": on_messy(
             lambda d: association.chi_square(d, "is_bulk", "status").drop("chi2_p")),
+        "chi2_yates_p": on_messy(lambda d: association.chi_square(d, "is_bulk", "status")),
         "vif_approx": on_messy(lambda d: association.vif_approx(d.select(*MEASURES))),
         "vif_flags": on_messy(lambda d: association.vif_flags(gross(d))),
         "eigen_scree": on_messy(
@@ -297,6 +300,8 @@ def _feature_queries() -> dict[str, Query]:
             d.select("quantity", "discount", "tax", "l_linenumber"), 0.001)),
         "select_k_best_regression": on_measures(
             lambda d: features.select_k_best(d, "price", 2).drop("p_value")),
+        "select_k_best_regression_p": on_measures(
+            lambda d: features.select_k_best(d, "price", 2)),
         "select_k_best_classification": on_messy(lambda d: by_flag(d)),
         "interaction_features": on_messy(interactions),
         "polynomial_features": on_messy(polynomial),

@@ -1,7 +1,9 @@
 import math
 
+import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from vistrata.functions import pvalues
 from vistrata.operators import association
 from vistrata.sources.files import from_pandas
@@ -84,7 +86,6 @@ class TestPairs:
         assert seen == {(r.x, r.y): r.n for r in association.crosstab(df, "x", "y").collect()}
 
     def test_crosstab_all_parts_counts_every_row(self, spark):
-        import __spark_entry__ as entry
         rows = entry.queries()["crosstab_all_parts"](spark, "/root/testdata/sf0.01")
         total = entry.table(spark, "/root/testdata/sf0.01", "lineitem").count()
         assert rows.agg({"n": "sum"}).first()[0] == total
@@ -132,3 +133,57 @@ class TestManyColumns:
     def test_too_few_columns(self, spark):
         df = from_pandas(spark, spark.range(3).toPandas())
         assert association.vif_approx(df).count() == association.eigen_scree(df).count() == 0
+
+
+def correlation_p_by_integration(r, n):
+    """Two-sided p: with t = sqrt(n - 2) tan(a) the t density is cos(a) ** (n - 3)."""
+    low, width = math.asin(abs(r)), 40 / math.sqrt(n)
+
+    def area(a):
+        grid = np.linspace(a, min(math.pi / 2, a + width), 400_001)
+        return np.trapezoid(np.cos(grid) ** (n - 3), grid)
+    return area(low) / area(0.0)
+
+
+class TestRegisteredP:
+    """The p columns of the registered queries against numerical integration."""
+
+    SF_DIR = "/root/testdata/sf0.001"
+
+    @pytest.fixture(scope="class")
+    def messy(self, spark):
+        columns = [*entry.MEASURES, "is_bulk", "status"]
+        return entry.messy(spark, self.SF_DIR).select(*columns).toPandas()
+
+    def row(self, spark, name):
+        return entry.queries()[name](spark, self.SF_DIR).first()
+
+    def test_correlations(self, spark, messy):
+        pairs = messy[["price", "quantity"]].astype(float).dropna()
+        for kind, values in (("pearson", pairs), ("spearman", pairs.rank())):
+            got = self.row(spark, f"{kind}_pair_p")
+            r = np.corrcoef(values.T)[0, 1]
+            assert got.n == len(pairs) and got[f"{kind}_r"] == pytest.approx(r, abs=6e-5)
+            want = correlation_p_by_integration(r, len(pairs))
+            assert got[f"{kind}_p"] == pytest.approx(want, abs=2e-6)
+
+    def test_chi_square(self, spark, messy):
+        table = messy.groupby(["is_bulk", "status"]).size().unstack().to_numpy(float)
+        expected = np.outer(table.sum(1), table.sum(0)) / table.sum()
+        gap = np.abs(table - expected)
+        chi2 = (((gap - np.minimum(0.5, gap)) ** 2) / expected).sum()
+        root = math.sqrt(chi2)  # chi-square of one degree is the square of a normal value
+        grid = np.linspace(root, root + 40, 400_001)
+        want = 2 * np.trapezoid(np.exp(-grid ** 2 / 2), grid) / math.sqrt(2 * math.pi)
+        got = self.row(spark, "chi2_yates_p")
+        assert got.chi2 == pytest.approx(chi2, abs=6e-5)
+        assert got.chi2_p == pytest.approx(want, abs=2e-6)
+
+    def test_regression_scores(self, spark, messy):
+        rows = messy[entry.MEASURES].astype(float).dropna()
+        got = entry.queries()["select_k_best_regression_p"](spark, self.SF_DIR).collect()
+        assert [r.feature for r in got] == ["quantity", "discount", "tax"]
+        for r in got:
+            corr = np.corrcoef(rows[r.feature], rows["price"])[0, 1]
+            want = correlation_p_by_integration(corr, len(rows))
+            assert r.p_value == pytest.approx(want, abs=2e-6)
