@@ -157,6 +157,14 @@ def test_a_mixed_text_shows_its_languages(spark, frame):
     assert row.lang_pred == "de" and row.languages[:2] == ["de", "fr"] and 0.5 < row.score < 0.85
 
 
+def test_rare_languages_of_a_large_table_are_learned(spark):
+    docs = spark.range(45_000).selectExpr(
+        "id AS doc_id", "concat('some text ', id) AS text",
+        "CASE WHEN id % 4500 = 7 THEN concat('rare', id) ELSE 'en' END AS lang")
+    langs, logs = langid.fit(docs)
+    assert len(langs) == 11 and logs.shape == (langid.BUCKETS, 11)
+
+
 def test_language_edges(spark, frame, odd_rows):
     got = langid.predict(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)

@@ -20,8 +20,6 @@ from vistrata.llm.tables import packed_counts, quoted
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 UNKNOWN = "und"
-# Bound on the labelled documents to learn from; a larger set is thinned by the hash of the id.
-TRAIN_ROWS = 20_000
 HOLD_OUT = 5
 ROUNDS, CLOSE = 40, 1e-4
 BLOCK_CHARS = 1 << 20
@@ -82,19 +80,13 @@ def count_trigrams(docs: DataFrame, text_column: str = "text", lang_column: str
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-        lang_column: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+        lang_column: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-probabilities of the buckets in each.
 
-    At most about ``train_rows`` labelled rows are read, chosen by the hash of
-    the id; the result has a fixed number of buckets per language.
+    All labelled rows are counted; the result has a fixed number of buckets per
+    language.
     """
-    rows = docs.select(quoted(id_column).alias("doc_id"), quoted(text_column).alias("text"),
-                       quoted(lang_column).alias("lang")).filter("lang IS NOT NULL")
-    n = rows.count()
-    if n > train_rows:
-        part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
-        rows = rows.filter(part < F.lit(1_000_000 * train_rows // n))
-    counts = packed_counts(count_trigrams(rows), BUCKETS)
+    counts = packed_counts(count_trigrams(docs, text_column, lang_column), BUCKETS)
     langs = sorted(counts)
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
     for i, lang in enumerate(langs):
