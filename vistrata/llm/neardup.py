@@ -315,8 +315,9 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
              similar: float = SIMILAR) -> DataFrame:
     """``doc_id, fp, n, class_id, class_size, n_links, keep_fp`` by id and text.
 
-    ``n`` counts the rows with this id and text, ``n_links`` the other texts that
-    this text was found similar to. ``class_id`` is the least id of the class; the
+    ``n`` counts the rows with this id and text, ``n_links`` the tested links that
+    end in this text. Texts already in one class are not compared again, so this is
+    not the number of similar texts. ``class_id`` is the least id of the class; the
     row that stays has it and, among equal ids, the text digest ``keep_fp``. A
     text without words (NULL, empty, blank) is a class of its own id.
     """
@@ -412,7 +413,8 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
 
     Of each class one row is kept, that with the least id; texts without words are
     all kept. Of rows equal in id and words the first is kept. An empty table
-    gives no rows; other columns are not looked at.
+    gives no rows; other columns are not looked at. ``n_links`` counts the links that
+    were tested, as in ``classify``.
     """
     rows = classify(docs, **columns)
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
