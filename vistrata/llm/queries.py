@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from vistrata.llm import (
-    classifier, exactdedup, extract, langid, mixing, neardup, pieces, quality, suffixdedup,
-    urlfilter,
+    classifier, exactdedup, extract, fim, langid, mixing, neardup, phrases, pieces, quality,
+    suffixdedup, urlfilter, windowdedup,
 )
 from vistrata.llm.tables import read
 
@@ -61,10 +61,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), pieces.load_vocabulary(piece_model()))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowdedup.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_quality_rules, op3_language_mixture, op4_main_text,
     op5_suffix_dedup, op6_source_mix, op7_quality_classifier, op8_exact_dedup, op9_url_rules,
-    op10_sentencepiece)}
+    op10_sentencepiece, op11_collocations, op12_window_dedup, op13_fill_in_middle)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -177,9 +189,92 @@ def _url_sql() -> str:
     SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE nr = 1"""
 
 
+def _phrase_sql() -> str:
+    longest, least, (part, whole) = phrases.LONGEST, phrases.LEAST, phrases.SHARE
+    runs = " UNION ALL ".join(
+        f"SELECT lang, {size} AS size, " + " || ' ' || ".join(["w0", *[
+            f"w{j}" for j in range(1, size)]]) + f" AS phrase FROM s WHERE w{size - 1} IS NOT NULL"
+        for size in range(1, longest + 1))
+    leads = ", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(1, longest))
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT doc, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS nr FROM (
+            SELECT doc, lang, string_split_regex(t, '[.,;:!?\\x0A-\\x0D]') AS ps FROM d)),
+    w AS (SELECT doc, lang, nr, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
+            SELECT doc, lang, nr, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p)),
+    s AS (SELECT lang, word AS w0, {leads} FROM w
+          WINDOW o AS (PARTITION BY doc, nr ORDER BY i)),
+    f AS (SELECT lang, size, phrase, count(*) AS f FROM ({runs}) GROUP BY ALL),
+    c AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS ws FROM f
+          WHERE size >= 2 AND f >= {least}),
+    cut AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[:k], ' ') AS lp,
+              array_to_string(ws[k + 1:], ' ') AS rp
+            FROM c, (SELECT unnest(range(1, {longest})) AS k) WHERE k < size),
+    sc AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r,
+             (a::HUGEINT * {phrases.SCALE} // (x.f + y.f))::BIGINT AS score
+           FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = lp
+                    JOIN f AS y ON y.lang = cut.lang AND y.phrase = rp),
+    best AS (SELECT * FROM sc QUALIFY row_number() OVER (
+               PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    held AS (SELECT DISTINCT b.lang, b.phrase FROM best AS b JOIN c ON c.lang = b.lang
+               AND c.size > length(b.phrase) - length(replace(b.phrase, ' ', '')) + 1
+               AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')
+               AND {whole} * c.f >= {part} * b.a),
+    kept AS (SELECT b.* FROM best AS b ANTI JOIN held USING (lang, phrase)),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+             AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}"""
+
+
+def _window_sql() -> str:
+    size = windowdedup.WINDOW
+    gram = " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER o" for j in range(1, size)]])
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS doc, doc_id,
+                 regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws FROM documents),
+    w AS (SELECT doc, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    g AS (SELECT doc, doc_id, i, {gram} AS gram FROM w
+          WINDOW o AS (PARTITION BY doc ORDER BY i)),
+    r AS (SELECT doc, i FROM g WHERE gram IS NOT NULL QUALIFY
+            min(doc_id) OVER (PARTITION BY gram) < coalesce(doc_id, 9223372036854775807)),
+    gone AS (SELECT DISTINCT doc, i + j AS i FROM r, (SELECT unnest(range({size})) AS j)),
+    k AS (SELECT doc, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+          FROM w ANTI JOIN gone USING (doc, i) GROUP BY doc)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc)"""
+
+
+def _fim_sql() -> str:
+    draw = ", ".join(f"CAST('0x' || sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))"
+                     f"[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4))
+    marks = " OR ".join(f"contains(t, '{m.decode()}')" for m in fim.RESTORED)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {draw} FROM documents),
+    u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us FROM d),
+    c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS low,
+                 greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS high FROM u),
+    f AS (SELECT *, CASE WHEN t = '' OR {marks} OR h3 % 100 >= {fim.RATE} THEN 'plain'
+                         WHEN h4 % 100 < {fim.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form,
+            coalesce(array_to_string(us[:low], ''), '') AS p,
+            coalesce(array_to_string(us[low + 1:high], ''), '') AS m,
+            coalesce(array_to_string(us[high + 1:], ''), '') AS s FROM c)
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM f"""
+
+
 SQL = {
     "op2_quality_rules": _quality_sql(),
     "op6_source_mix": _mixing_sql(),
     "op8_exact_dedup": _dedup_sql(),
     "op9_url_rules": _url_sql(),
+    "op11_collocations": _phrase_sql(),
+    "op12_window_dedup": _window_sql(),
+    "op13_fill_in_middle": _fim_sql(),
 }
