@@ -1,9 +1,9 @@
 """Count-min sketches of 64-bit keys, gathered sparsely and merged by blocks.
 
 A task turns its keys into the cells they hit, one row of cells per hash
-function, sorts them and sends each block of 65,536 cells as a packed array, two
-bytes per key and row, so the traffic follows the keys and not the width. The
-blocks of all tasks are summed as a stream; what is kept of a sum is whether it
+function, sorts them and sends each block of 65,536 cells as the steps from one to
+the next, mostly one byte per key and row, so the traffic follows the keys and not
+the width. The blocks of all tasks are summed as a stream; what is kept of a sum is whether it
 reaches a limit. The merged table is one bit per cell, at most ``MAX_WIDTH`` cells a
 row, and so has a proven size wherever it is broadcast. With more keys than that has
 room for, more estimates are too high; none is ever too low.
@@ -26,7 +26,7 @@ MAX_WIDTH = 1 << 28
 # Cells that share a bit of the second, higher limit.
 COARSE = 64
 # Keys that a task gathers before it sends their cells.
-GATHERED = 2_000_000
+GATHERED = 4_000_000
 
 CELLS = "part int, block int, cells binary"
 
@@ -59,13 +59,26 @@ def sparse_cells(chunks: Iterator[np.ndarray], width: int) -> Iterator[pd.DataFr
 def _packed(keys: np.ndarray, width: int) -> Iterator[pd.DataFrame]:
     for part in range(DEPTH):
         cells = np.sort(cells_of(keys, part, width))
-        places = (cells % BLOCK).astype("<u2")
         blocks = cells // BLOCK
         first = np.flatnonzero(np.diff(blocks, prepend=-1))
-        bounds = [*first, len(cells)]
+        steps = np.diff(cells, prepend=0)
+        steps[first] = cells[first] % BLOCK
+        # A step above 254 is that many bytes 255 (each worth 255) and the rest.
+        jumps, rest = np.divmod(steps, 255)
+        ends = np.cumsum(jumps + 1)
+        packed = np.full(int(ends[-1]), 255, np.uint8)
+        packed[ends - 1] = rest
+        packed = packed.tobytes()
+        bounds = [0, *ends[first[1:] - 1], len(packed)]
         yield pd.DataFrame({
             "part": np.int32(part), "block": blocks[first].astype(np.int32),
-            "cells": [places[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]})
+            "cells": [packed[a:b] for a, b in zip(bounds, bounds[1:])]})
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    """The cells within a block, from their steps."""
+    steps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
 class Sketch:
@@ -106,7 +119,7 @@ def merge(cells: DataFrame, width: int, limit: int, high: int | None = None) ->
                     if at is not None:
                         yield _bits(at, sums, limit, high)
                     at, sums = (part, block), np.zeros(BLOCK, np.int64)
-                sums += np.bincount(np.frombuffer(packed, "<u2"), minlength=BLOCK)
+                sums += np.bincount(unpacked(packed), minlength=BLOCK)
         if at is not None:
             yield _bits(at, sums, limit, high)
 

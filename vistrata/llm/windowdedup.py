@@ -3,7 +3,7 @@
 A window is a run of 13 words of one document. Every task counts the windows it sees
 in a sketch; the merged sketch says for each window whether it may occur twice. A
 second pass over the texts sends on only those windows, which are grouped exactly by a
-128-bit digest: the sketch never counts too low, so no repeated window is lost, and one
+96-bit digest: the sketch never counts too low, so no repeated window is lost, and one
 that it wrongly lets through is alone in its group.
 
 A window estimated to occur ``HOT`` times or more is not gathered by key: its least id
@@ -32,19 +32,26 @@ GROUP_BYTES = 4 << 20
 # false alarms depends on this.
 BYTES_PER_WINDOW = 6
 
-FOUND = "doc_id long, text_hash long, h1 long, h2 long, place int"
+ROW = ["doc_id", "no_id", "text_hash"]
+FOUND = "doc_id long, no_id boolean, text_hash long, h1 long, h2 int, place int"
 RESULT = "doc_id long, n_words long, n_removed long, text string"
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc_id, no_id, text_hash, text``: text as bytes, a hash that tells rows of one id apart.
 
-    pandas has no whole numbers with gaps, so NULL ids are 0 with ``no_id``.
+    pandas has no whole numbers with gaps, so NULL ids are 0 with ``no_id``. Where every
+    id has one text, the hash has nothing to tell and is 0 everywhere.
     """
     text, doc_id = F.coalesce(quoted(text_column), F.lit("")), quoted(id_column).cast("long")
-    return docs.select(
+    texts = docs.select(
         F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"),
         F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    ids = texts.groupBy("doc_id", "no_id").agg(
+        F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+    if not ids.filter("a <> b").take(1):
+        texts = texts.withColumn("text_hash", F.lit(0).cast("long"))
+    return texts
 
 
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -102,34 +109,33 @@ def _suspects(texts: DataFrame, size: int, merged, hot: bool) -> DataFrame:
                     continue
                 owner = np.repeat(np.arange(low, high), n)[at]
                 place = np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n)
-                ids = pd.arrays.IntegerArray(
-                    batch["doc_id"].to_numpy()[owner], batch["no_id"].to_numpy(bool)[owner])
-                yield pd.DataFrame({
-                    "doc_id": ids, "text_hash": batch["text_hash"].to_numpy()[owner],
-                    "h1": h1[at].view(np.int64), "h2": h2[at].view(np.int64),
+                out = {c: batch[c].to_numpy()[owner] for c in ROW}
+                yield pd.DataFrame(out | {
+                    "h1": h1[at].view(np.int64), "h2": h2[at].astype(np.uint32).view(np.int32),
                     "place": place[at].astype(np.int32)})
 
     return texts.mapInPandas(find, FOUND)
 
 
 def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, text_hash, place``: windows that a document with a smaller id holds, too."""
+    """``doc_id, no_id, text_hash, place``: windows that a document with a smaller id holds, too."""
     spark = texts.sparkSession
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = sketch.width_for(n_bytes // BYTES_PER_WINDOW)
     table = _count_windows(texts, size, width)
     merged = spark.sparkContext.broadcast(table)
+    known_id = F.when(~F.col("no_id"), F.col("doc_id"))
     later = F.col("least").isNotNull() & (
-        F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+        F.col("no_id") | (F.col("doc_id") > F.col("least")))
     same = Window.partitionBy("h1", "h2")
     cold = _suspects(texts, size, merged, hot=False)
-    found = cold.withColumn("least", F.min("doc_id").over(same)).filter(later)
-    kept = ["doc_id", "text_hash", "place"]
+    found = cold.withColumn("least", F.min(known_id).over(same)).filter(later)
+    kept = [*ROW, "place"]
     if not table.high.any():
         return found.select(*kept)
     hot = materialise(_suspects(texts, size, merged, hot=True), "frequent-windows")
     groups = materialise(hot.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "window-groups")
+        F.min(known_id).alias("least"), F.count(F.lit(1)).alias("n_rows")), "window-groups")
     both = F.struct("h1", "h2").alias("window")
     total = hot.count()
     also = join_groups(
@@ -151,13 +157,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     word hashes at a time, however long it is.
     """
     texts = _texts(docs, id_column, text_column)
-    places = repeated_windows(texts, size).groupBy("doc_id", "text_hash").agg(
-        F.collect_list("place").alias("places")).select(
-        F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "places")
-    same = (F.col("no_id") == F.col("found_id").isNull()) & (
-        F.col("doc_id") == F.coalesce("found_id", F.lit(0))) & (
-        F.col("text_hash") == F.col("found_hash"))
-    marked = texts.join(places.hint("merge"), same, "left")
+    places = repeated_windows(texts, size).groupBy(*ROW).agg(
+        F.collect_list("place").alias("places"))
+    marked = texts.join(places.hint("merge"), ROW, "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
