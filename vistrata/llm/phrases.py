@@ -5,7 +5,9 @@ where both runs it is made of by leaving out its last or its first word are freq
 as it cannot be frequent otherwise. The frequent runs of an order reach the next scan
 as a bit table of bounded size (``sketch``), which may let further runs through but
 loses none; tasks add up their runs before the shuffle and the shuffle counts exactly,
-by the words themselves.
+by the words themselves. Of the runs of two words most are rare although their words are
+not; a count-min sketch of them comes first and only those that it estimates frequent
+are counted, again with none lost.
 
 The frequent runs are then kept as two streams, one in prefix order (by their words
 from the first on) and one in suffix order (from the last on). Sort-merge joins move
@@ -37,7 +39,7 @@ SHARE = (80, 100)
 TOP = 2_000
 NO_LANG = "und"
 # Bytes of text that a task looks at together; a longer word is looked at whole.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 # The fixed marks that end a piece, and the white space between words.
 _END, _SPACE = 10, 32
@@ -137,16 +139,35 @@ def _last_words(data: bytes, n: int) -> tuple[int, int]:
     return begin, n
 
 
-def _count_runs(texts: DataFrame, size: int, shorter) -> DataFrame:
+def _possible(block: _Block, size: int, shorter) -> np.ndarray:
+    """First words of the runs whose two shorter runs are frequent."""
+    at = block.runs(size)
+    if shorter is not None and len(at):
+        keys = block.run_keys(size - 1)
+        at = at[shorter.value.reaches(keys[at])]
+        at = at[shorter.value.reaches(keys[at + 1])]
+    return at
+
+
+def _estimate_runs(texts: DataFrame, size: int, shorter, least: int, n_words: int):
+    """A sketch that says which runs may occur ``least`` times, broadcast."""
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        hasher = WordHasher()
+        for block in _blocks(batches, hasher):
+            yield block.run_keys(size)[_possible(block, size, shorter)]
+
+    table = sketch.count_sketch(texts, keys, sketch.width_for(n_words), limit=least)
+    return texts.sparkSession.sparkContext.broadcast(table)
+
+
+def _count_runs(texts: DataFrame, size: int, shorter, likely=None) -> DataFrame:
     """``lang, size, phrase, n``, one row per run and block; sizes 0 count all words."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for block in _blocks(batches, hasher):
-            at = block.runs(size)
-            if shorter is not None and len(at):
-                keys = block.run_keys(size - 1)
-                at = at[shorter.value.reaches(keys[at])]
-                at = at[shorter.value.reaches(keys[at + 1])]
+            at = _possible(block, size, shorter)
+            if likely is not None and len(at):
+                at = at[likely.value.reaches(block.run_keys(size)[at])]
             if not len(at):
                 continue
             keys, others = block.run_keys(size)[at], _second_keys(block, at, size)
@@ -207,7 +228,11 @@ def frequent_runs(docs: DataFrame, lang_column: str = "lang", text_column: str =
         F.coalesce(quoted(text_column), F.lit("")).cast("binary").alias("text"))
     shorter, levels = None, []
     for size in range(1, longest + 1):
-        counted = _count_runs(texts, size, shorter).groupBy("lang", "size", "phrase").agg(
+        likely = None
+        if size == 2:
+            n_words = sketch.count_rows(levels[0].filter("size = 0"), "n")
+            likely = _estimate_runs(texts, size, shorter, least, n_words)
+        counted = _count_runs(texts, size, shorter, likely).groupBy("lang", "size", "phrase").agg(
             F.sum("n").alias("n"))
         found = materialise(
             counted.filter((F.col("n") >= least) | (F.col("size") == 0)), f"runs-{size}")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from vistrata.llm.wordhash import mixed, numbers
 
@@ -150,3 +150,8 @@ def count_sketch(rows: DataFrame, keys_of: Callable[[Iterator], Iterator[np.ndar
         yield from sparse_cells(keys_of(batches), width)
 
     return merge(rows.mapInPandas(gather, CELLS), width, limit, high)
+
+
+def count_rows(frame: DataFrame, column: str) -> int:
+    """The sum of a column of counts, 0 for no rows."""
+    return int(frame.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
