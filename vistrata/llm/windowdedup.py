@@ -6,9 +6,11 @@ second pass over the texts sends on only those windows, which are grouped exactl
 96-bit digest: the sketch never counts too low, so no repeated window is lost, and one
 that it wrongly lets through is alone in its group.
 
-A window estimated to occur ``HOT`` times or more is not gathered by key: its least id
-is an aggregate that combines before the shuffle, joined back with hot digests by
-broadcast. All other groups have fewer than ``HOT`` rows, as the estimate is a bound.
+Windows that the sketch estimates to occur more often than a share of all windows are
+counted first, by an aggregate that combines before the shuffle. Those that do occur so
+often are few (their number times that count is at most the number of windows): their
+least ids are broadcast and their occurrences are judged where they are read. What is
+left to be gathered by key are groups below that share.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vistrata.llm import sketch
-from vistrata.llm.tables import join_groups, quoted
+from vistrata.llm.tables import quoted
 from vistrata.llm.wordhash import WordHasher, mixed, numbers
-from vistrata.plans.session import materialise
 
 WINDOW = 13
-HOT = 1_000
+# A window is frequent if it occurs so often, or more than one in HOT_WINDOWS times; so no
+# more than HOT_WINDOWS frequent ones, of 24 bytes each, are broadcast.
+HOT, HOT_WINDOWS = 1_000, 500_000
 # Texts that are hashed together; a longer text is hashed alone.
 GROUP_BYTES = 4 << 20
 # Bytes of text that stand for one window when the sketch is sized; only its rate of
@@ -33,7 +37,11 @@ GROUP_BYTES = 4 << 20
 BYTES_PER_WINDOW = 6
 
 ROW = ["doc_id", "no_id", "text_hash"]
-FOUND = "doc_id long, no_id boolean, text_hash long, h1 long, h2 int, place int"
+FOUND = ("doc_id long, no_id boolean, text_hash long, judged boolean, place int, h2 int,"
+         " h1 long")
+FREQUENT = "h1 long, h2 int, least long, n long"
+# Stands for no id at all among least ids: no id is smaller than NULL's.
+_NO_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_words long, n_removed long, text string"
 
 
@@ -54,6 +62,15 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return texts
 
 
+def _packed(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        packer = zstandard.ZstdCompressor(level=1)
+        return pd.Series([packer.compress(t) for t in texts], dtype=object)
+
+    return pack(text)
+
+
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Bounds of neighbouring texts that are hashed together."""
     first, size = 0, 0
@@ -84,35 +101,74 @@ def window_digests(texts: list[bytes], hasher: WordHasher, size: int
     return mixed(sums[0][at]), mixed(sums[1][at]), n
 
 
-def _count_windows(texts: DataFrame, size: int, width: int) -> sketch.Sketch:
+def _count_windows(texts: DataFrame, size: int, width: int, hot: int) -> sketch.Sketch:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        hasher = WordHasher()
-        for batch in batches:
-            held = list(batch["text"])
-            for low, high in _groups(held):
-                yield window_digests(held[low:high], hasher, size)[0]
+        for _, _, (h1, _, _) in _hashed(batches, size):
+            yield h1.view(np.uint64)
+
+    return sketch.count_sketch(texts, keys, width, limit=2, high=hot)
 
-    return sketch.count_sketch(texts.select("text"), keys, width, limit=2, high=HOT)
 
+def _hashed(batches: Iterator[pd.DataFrame], size: int):
+    """Neighbouring texts at a time: their rows, the first and last, and their windows."""
+    hasher = WordHasher()
+    for batch in batches:
+        held = list(batch["text"])
+        for low, high in _groups(held):
+            h1, h2, n = window_digests(held[low:high], hasher, size)
+            yield batch, (low, high), (h1.view(np.int64), h2.astype(np.uint32).view(np.int32), n)
 
-def _suspects(texts: DataFrame, size: int, merged, hot: bool) -> DataFrame:
-    """The windows that may be repeated: those estimated below ``HOT``, or the others."""
+
+def _suspects(table: sketch.Sketch, h1: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(table.reaches(h1.view(np.uint64)))
+
+
+def _frequent_windows(texts: DataFrame, size: int, merged, hot: int) -> pd.DataFrame:
+    """``h1, h2, least`` of the windows that occur ``hot`` times, in order of ``h1``."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, table = WordHasher(), merged.value
-        for batch in batches:
-            held = list(batch["text"])
-            for low, high in _groups(held):
-                h1, h2, n = window_digests(held[low:high], hasher, size)
-                at = np.flatnonzero(table.reaches(h1))
-                at = at[table.reaches_high(h1[at]) == hot]
-                if not len(at):
-                    continue
-                owner = np.repeat(np.arange(low, high), n)[at]
-                place = np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n)
-                out = {c: batch[c].to_numpy()[owner] for c in ROW}
-                yield pd.DataFrame(out | {
-                    "h1": h1[at].view(np.int64), "h2": h2[at].astype(np.uint32).view(np.int32),
-                    "place": place[at].astype(np.int32)})
+        table = merged.value
+        for batch, (low, high), (h1, h2, n) in _hashed(batches, size):
+            at = _suspects(table, h1)
+            at = at[table.reaches_high(h1[at].view(np.uint64))]
+            owner = np.repeat(np.arange(low, high), n)[at]
+            ids = batch["doc_id"].to_numpy()[owner]
+            least = np.where(batch["no_id"].to_numpy(bool)[owner], _NO_ID, ids)
+            part = pd.DataFrame({"h1": h1[at], "h2": h2[at], "least": least, "n": 1})
+            yield part.groupby(["h1", "h2"], as_index=False).agg({"least": "min", "n": "sum"})
+
+    counted = texts.mapInPandas(find, FREQUENT).groupBy("h1", "h2").agg(
+        F.min("least").alias("least"), F.sum("n").alias("n")).filter(F.col("n") >= hot)
+    return counted.select("h1", "h2", "least").toPandas().sort_values("h1", ignore_index=True)
+
+
+def _to_group(texts: DataFrame, size: int, merged, frequent) -> DataFrame:
+    """Windows that may be repeated, and as ``judged`` those that a smaller id is known to hold."""
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, known = merged.value, frequent.value
+        k1, k2, least = (known[c].to_numpy() for c in ("h1", "h2", "least"))
+        # Frequent windows with equal h1 are told apart by h2; their number is tiny.
+        spare = np.flatnonzero(k1[1:] == k1[:-1]) + 1
+        for batch, (low, high), (h1, h2, n) in _hashed(batches, size):
+            at = _suspects(table, h1)
+            if not len(at):
+                continue
+            owner = np.repeat(np.arange(low, high), n)[at]
+            ids, no_id = batch["doc_id"].to_numpy()[owner], batch["no_id"].to_numpy(bool)[owner]
+            judged, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            if len(k1):
+                first = np.minimum(np.searchsorted(k1, h1[at]), len(k1) - 1)
+                for place in (first, *([s] for s in spare)):
+                    same = (k1[place] == h1[at]) & (k2[place] == h2[at])
+                    judged |= same
+                    later |= same & (least[place] < np.where(no_id, _NO_ID, ids))
+            place = np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n)
+            out = pd.DataFrame({
+                "doc_id": ids, "no_id": no_id, "text_hash": batch["text_hash"].to_numpy()[owner],
+                "judged": judged, "place": place[at].astype(np.int32), "h2": h2[at],
+                # What is judged needs no group and is spread by document and place.
+                "h1": np.where(judged, mixed(ids.view(np.uint64) + place[at].view(np.uint64)
+                                             ).view(np.int64), h1[at])})
+            yield out[~judged | later]
 
     return texts.mapInPandas(find, FOUND)
 
@@ -121,27 +177,20 @@ def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     """``doc_id, no_id, text_hash, place``: windows that a document with a smaller id holds, too."""
     spark = texts.sparkSession
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = sketch.width_for(n_bytes // BYTES_PER_WINDOW)
-    table = _count_windows(texts, size, width)
+    n_windows = n_bytes // BYTES_PER_WINDOW
+    hot = max(HOT, n_windows // HOT_WINDOWS)
+    table = _count_windows(texts, size, sketch.width_for(n_windows), hot)
     merged = spark.sparkContext.broadcast(table)
-    known_id = F.when(~F.col("no_id"), F.col("doc_id"))
+    known = pd.DataFrame({"h1": [], "h2": [], "least": []}, dtype=np.int64)
+    if table.high.any():
+        known = _frequent_windows(texts, size, merged, hot)
+    windows = _to_group(texts, size, merged, spark.sparkContext.broadcast(known))
+    known_id = F.when(~F.col("no_id") & ~F.col("judged"), F.col("doc_id"))
+    least = F.min(known_id).over(Window.partitionBy("h1", "h2", "judged"))
     later = F.col("least").isNotNull() & (
         F.col("no_id") | (F.col("doc_id") > F.col("least")))
-    same = Window.partitionBy("h1", "h2")
-    cold = _suspects(texts, size, merged, hot=False)
-    found = cold.withColumn("least", F.min(known_id).over(same)).filter(later)
-    kept = [*ROW, "place"]
-    if not table.high.any():
-        return found.select(*kept)
-    hot = materialise(_suspects(texts, size, merged, hot=True), "frequent-windows")
-    groups = materialise(hot.groupBy("h1", "h2").agg(
-        F.min(known_id).alias("least"), F.count(F.lit(1)).alias("n_rows")), "window-groups")
-    both = F.struct("h1", "h2").alias("window")
-    total = hot.count()
-    also = join_groups(
-        hot.select(*kept, both), groups.select(both, "least", "n_rows"), "window",
-        F.col("n_rows"), total).filter(later)
-    return found.select(*kept).unionByName(also.select(*kept))
+    found = windows.withColumn("least", least).filter(F.col("judged") | later)
+    return found.select(*ROW, "place")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -159,13 +208,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = _texts(docs, id_column, text_column)
     places = repeated_windows(texts, size).groupBy(*ROW).agg(
         F.collect_list("place").alias("places"))
-    marked = texts.join(places.hint("merge"), ROW, "left")
+    # Texts travel packed: they are most of what the join moves.
+    marked = texts.withColumn("text", _packed(F.col("text"))).join(places.hint("merge"), ROW, "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words, removed, kept = [], [], []
-            for text, found in zip(batch["text"], batch["places"]):
-                parts = text.split()
+            unpack = zstandard.ZstdDecompressor()
+            for packed, found in zip(batch["text"], batch["places"]):
+                parts = unpack.decompress(packed).split()
                 gone = np.zeros(len(parts) + 1, np.int64)
                 if found is not None:
                     np.add.at(gone, found, 1)
