@@ -40,7 +40,7 @@ def width_for(n_keys: int, cells_per_key: float = 2.0, most: int = MAX_WIDTH) ->
 def cells_of(keys: np.ndarray, part: int, width: int) -> np.ndarray:
     """The cell of every key in one row of the sketch."""
     salt = numbers(DEPTH + 1, 901)[part]
-    return (mixed(keys ^ salt) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
+    return (mixed(keys ^ salt) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.uint32)
 
 
 def sparse_cells(chunks: Iterator[np.ndarray], width: int) -> Iterator[pd.DataFrame]:
@@ -58,14 +58,15 @@ def sparse_cells(chunks: Iterator[np.ndarray], width: int) -> Iterator[pd.DataFr
 
 def _packed(keys: np.ndarray, width: int) -> Iterator[pd.DataFrame]:
     for part in range(DEPTH):
-        cells = np.sort(cells_of(keys, part, width))
+        cells = cells_of(keys, part, width)
+        cells.sort()
         blocks = cells // BLOCK
-        first = np.flatnonzero(np.diff(blocks, prepend=-1))
-        steps = np.diff(cells, prepend=0)
+        first = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+        steps = np.diff(cells, prepend=cells[:1])
         steps[first] = cells[first] % BLOCK
         # A step above 254 is that many bytes 255 (each worth 255) and the rest.
         jumps, rest = np.divmod(steps, 255)
-        ends = np.cumsum(jumps + 1)
+        ends = np.cumsum(jumps + 1, dtype=np.int64)
         packed = np.full(int(ends[-1]), 255, np.uint8)
         packed[ends - 1] = rest
         packed = packed.tobytes()

@@ -10,7 +10,8 @@ Windows that the sketch estimates to occur more often than a share of all window
 counted first, by an aggregate that combines before the shuffle. Those that do occur so
 often are few (their number times that count is at most the number of windows): their
 least ids are broadcast and their occurrences are judged where they are read. What is
-left to be gathered by key are groups below that share.
+left to be gathered by digest are groups below that share. They travel packed, in shards
+of bounded size by digest, and a task groups one shard at a time by sorting it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vistrata.llm import sketch
 from vistrata.llm.tables import quoted
@@ -31,14 +32,18 @@ WINDOW = 13
 # more than HOT_WINDOWS frequent ones, of 24 bytes each, are broadcast.
 HOT, HOT_WINDOWS = 1_000, 500_000
 # Texts that are hashed together; a longer text is hashed alone.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 # Bytes of text that stand for one window when the sketch is sized; only its rate of
 # false alarms depends on this.
 BYTES_PER_WINDOW = 6
 
 ROW = ["doc_id", "no_id", "text_hash"]
-FOUND = ("doc_id long, no_id boolean, text_hash long, judged boolean, place int, h2 int,"
-         " h1 long")
+# Windows that a shard is meant for; what it holds are those of them that may be repeated.
+SHARD_WINDOWS = 2_000_000
+PACKED = "shard long, judged boolean, digests binary, rows binary"
+PLACES = "doc_id long, no_id boolean, text_hash long, places binary"
+_ROW = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("place", "<i4"), ("no_id", "?")])
+_DIGEST = np.dtype([("h1", "<i8"), ("h2", "<i4")])
 FREQUENT = "h1 long, h2 int, least long, n long"
 # Stands for no id at all among least ids: no id is smaller than NULL's.
 _NO_ID = np.iinfo(np.int64).max
@@ -141,8 +146,8 @@ def _frequent_windows(texts: DataFrame, size: int, merged, hot: int) -> pd.DataF
     return counted.select("h1", "h2", "least").toPandas().sort_values("h1", ignore_index=True)
 
 
-def _to_group(texts: DataFrame, size: int, merged, frequent) -> DataFrame:
-    """Windows that may be repeated, and as ``judged`` those that a smaller id is known to hold."""
+def _to_group(texts: DataFrame, size: int, merged, frequent, shards: int) -> DataFrame:
+    """Windows that may be repeated by shard, and those that a smaller id is known to hold."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = merged.value, frequent.value
         k1, k2, least = (known[c].to_numpy() for c in ("h1", "h2", "least"))
@@ -153,28 +158,104 @@ def _to_group(texts: DataFrame, size: int, merged, frequent) -> DataFrame:
             if not len(at):
                 continue
             owner = np.repeat(np.arange(low, high), n)[at]
-            ids, no_id = batch["doc_id"].to_numpy()[owner], batch["no_id"].to_numpy(bool)[owner]
+            rows = np.zeros(len(at), _ROW)
+            for name in ROW:
+                rows[name] = batch[name].to_numpy()[owner]
+            rows["place"] = (np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n))[at]
+            digests = np.zeros(len(at), _DIGEST)
+            digests["h1"], digests["h2"] = h1[at], h2[at]
             judged, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
             if len(k1):
                 first = np.minimum(np.searchsorted(k1, h1[at]), len(k1) - 1)
                 for place in (first, *([s] for s in spare)):
                     same = (k1[place] == h1[at]) & (k2[place] == h2[at])
                     judged |= same
-                    later |= same & (least[place] < np.where(no_id, _NO_ID, ids))
-            place = np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n)
-            out = pd.DataFrame({
-                "doc_id": ids, "no_id": no_id, "text_hash": batch["text_hash"].to_numpy()[owner],
-                "judged": judged, "place": place[at].astype(np.int32), "h2": h2[at],
-                # What is judged needs no group and is spread by document and place.
-                "h1": np.where(judged, mixed(ids.view(np.uint64) + place[at].view(np.uint64)
-                                             ).view(np.int64), h1[at])})
-            yield out[~judged | later]
-
-    return texts.mapInPandas(find, FOUND)
+                    later |= same & (least[place] < _least_ids(rows))
+            shard = mixed(digests["h1"].view(np.uint64)) % np.uint64(shards)
+            yield from _packed_rows(shard[~judged], digests[~judged], rows[~judged])
+            if later.any():
+                yield pd.DataFrame({"shard": [int(shard[later][0])], "judged": [True],
+                                    "digests": [b""], "rows": [_pack_array(rows[later])]})
+
+    return texts.mapInPandas(find, PACKED)
+
+
+def _least_ids(rows: np.ndarray) -> np.ndarray:
+    return np.where(rows["no_id"], _NO_ID, rows["doc_id"])
+
+
+def _pack_array(rows: np.ndarray) -> bytes:
+    """Columns after each other, compressed: ids and places of neighbours are alike."""
+    whole = b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in _ROW.names)
+    return zstandard.ZstdCompressor(level=1).compress(whole)
+
+
+def _unpack_array(packed: bytes) -> np.ndarray:
+    whole = zstandard.ZstdDecompressor().decompress(packed)
+    out = np.zeros(len(whole) // _ROW.itemsize, _ROW)
+    at = 0
+    for c in _ROW.names:
+        part = np.frombuffer(whole, _ROW[c], len(out), at)
+        out[c] = part
+        at += part.nbytes
+    return out
+
+
+def _packed_rows(shard: np.ndarray, digests: np.ndarray, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+    order = np.argsort(shard, kind="stable")
+    shard, digests, rows = shard[order], digests[order], rows[order]
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+    bounds = [*first, len(shard)]
+    yield pd.DataFrame({
+        "shard": shard[first].astype(np.int64) if len(shard) else np.zeros(0, np.int64),
+        "judged": False,
+        "digests": [digests[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],
+        "rows": [_pack_array(rows[a:b]) for a, b in zip(bounds, bounds[1:])]})
+
+
+def _later(digests: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows whose digest a row with a smaller id has, too."""
+    order = np.lexsort((digests["h2"], digests["h1"]))
+    digests, rows = digests[order], rows[order]
+    new = np.concatenate(([True], digests[1:] != digests[:-1]))
+    ids = _least_ids(rows)
+    least = np.minimum.reduceat(ids, np.flatnonzero(new))
+    return rows[least[np.cumsum(new) - 1] < ids]
+
+
+def _by_document(rows: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort([rows[c] for c in ("text_hash", "no_id", "doc_id")])
+    rows = rows[order]
+    keys = rows[ROW]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(rows) else []
+    bounds = [*first, len(rows)]
+    place = rows["place"]
+    return pd.DataFrame({c: rows[c][first] if len(rows) else rows[c] for c in ROW} | {
+        "places": [place[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]})
+
+
+def _group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shard by shard, the windows that a smaller id holds, too."""
+    at, held = None, []
+    for batch in batches:
+        for shard, judged, digests, rows in batch.itertuples(index=False):
+            if shard != at and held:
+                yield _by_document(_later(*map(np.concatenate, zip(*held))))
+                held = []
+            at, rows = shard, _unpack_array(rows)
+            if judged:
+                yield _by_document(rows)
+            else:
+                held.append((np.frombuffer(digests, _DIGEST), rows))
+    if held:
+        yield _by_document(_later(*map(np.concatenate, zip(*held))))
 
 
 def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, no_id, text_hash, place``: windows that a document with a smaller id holds, too."""
+    """``doc_id, no_id, text_hash, places``: windows that a document with a smaller id holds, too.
+
+    ``places`` has first words as packed 32-bit numbers; a document may have several rows.
+    """
     spark = texts.sparkSession
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_windows = n_bytes // BYTES_PER_WINDOW
@@ -184,13 +265,9 @@ def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     known = pd.DataFrame({"h1": [], "h2": [], "least": []}, dtype=np.int64)
     if table.high.any():
         known = _frequent_windows(texts, size, merged, hot)
-    windows = _to_group(texts, size, merged, spark.sparkContext.broadcast(known))
-    known_id = F.when(~F.col("no_id") & ~F.col("judged"), F.col("doc_id"))
-    least = F.min(known_id).over(Window.partitionBy("h1", "h2", "judged"))
-    later = F.col("least").isNotNull() & (
-        F.col("no_id") | (F.col("doc_id") > F.col("least")))
-    found = windows.withColumn("least", least).filter(F.col("judged") | later)
-    return found.select(*ROW, "place")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_windows // SHARD_WINDOWS)
+    sent = _to_group(texts, size, merged, spark.sparkContext.broadcast(known), shards)
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInPandas(_group, PLACES)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -207,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = _texts(docs, id_column, text_column)
     places = repeated_windows(texts, size).groupBy(*ROW).agg(
-        F.collect_list("place").alias("places"))
+        F.collect_list("places").alias("places"))
     # Texts travel packed: they are most of what the join moves.
     marked = texts.withColumn("text", _packed(F.col("text"))).join(places.hint("merge"), ROW, "left")
 
@@ -219,8 +296,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 parts = unpack.decompress(packed).split()
                 gone = np.zeros(len(parts) + 1, np.int64)
                 if found is not None:
-                    np.add.at(gone, found, 1)
-                    np.add.at(gone, np.asarray(found) + size, -1)
+                    first = np.frombuffer(b"".join(found), "<i4")
+                    np.add.at(gone, first, 1)
+                    np.add.at(gone, first + size, -1)
                 stays = np.flatnonzero(np.cumsum(gone)[:len(parts)] == 0)
                 left = parts if len(stays) == len(parts) else [parts[i] for i in stays]
                 words.append(len(parts))
