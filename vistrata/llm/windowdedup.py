@@ -41,8 +41,9 @@ ROW = ["doc_id", "no_id", "text_hash"]
 # Windows that a shard is meant for; what it holds are those of them that may be repeated.
 SHARD_WINDOWS = 2_000_000
 PACKED = "shard long, judged boolean, digests binary, rows binary"
+BUCKETS = "bucket long, rows binary"
 PLACES = "doc_id long, no_id boolean, text_hash long, places binary"
-_ROW = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("place", "<i4"), ("no_id", "?")])
+_ROW = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("text_hash", "<i8"), ("place", "<i4")])
 _DIGEST = np.dtype([("h1", "<i8"), ("h2", "<i4")])
 FREQUENT = "h1 long, h2 int, least long, n long"
 # Stands for no id at all among least ids: no id is smaller than NULL's.
@@ -223,38 +224,72 @@ def _later(digests: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return rows[least[np.cumsum(new) - 1] < ids]
 
 
-def _by_document(rows: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort([rows[c] for c in ("text_hash", "no_id", "doc_id")])
-    rows = rows[order]
-    keys = rows[ROW]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(rows) else []
-    bounds = [*first, len(rows)]
-    place = rows["place"]
-    return pd.DataFrame({c: rows[c][first] if len(rows) else rows[c] for c in ROW} | {
-        "places": [place[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]})
-
-
-def _group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shard by shard, the windows that a smaller id holds, too."""
-    at, held = None, []
+def _group(shards: int):
+    """Shard by shard, the windows that a smaller id holds, too, in buckets of documents."""
+    def dealt(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        key = rows["doc_id"] * 2 + rows["no_id"]
+        bucket = (mixed(key.view(np.uint64) ^ rows["text_hash"].view(np.uint64))
+                  % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        bounds = [*first, len(rows)]
+        yield pd.DataFrame({"bucket": bucket[first], "rows": [
+            _pack_array(rows[a:b]) for a, b in zip(bounds, bounds[1:])]})
+
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for shard, judged, digests, rows in batch.itertuples(index=False):
+                if shard != at and held:
+                    found = _later(*map(np.concatenate, zip(*held)))
+                    held = []
+                    if len(found):
+                        yield from dealt(found)
+                at, rows = shard, _unpack_array(rows)
+                if judged:
+                    yield from dealt(rows)
+                else:
+                    held.append((np.frombuffer(digests, _DIGEST), rows))
+        if held:
+            found = _later(*map(np.concatenate, zip(*held)))
+            if len(found):
+                yield from dealt(found)
+
+    return group
+
+
+def _by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bucket by bucket, one row per document with the places of its windows."""
+    def documents(held: list[np.ndarray]) -> pd.DataFrame:
+        rows = np.unique(np.concatenate(held))
+        keys = rows[ROW]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        bounds, place = [*first, len(rows)], rows["place"]
+        return pd.DataFrame({c: rows[c][first] for c in ROW} | {
+            "places": [place[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]})
+
+    at, held, size = None, [], 0
     for batch in batches:
-        for shard, judged, digests, rows in batch.itertuples(index=False):
-            if shard != at and held:
-                yield _by_document(_later(*map(np.concatenate, zip(*held))))
-                held = []
-            at, rows = shard, _unpack_array(rows)
-            if judged:
-                yield _by_document(rows)
-            else:
-                held.append((np.frombuffer(digests, _DIGEST), rows))
+        for bucket, rows in batch.itertuples(index=False):
+            if bucket != at and held:
+                yield documents(held)
+                held, size = [], 0
+            at, rows = bucket, _unpack_array(rows)
+            held.append(rows)
+            size += len(rows)
+            if size > SHARD_WINDOWS:  # equal rows come once for each copy
+                held = [np.unique(np.concatenate(held))]
+                size = 0
     if held:
-        yield _by_document(_later(*map(np.concatenate, zip(*held))))
+        yield documents(held)
 
 
 def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     """``doc_id, no_id, text_hash, places``: windows that a document with a smaller id holds, too.
 
-    ``places`` has first words as packed 32-bit numbers; a document may have several rows.
+    One row per document that has any; ``places`` has their first words as packed 32-bit
+    numbers.
     """
     spark = texts.sparkSession
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -267,7 +302,10 @@ def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
         known = _frequent_windows(texts, size, merged, hot)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_windows // SHARD_WINDOWS)
     sent = _to_group(texts, size, merged, spark.sparkContext.broadcast(known), shards)
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInPandas(_group, PLACES)
+    found = sent.repartition("shard").sortWithinPartitions("shard").mapInPandas(
+        _group(shards), BUCKETS)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
+        _by_document, PLACES)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -283,8 +321,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     word hashes at a time, however long it is.
     """
     texts = _texts(docs, id_column, text_column)
-    places = repeated_windows(texts, size).groupBy(*ROW).agg(
-        F.collect_list("places").alias("places"))
+    places = repeated_windows(texts, size)
     # Texts travel packed: they are most of what the join moves.
     marked = texts.withColumn("text", _packed(F.col("text"))).join(places.hint("merge"), ROW, "left")
 
@@ -296,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 parts = unpack.decompress(packed).split()
                 gone = np.zeros(len(parts) + 1, np.int64)
                 if found is not None:
-                    first = np.frombuffer(b"".join(found), "<i4")
+                    first = np.frombuffer(found, "<i4")
                     np.add.at(gone, first, 1)
                     np.add.at(gone, first + size, -1)
                 stays = np.flatnonzero(np.cumsum(gone)[:len(parts)] == 0)
