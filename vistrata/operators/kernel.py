@@ -7,6 +7,8 @@ follow from the seed, so the stage is saved by its parameters alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -18,6 +20,14 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 
+def random_features(n_inputs: int, size: int, gamma: float, seed: int):
+    """The map to ``size`` random features of the kernel; the same for equal arguments."""
+    draw = np.random.default_rng(seed)
+    w = draw.normal(0.0, np.sqrt(2.0 * gamma), (n_inputs, size))
+    b = draw.uniform(0.0, 2.0 * np.pi, size)
+    return lambda x: np.sqrt(2.0 / size) * np.cos(x @ w + b)
+
+
 class RandomFourierFeatures(
     Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -34,14 +44,16 @@ class RandomFourierFeatures(
         size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
 
         @F.pandas_udf("array<double>")
-        def lift(vectors: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            x = np.stack(vectors.to_numpy())
-            draw = np.random.default_rng(seed)
-            w = draw.normal(0.0, np.sqrt(2.0 * gamma), (x.shape[1], size))
-            b = draw.uniform(0.0, 2.0 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ w + b)))
+        def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            to_features = None
+            for vectors in batches:
+                if not len(vectors):
+                    yield pd.Series([], dtype=object)
+                    continue
+                x = np.stack(vectors.to_numpy())
+                # Drawn once for a task.
+                to_features = to_features or random_features(x.shape[1], size, gamma, seed)
+                yield pd.Series(list(to_features(x)))
 
         lifted = lift(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(lifted))

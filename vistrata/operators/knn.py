@@ -1,13 +1,19 @@
 """Exact nearest neighbours as a partitioned join.
 
-The training rows are divided into cells around pivots taken from the data. For
-a query the distances to the pivots and a few numbers per cell bound the k-th
-neighbour distance, and the triangle inequality rules out every cell that lies
-farther away. The query is sent only to the cells that are left (Lu, Shen, Chen
-and Ooi, "Efficient processing of k nearest neighbor joins using MapReduce",
-VLDB 2012). Cells and their queries are cut into blocks of bounded size, so a
-crowded cell is spread over many tasks; each block pair returns at most k rows
-per query.
+The training rows are divided into cells around pivots taken from the data, and crowded
+cells again, level by level, until a cell fits a task; so the cells grow with the rows.
+Every cell knows how far its rows lie from its pivot and the box that holds them.
+
+A query first goes down to the cell of its nearest pivots and finds k rows there; the
+k-th distance is its bound. With it the query goes down a second time, now into every
+cell that may hold a nearer row: the box, the triangle inequality and the plane between
+two pivots rule the others out. (The first two steps follow Lu, Shen, Chen and Ooi,
+"Efficient processing of k nearest neighbor joins using MapReduce", VLDB 2012.)
+
+On the way down, pivots and rows meet in a sorted stream, a level at a time, so neither
+the driver nor a task holds all pivots. Cells with many queries are copied to blocks of
+queries. Of equal vectors only the k smallest ids can be neighbours, so the others leave
+first; equal queries are asked once.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vistrata.plans.session import materialise
 
-BLOCK_ROWS = 4_000
-MAX_PIVOTS = 2_000
-ROWS_PER_PIVOT = 500
+# Rows of a cell that is not divided any more, and queries that meet a cell in one task.
+CELL_ROWS, BLOCK_ROWS = 400, 4_000
+# Pivots drawn in a cell. The root is cell 0, others are named by a hash of their path.
+FANOUT = 256
+# Rows of a cell that one task sends down a level.
+STREAM_ROWS = 200_000
 DISTANCE_DIGITS = 9
 # Room for rounding in the bounds, relative and absolute.
 _SLACK = 1e-9
@@ -32,71 +41,279 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    if metric == "chebyshev":
+        return np.abs(x[:, None, :] - pivots[None, :, :]).max(axis=2)
     middle = pivots.mean(axis=0)
     a, b = x - middle, pivots - middle
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _assign_cells(pivots: np.ndarray):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                distances = _pivot_distances(_vectors(batch["vec"]), pivots)
-                cell = distances.argmin(axis=1)
-                yield batch.assign(
-                    cell=cell.astype("int32"), to_pivot=distances[np.arange(len(cell)), cell]
-                )
+# -- cells ----------------------------------------------------------------------------
 
-    return assign
+CHILDREN = ("parent long, cell long, pivot array<double>, n long, radius double,"
+            " low array<double>, high array<double>")
 
 
-def _route_queries(pivots, radius, near_cell, near_distance, k):
-    """Send each query to the cells that may hold one of its k neighbours."""
+def _meet(rows: DataFrame, children: DataFrame, most: int, schema: str, step) -> DataFrame:
+    """``step(rows, children)`` for the rows of each cell and the children of that cell.
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows whose cell has no children are left out. A cell with many rows (``most`` is the
+    largest number) is dealt over tasks, each with a copy of its children.
+    """
+    salts = max(1, -(-most // STREAM_ROWS))
+    names = ["cell", "pivot", "radius", "low", "high"]
+
+    def nothing(kind: str) -> Column:
+        # No NULLs among numbers: pandas would make them doubles.
+        return F.lit(None if kind.startswith("array") else 0).cast(kind)
+
+    left = rows.withColumns({
+        "_at": F.col("cell"), "_salt": F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"),
+        "_kind": F.lit(1), **{f"_{c}": nothing(dict(children.dtypes)[c]) for c in names}})
+    right = children.select(
+        *[nothing(t).alias(c) for c, t in rows.dtypes], F.col("parent").alias("_at"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(0).alias("_kind"),
+        *[F.col(c).alias(f"_{c}") for c in names])
+    both = left.unionByName(right).repartition("_at", "_salt").sortWithinPartitions(
+        "_at", "_salt", "_kind", "_cell")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known, held = None, None, []
         for batch in batches:
-            step = max(1, 4_000_000 // max(1, len(near_cell), len(pivots)))
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                distances = _pivot_distances(_vectors(part["vec"]), pivots)
-                if len(near_cell) >= k:
-                    upper = distances[:, near_cell] + near_distance
-                    bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
-                else:
-                    bound = np.full(len(part), np.inf)
-                room = (bound + distances.max(axis=1)) * _SLACK + _SLACK
-                row, cell = np.nonzero(distances - radius <= (bound + room)[:, None])
-                yield part.iloc[row].assign(cell=cell.astype("int32"))
-
-    return route
-
-
-def _search_block(k: int):
+            for key, part in batch.groupby(["_at", "_salt"], sort=True):
+                if key != at:
+                    at, known, held = key, None, []
+                pivots = part[part["_kind"] == 0]
+                if len(pivots):
+                    held.append(pivots)
+                found = part[part["_kind"] == 1]
+                if len(found) and held:
+                    if known is None:
+                        known = pd.concat(held)
+                    yield step(found, known)
+
+    return both.mapInPandas(stream, schema)
+
+
+def _to_nearest(schema: str, metric: str):
+    """Rows move to the child whose pivot is nearest."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def step(rows: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+        distances = _pivot_distances(
+            _vectors(rows["vec"]), _vectors(children["_pivot"]), metric)
+        nearest = distances.argmin(axis=1)
+        return rows.assign(
+            cell=children["_cell"].to_numpy()[nearest].astype(np.int64),
+            to_pivot=distances[np.arange(len(rows)), nearest])[names]
+
+    return step
+
+
+def _summaries(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``CHILDREN`` of the cells of ``rows``: number, distance from the pivot, box."""
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, cells = _vectors(batch["vec"]), batch["cell"].to_numpy()
+            order = np.argsort(cells, kind="stable")
+            named = cells[order]
+            first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+            yield pd.DataFrame({
+                "cell": named[first], "n": np.diff(np.append(first, len(cells))),
+                "radius": np.maximum.reduceat(batch["to_pivot"].to_numpy()[order], first),
+                "low": list(np.minimum.reduceat(x[order], first)),
+                "high": list(np.maximum.reduceat(x[order], first))})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "cell": [part["cell"].iloc[0]], "n": [part["n"].sum()],
+            "radius": [part["radius"].max()], "low": [_vectors(part["low"]).min(axis=0)],
+            "high": [_vectors(part["high"]).max(axis=0)]})
+
+    schema = "cell long, n long, radius double, low array<double>, high array<double>"
+    found = rows.mapInPandas(gather, schema).groupBy("cell").applyInPandas(merge, schema)
+    return pivots.join(found, "cell").select(
+        "parent", "cell", "pivot", "n", "radius", "low", "high")
+
+
+def _choose_pivots(rows: DataFrame, parents: DataFrame, wanted: int | None = None) -> DataFrame:
+    """``parent, cell, pivot``: vectors with small hashes become the pivots of crowded cells.
+
+    Those nearest to and farthest from the last pivot do, too, so every cell of unequal
+    rows is divided.
+    """
+    n = F.col("n") / F.lit(CELL_ROWS / 4)
+    want = F.lit(wanted) if wanted else F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(n)))
+    named = parents.select("cell", "n", want.cast("int").alias("want"))
+    draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # A few more than wanted are kept by their hash alone, before the window.
+    likely = rows.join(named, "cell").withColumn("draw", draw).filter(
+        F.col("draw") * F.col("n") <= 2 * F.col("want") + 20).select(
+        "cell", "vec", "draw", "want").distinct()
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("draw", "vec"))
+    drawn = likely.withColumn("place", place).filter("place <= want").select("cell", "vec")
+    if not wanted:
+        place = F.struct("to_pivot", "key")
+        ends = rows.join(named, "cell").groupBy("cell").agg(F.array(
+            F.min_by("vec", place), F.max_by("vec", place)).alias("vecs"))
+        drawn = drawn.unionByName(ends.select("cell", F.explode("vecs").alias("vec")))
+    chosen = drawn.select(F.col("cell").alias("parent"), F.col("vec").alias("pivot"))
+    number = F.row_number().over(Window.partitionBy("parent").orderBy("pivot"))
+    return chosen.distinct().withColumn(
+        "cell", F.xxhash64("parent", number)).select("parent", "cell", "pivot")
+
+
+def _divide(train: DataFrame, pivots: int | None, metric: str
+            ) -> tuple[DataFrame, list[DataFrame]]:
+    """The training rows with their last cell, and the children of each level."""
+    schema = "key long, vec array<double>, label double, part long, cell long, to_pivot double"
+    rows = train.withColumn("to_pivot", F.lit(0.0))
+    parents = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    done, levels = [], []
+    most = parents.agg(F.max("n")).first()[0]
+    while True:
+        chosen = materialise(_choose_pivots(rows, parents, None if levels else pivots), "knn-pivots")
+        children = chosen.withColumns({
+            "n": F.lit(0).cast("long"), "radius": F.lit(0.0),
+            "low": F.lit(None).cast("array<double>"), "high": F.lit(None).cast("array<double>")})
+        crowded = rows.join(parents.select("cell"), "cell", "left_semi") if levels else rows
+        moved = materialise(_meet(
+            crowded.select(*[c.split()[0] for c in schema.split(", ")]), children, most, schema,
+            _to_nearest(schema, metric)), "knn-cells")
+        cells = materialise(_summaries(moved, chosen), "knn-children")
+        levels.append(cells)
+        # Cells of equal vectors stay as they are; they have k rows for each part at most.
+        apart = F.exists(F.arrays_zip("low", "high"), lambda z: z["low"] < z["high"])
+        parents = cells.filter((F.col("n") > CELL_ROWS) & apart).select("cell", "n")
+        rows = moved
+        more = parents.agg(F.max("n")).first()[0]
+        if more is None:
+            done.append(moved)
+            break
+        done.append(moved.join(parents.select("cell"), "cell", "left_anti"))
+        most = more
+    leaves = done[0]
+    for part in done[1:]:
+        leaves = leaves.unionByName(part)
+    return materialise(leaves, "knn-train"), levels
+
+
+# -- queries --------------------------------------------------------------------------
+
+QUERY = "key long, vec array<double>, part long, home long, bound double, cell long"
+
+
+def _down_home(queries: DataFrame, levels: list[DataFrame], metric: str) -> DataFrame:
+    """Queries at the last cell on the way to the nearest pivots."""
+    schema = "key long, vec array<double>, part long, cell long, to_pivot double"
+    rows = queries.withColumn("to_pivot", F.lit(0.0))
+    stopped = []
+    for i, cells in enumerate(levels):
+        most = rows.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        moved = materialise(_meet(
+            rows, cells, most, schema, _to_nearest(schema, metric)), "knn-home")
+        if i + 1 == len(levels):
+            stopped.append(moved)
+            break
+        inner = levels[i + 1].select(F.col("parent").alias("cell")).distinct()
+        stopped.append(moved.join(inner, "cell", "left_anti"))
+        rows = moved.join(inner, "cell", "left_semi")
+    out = stopped[0]
+    for part in stopped[1:]:
+        out = out.unionByName(part)
+    return out.drop("to_pivot")
+
+
+def _may_hold(metric: str, slack: float):
+    """Queries with every child that may hold a row within their bound."""
+    names = [p.split()[0] for p in QUERY.split(", ")]
+
+    def step(queries: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+        q, pivots = _vectors(queries["vec"]), _vectors(children["_pivot"])
+        low, high = _vectors(children["_low"]), _vectors(children["_high"])
+        radius, cells = children["_radius"].to_numpy(float), children["_cell"].to_numpy()
+        between = _pivot_distances(pivots, pivots, metric)
+        out = []
+        size = max(1, 2_000_000 // (len(pivots) * q.shape[1]))
+        for first in range(0, len(q), size):
+            part, x = queries.iloc[first:first + size], q[first:first + size]
+            distances = _pivot_distances(x, pivots, metric)
+            gaps = np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0.0)
+            if metric == "chebyshev":
+                least = gaps.max(axis=2)
+            else:
+                least = np.sqrt((gaps * gaps).sum(axis=2))
+                # Rows of a cell are nearer to its pivot than to the query's nearest pivot.
+                near = distances.argmin(axis=1)
+                own = distances[np.arange(len(x)), near][:, None]
+                plane = (distances**2 - own**2) / (2 * np.maximum(between[near], 1e-300))
+                least = np.where(between[near] > 0, np.maximum(least, plane), least)
+            least = np.maximum(least, distances - radius)
+            bound = part["bound"].to_numpy(float)[:, None]
+            room = np.where(np.isfinite(bound), bound, 0.0) + distances.max(axis=1)[:, None]
+            row, child = np.nonzero(least <= bound + room * slack + slack)
+            out.append(part.iloc[row].assign(cell=cells[child].astype(np.int64)))
+        return pd.concat(out)[names]
+
+    return step
+
+
+def _down_within(bounded: DataFrame, levels: list[DataFrame], metric: str, slack: float
+                 ) -> DataFrame:
+    """A row for each query and last cell, other than its own, within the query's bound."""
+    rows, stopped = bounded, []
+    for i, cells in enumerate(levels):
+        most = rows.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        moved = materialise(_meet(
+            rows, cells, most, QUERY, _may_hold(metric, slack)), "knn-routed")
+        if i + 1 == len(levels):
+            stopped.append(moved)
+            break
+        inner = levels[i + 1].select(F.col("parent").alias("cell")).distinct()
+        stopped.append(moved.join(inner, "cell", "left_anti"))
+        rows = moved.join(inner, "cell", "left_semi")
+    out = stopped[0]
+    for part in stopped[1:]:
+        out = out.unionByName(part)
+    return out.filter("cell <> home")
+
+
+def _search_block(k: int, metric: str, digits: int | None):
     """The k nearest rows of one training block for each query of one query block."""
 
     def search(train: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         if len(train) and len(queries):
             x, q = _vectors(train["vec"]), _vectors(queries["vec"])
-            ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
+            ids, labels = train["key"].to_numpy(), train["label"].to_numpy()
+            parts, own = train["part"].to_numpy(), queries["part"].to_numpy()
             middle = x.mean(axis=0)
             a, b = x - middle, q - middle
             xx, qq = (a * a).sum(1), (b * b).sum(1)
-            kept = min(k, len(x))
             for start in range(0, len(q), 500):
                 part = slice(start, start + 500)
-                rough = qq[part, None] + xx[None, :] - 2.0 * b[part] @ a.T
+                if metric == "chebyshev":
+                    rough = _pivot_distances(q[part], x, metric)
+                else:
+                    rough = qq[part, None] + xx[None, :] - 2.0 * b[part] @ a.T
+                rough[parts[None, :] == own[part, None]] = np.inf
                 # Rough distances choose candidates; those are measured exactly.
+                kept = min(k, len(x))
                 border = np.partition(rough, kept - 1, axis=1)[:, kept - 1]
-                border = border + (qq[part] + xx.max()) * 1e-9 + 1e-9
-                for i, qid in enumerate(queries["qid"].to_numpy()[part]):
-                    near = np.flatnonzero(rough[i] <= border[i])
+                if metric == "euclidean":
+                    border = border + (qq[part] + xx.max()) * 1e-9 + 1e-9
+                for i, qid in enumerate(queries["key"].to_numpy()[part]):
+                    near = np.flatnonzero((rough[i] <= border[i]) & np.isfinite(rough[i]))
                     gap = x[near] - q[start + i]
-                    exact = np.round(np.sqrt((gap * gap).sum(1)), DISTANCE_DIGITS)
-                    best = near[order := np.lexsort((ids[near], exact))[:kept]]
-                    found.append((np.full(kept, qid), ids[best], labels[best], exact[order]))
+                    if metric == "chebyshev":
+                        exact = np.abs(gap).max(axis=1)
+                    else:
+                        exact = np.sqrt((gap * gap).sum(1))
+                    exact = exact if digits is None else np.round(exact, digits)
+                    best = near[order := np.lexsort((ids[near], exact))[:k]]
+                    found.append((np.full(len(best), qid), ids[best], labels[best], exact[order]))
         columns = ["qid", "id", "label", "distance"]
         if not found:
             return pd.DataFrame(columns=columns)
@@ -105,85 +322,86 @@ def _search_block(k: int):
     return search
 
 
+FOUND = "qid long, id long, label double, distance double"
+
+
+def _search(leaves: DataFrame, queries: DataFrame, block_rows: int, search) -> DataFrame:
+    """The nearest rows in its cell for each row of ``queries``."""
+    asked = queries.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    left = leaves.join(asked, "cell").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = queries.join(asked, "cell").withColumn(
+        "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    return left.select("cell", "block", "key", "vec", "label", "part").groupBy(
+        "cell", "block").cogroup(
+        right.select("cell", "block", "key", "vec", "part").groupBy("cell", "block")
+    ).applyInPandas(search, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def nearest_neighbours(
     train: DataFrame,
     queries: DataFrame,
     k: int = 5,
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    part: str | None = None,
+    group: str | None = None,
+    metric: str = "euclidean",
+    digits: int | None = DISTANCE_DIGITS,
 ) -> DataFrame:
     """``qid, id, label, distance, rank`` of the k nearest training rows per query.
 
     ``train`` holds ``id, vec, label`` and ``queries`` ``qid, vec``; ids are unique
-    integers and vectors arrays of doubles. Euclidean distance, rounded to nine
-    decimals; ties go to the smaller id.
+    integers and vectors arrays of doubles. Distances (``euclidean`` or ``chebyshev``) are
+    rounded to ``digits`` decimals; ties go to the smaller id. ``pivots`` sets the cells of
+    the first level. With ``part``, a column of both, only rows of other parts are
+    neighbours, so that one search answers all folds of a cross-validation; with ``group``
+    only rows of the same group are.
     """
     spark = train.sparkSession
-    schema = "qid long, id long, label double, distance double"
-    train = train.select("id", "vec", F.col("label").cast("double").alias("label"))
-    n = train.count()
-    if n == 0:
-        return spark.createDataFrame([], schema + ", rank int")
-    wanted = pivots or min(MAX_PIVOTS, max(1, n // ROWS_PER_PIVOT))
-    chosen = train.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-    centres = np.unique(np.array([r[0] for r in chosen], dtype=float), axis=0)
-
-    cells = materialise(
-        train.mapInPandas(
-            _assign_cells(centres),
-            "id long, vec array<double>, label double, cell int, to_pivot double",
-        ),
-        "knn-train",
-    )
-    size = np.zeros(len(centres), dtype=int)
-    radius = np.full(len(centres), -np.inf)
-    for cell, rows, far in cells.groupBy("cell").agg(F.count("*"), F.max("to_pivot")).collect():
-        size[cell], radius[cell] = rows, far
-    closest = Window.partitionBy("cell").orderBy("to_pivot")
-    near = (
-        cells.select("cell", "to_pivot").withColumn("r", F.row_number().over(closest))
-        .filter(F.col("r") <= k).collect()
-    )
-    near_cell = np.array([r["cell"] for r in near])
-    near_distance = np.array([r["to_pivot"] for r in near])
-
-    routed = materialise(
-        queries.select("qid", "vec").mapInPandas(
-            _route_queries(centres, radius, near_cell, near_distance, k),
-            "qid long, vec array<double>, cell int",
-        ),
-        "knn-queries",
-    )
-    asked = np.zeros(len(centres), dtype=int)
-    for cell, rows in routed.groupBy("cell").count().collect():
-        asked[cell] = rows
-    train_blocks = -(-size // block_rows)
-    query_blocks = -(-asked // block_rows)
-
-    def blocks(counts: np.ndarray) -> Column:
-        return F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell") + 1)
-
-    def copies(counts: np.ndarray) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks(counts) - 1))
-
-    key = ["cell", "train_block", "query_block"]
-    left = (
-        cells.filter(blocks(query_blocks) > 0)
-        .withColumn("train_block", F.pmod(F.xxhash64("id"), blocks(train_blocks)).cast("int"))
-        .withColumn("query_block", copies(query_blocks))
-        .select(*key, "id", "vec", "label")
-    )
-    right = (
-        routed.filter(blocks(train_blocks) > 0)
-        .withColumn("query_block", F.pmod(F.xxhash64("qid"), blocks(query_blocks)).cast("int"))
-        .withColumn("train_block", copies(train_blocks))
-        .select(*key, "qid", "vec")
-    )
-    candidates = (
-        left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search_block(k), schema)
-    )
-    best = Window.partitionBy("qid").orderBy("distance", "id")
-    return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def given(name: str | None, otherwise: int) -> Column:
+        return (F.col(name) if name else F.lit(otherwise)).cast("long")
+
+    rows = train.select(
+        F.col("id").cast("long").alias("key"), "vec", F.col("label").cast("double").alias("label"),
+        given(part, 0).alias("part"), given(group, 0).alias("cell"))
+    asked = queries.select(F.col("qid").cast("long").alias("key"), "vec",
+                           given(part, 1).alias("part"), given(group, 0).alias("cell"))
+    if not rows.take(1) or not asked.take(1):
+        return spark.createDataFrame([], FOUND + ", rank int")
+    # Without rounding, distances between near values of one size are exact.
+    slack = _SLACK if digits is not None else 1e-15
+    search = _search_block(k, metric, digits)
+    alike = ["cell", "part", "vec"]
+    least = F.row_number().over(Window.partitionBy(*alike).orderBy("key"))
+    rows = materialise(
+        rows.withColumn("place", least).filter(F.col("place") <= k).drop("place"), "knn-rows")
+    leaves, levels = _divide(rows, pivots, metric)
+    once = asked.groupBy(*alike).agg(F.min("key").alias("first_key"))
+    members = materialise(asked.join(once, alike).select("key", "first_key"), "knn-asked")
+    asked = once.select(F.col("first_key").alias("key"), "vec", "part", "cell")
+    groups = asked.select("key", F.col("cell").alias("first_cell"))
+    at_home = materialise(_down_home(asked, levels, metric), "knn-queries")
+    first = materialise(_search(leaves, at_home, block_rows, search), "knn-near")
+    # The k-th distance at home; without k rows there any distance may count.
+    bounds = first.groupBy(F.col("qid").alias("key")).agg(
+        F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
+    bounded = at_home.join(bounds, "key", "left").join(groups, "key").select(
+        "key", "vec", "part", F.col("cell").alias("home"),
+        F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound"),
+        F.col("first_cell").alias("cell"))
+    routed = materialise(_down_within(bounded, levels, metric, slack), "knn-within")
+    second = _search(leaves, routed, block_rows, search)
+    best = _best(first.unionByName(second), k)
+    return members.join(best, F.col("first_key") == F.col("qid")).select(
+        F.col("key").alias("qid"), "id", "label", "distance", "rank")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

@@ -2,16 +2,15 @@
 
 A window with no partition key would sort the whole table in one task. Here
 the rows are first grouped by key (so every key is unique and no key is heavy),
-then cut into ranges of about equal size by split points taken from a hash
-sample of the keys. Each range is a window partition of its own; the totals of
-the ranges before it are added as constants. Split points and totals are
-literals of the plan, so a recomputed task gives the same result.
+then dealt into ranges of about equal size, as many as the table needs, and
+written with the number of their range. A range that came out too large makes
+the ranges finer until every one fits. Each range is a window partition of its
+own; what lies in the ranges before it is a running total over one row per
+range, joined back by the number of the range.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vistrata.functions.columns import col
@@ -19,18 +18,12 @@ from vistrata.plans.session import materialise
 
 # Rows ordered in one task; larger tables are cut into ranges.
 RANGE_ROWS = 500_000
-MAX_RANGES = 1_000
-SAMPLES_PER_RANGE = 20
-
-
-def _key(keys: list[str]) -> Column:
-    return col(keys[0]) if len(keys) == 1 else F.struct(*[col(k) for k in keys])
+# A range may hold so many times the rows asked for before the ranges are made finer.
+RANGE_EXCESS = 4
 
 
-def _literal(value, keys: list[str]) -> Column:
-    if len(keys) == 1:
-        return F.lit(value)
-    return F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, value)])
+def _order(keys: list[str], descending: bool) -> list[Column]:
+    return [col(k).desc() if descending else col(k) for k in keys]
 
 
 def running_totals(
@@ -48,64 +41,59 @@ def running_totals(
     itself. ``next_<w>`` is the weight of the following row.
     """
     range_rows = range_rows or RANGE_ROWS
-    order = [col(k).desc() if descending else col(k) for k in keys]
     if n_rows <= range_rows:
-        placed, earlier, opening = table.withColumn("_range", F.lit(0)), {}, {}
+        placed, starts = table.withColumn("_range", F.lit(0)), None
     else:
         placed, earlier, opening = _cut_into_ranges(
             table, keys, weights, n_rows, descending, range_rows
         )
-    window = Window.partitionBy("_range").orderBy(*order)
+        starts = earlier.join(opening, "_range")
+    window = Window.partitionBy("_range").orderBy(*_order(keys, descending))
     before = window.rowsBetween(Window.unboundedPreceding, -1)
-    added = {}
+    within = placed
     for w in weights:
-        own = F.coalesce(F.sum(col(w)).over(before), F.lit(0))
-        following = F.lead(col(w)).over(window)
-        if earlier:
-            place = F.col("_range") + 1
-            own = own + F.element_at(F.array(*[F.lit(v) for v in earlier[w]]), place)
-            following = F.coalesce(
-                following,
-                F.element_at(F.array(*[F.lit(v).cast("long") for v in opening[w]]), place),
-            )
-        added[f"before_{w}"] = own.cast("long")
-        added[f"next_{w}"] = following.cast("long")
-    return placed.withColumns(added).drop("_range")
+        within = within.withColumns({
+            f"before_{w}": F.coalesce(F.sum(col(w)).over(before), F.lit(0)).cast("long"),
+            f"next_{w}": F.lead(col(w)).over(window).cast("long"),
+        })
+    if starts is None:
+        return within.drop("_range")
+    # One row per range; Spark broadcasts it if its measured size allows.
+    moved = within.join(starts, "_range")
+    return moved.withColumns({
+        **{f"before_{w}": col(f"before_{w}") + col(f"_earlier_{w}") for w in weights},
+        **{f"next_{w}": F.coalesce(col(f"next_{w}"), col(f"_opening_{w}")) for w in weights},
+    }).drop("_range", *[f"_{side}_{w}" for side in ("earlier", "opening") for w in weights])
 
 
 def _cut_into_ranges(table, keys, weights, n_rows, descending, range_rows):
-    table = materialise(table, "ordered")
-    ranges = min(MAX_RANGES, max(2, -(-n_rows // range_rows)))
-    keep_one_in = max(1, n_rows // (ranges * SAMPLES_PER_RANGE))
-    sample = (
-        table.filter(F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(keep_one_in)) == 0)
-        .select(*[col(k) for k in keys])
-        .orderBy(*[col(k) for k in keys])
-        .collect()
-    )
-    step = max(1, len(sample) // ranges)
-    splits = [row[0] if len(keys) == 1 else tuple(row) for row in sample[step::step]]
-    if splits:
-        points = F.array(*[_literal(s, keys) for s in splits])
-        key = _key(keys)
-        passed = F.size(F.filter(points, lambda s: s <= key))
-        placed = table.withColumn("_range", F.lit(len(splits)) - passed if descending else passed)
-    else:
-        placed = table.withColumn("_range", F.lit(0))
+    """The rows with ``_range``, and per range the sums before it and the next range's first weights.
 
-    totals = [F.sum(col(w)).alias(f"sum_{w}") for w in weights]
+    The number of a range is its place in the order. There is no bound on the number
+    of ranges; the driver sees none of them.
+    """
+    order = _order(keys, descending)
+    ranges = max(2, -(-n_rows // range_rows))
+    while True:
+        dealt = table.repartitionByRange(ranges, *order)
+        placed = materialise(dealt.withColumn("_range", F.spark_partition_id()), "ordered")
+        largest, n = placed.groupBy("_range").count().agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) <= RANGE_EXCESS * range_rows:
+            break
+        # Keys are unique, so finer ranges end this.
+        ranges = max(2 * ranges, -(-n // range_rows))
+
+    key = F.struct(*[col(k) for k in keys])
     pick = F.max_by if descending else F.min_by
-    first = [pick(col(w), _key(keys)).alias(f"first_{w}") for w in weights]
-    stats = {r["_range"]: r for r in placed.groupBy("_range").agg(*totals, *first).collect()}
-    count = len(splits) + 1
-    earlier, opening = {}, {}
-    for w in weights:
-        sums = [stats[i][f"sum_{w}"] if i in stats else 0 for i in range(count)]
-        earlier[w] = [0, *accumulate(sums)][:count]
-        heads = [stats[i][f"first_{w}"] if i in stats else None for i in range(count)]
-        following, ahead = [], None
-        for head in reversed(heads):
-            following.append(ahead)
-            ahead = head if head is not None else ahead
-        opening[w] = following[::-1]
+    stats = placed.groupBy("_range").agg(
+        *[F.sum(col(w)).cast("long").alias(f"_sum_{w}") for w in weights],
+        *[pick(col(w), key).cast("long").alias(f"_first_{w}") for w in weights])
+    # One row per range of half a million rows: a small table in one window.
+    in_order = Window.partitionBy(F.lit(0)).orderBy("_range")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = stats.select("_range", *[
+        F.coalesce(F.sum(f"_sum_{w}").over(before), F.lit(0)).alias(f"_earlier_{w}")
+        for w in weights])
+    opening = stats.select("_range", *[
+        F.lead(f"_first_{w}").over(in_order).alias(f"_opening_{w}") for w in weights])
     return placed, earlier, opening

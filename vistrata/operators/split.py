@@ -41,6 +41,8 @@ class Prepared:
     classes: list | None
     numeric_target: bool
     inputs: list[str] = field(default_factory=list)
+    # Tables and sums that several fits share, by what they are for.
+    shared: dict = field(default_factory=dict)
 
 
 def input_names(features: list[str]) -> list[str]:
@@ -174,4 +176,4 @@ def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED) -> DataF
 
 def fold_of(folds: int, seed: int = SEED) -> Column:
     """Cross-validation fold of a row, independent of the split."""
-    return F.pmod(F.xxhash64(F.col("_row"), F.lit(seed + 1)), F.lit(folds)).cast("int")
+    return F.pmod(row_hash(seed + 1).cast("long"), F.lit(folds)).cast("int")
