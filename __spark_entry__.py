@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # n
 
 from vistrata.functions.columns import col  # noqa: E402
 from vistrata.operators import (  # noqa: E402
-    association, chartdata, clean, encode, evaluate, features, knn, models, profile, quantiles,
-    split, transform,
+    association, chartdata, clean, encode, evaluate, features, information, knn, models, profile,
+    quantiles, split, transform,
 )
 from vistrata.plans.session import scratch_path  # noqa: E402
 from vistrata.sources import files, modelstore, report  # noqa: E402
@@ -173,9 +173,6 @@ def _association_queries() -> dict[str, Query]:
         "anova": on_table(
             "orders", lambda d: association.anova(d, "o_totalprice", "o_orderstatus")),
         "crosstab": on_messy(lambda d: association.crosstab(d, "flag", "status", ["F", "O"])),
-        "crosstab_parts": on_table("lineitem", lambda d: association.crosstab(
-            d.withColumn("mode", F.col("l_linenumber")), "mode", "l_partkey",
-            list(range(1, 1_501)))),
         "crosstab_all_parts": lambda spark, sf_dir: association.crosstab(
             table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey",
             table(spark, sf_dir, "part").select("p_partkey")),
@@ -296,6 +293,15 @@ def _feature_queries() -> dict[str, Query]:
         "feature_mutual_info_class": on_messy(lambda d: features.feature_mutual_information(
             d.select(*MEASURES, "flag"), "flag", "classification")),
         "feature_target_stats": on_measures(lambda d: features.feature_target_stats(d, "price")),
+        "feature_target_top": on_measures(lambda d: features.feature_target_stats(
+            d, "price", limit=features.TOP_FEATURES)),
+        "neighbour_mutual_info": on_table("customer", lambda d:
+            information.neighbour_mutual_information(
+                d.select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal")),
+        "neighbour_mutual_info_class": on_table("customer", lambda d:
+            information.neighbour_mutual_information(
+                d.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_mktsegment",
+                "classification")),
         "variance_selection": on_messy(lambda d: features.select_by_variance(
             d.select("quantity", "discount", "tax", "l_linenumber"), 0.001)),
         "select_k_best_regression": on_measures(
@@ -438,6 +444,28 @@ def _model_queries() -> dict[str, Query]:
         return df.sparkSession.createDataFrame(
             rows, "fold int, score double, mean double, std double")
 
+    def linear_folds(df: DataFrame) -> DataFrame:
+        data = split.prepare(_with_targets(df), "revenue", "regression", ["quantity"])
+        rows = [(name, i, score) for name in models.LINEAR_MODELS
+                for i, score in enumerate(models.cross_validate(data, name, 5)["scores"])]
+        return df.sparkSession.createDataFrame(rows, "model string, fold int, r2 double")
+
+    def test_residuals(df: DataFrame) -> DataFrame:
+        model = models.train_model(_with_targets(df), "revenue", "Linear Regression",
+                                   feature_cols=["quantity"], cv_folds=0)
+        return rounded(model.residuals())
+
+    def test_roc(df: DataFrame) -> DataFrame:
+        model = models.train_model(_with_targets(df), "tier", "Logistic Regression",
+                                   "classification", feature_cols=INPUTS, cv_folds=0)
+        return model.roc()
+
+    def all_confusions(df: DataFrame) -> DataFrame:
+        names = ["Logistic Regression", "Random Forest", "Gradient Boosting", "Decision Tree"]
+        found = models.train_many(_with_targets(df), "tier", names, "classification",
+                                  feature_cols=INPUTS, cv_folds=0)
+        return models.compared_rows(found, "confusion")
+
     def compared(df: DataFrame) -> DataFrame:
         return models.compare_models(
             _with_targets(df), "revenue", models.available_models("regression"),
@@ -484,6 +512,10 @@ def _model_queries() -> dict[str, Query]:
             knn.nearest_neighbours(*vectors(d), k=5)).drop("votes")),
         "knn_regress": on_table("embeddings", knn_regress),
         "cv_scores": on_messy(cv_scores),
+        "linear_folds": on_messy(linear_folds),
+        "test_residuals": on_messy(test_residuals),
+        "test_roc": on_messy(test_roc),
+        "compared_confusions": on_messy(all_confusions),
         "compare_models": on_messy(compared),
         "model_comparison": on_messy(lambda d: chartdata.model_comparison(compared(d), "r2")),
         "model_roundtrip": roundtrip,
@@ -790,11 +822,6 @@ def _association_sql() -> dict[str, str]:
                  " SELECT k AS groups, CAST(n AS BIGINT) AS n, round(f, 4) AS anova_f,"
                  " round((1 + 2 * f / (n - k)) ** (-(n - k) / 2.0), 6) AS anova_p FROM f",
         "crosstab": _crosstab_sql("flag", "status"),
-        "crosstab_parts": "SELECT CAST(a.x AS VARCHAR) AS x, CAST(b.y AS VARCHAR) AS y,"
-                          " coalesce(n, 0) AS n FROM (SELECT DISTINCT l_linenumber AS x FROM"
-                          " lineitem) a CROSS JOIN (SELECT unnest(range(1, 1501)) AS y) b LEFT JOIN"
-                          " (SELECT l_linenumber AS x, l_partkey AS y, count(*) AS n FROM lineitem"
-                          " GROUP BY ALL) c ON c.x = a.x AND c.y = b.y",
         "crosstab_all_parts": "SELECT CAST(a.x AS VARCHAR) AS x, CAST(b.y AS VARCHAR) AS y,"
                               " coalesce(n, 0) AS n FROM (SELECT DISTINCT l_linenumber AS x FROM"
                               " lineitem) a CROSS JOIN (SELECT DISTINCT p_partkey AS y FROM part) b"
@@ -991,6 +1018,11 @@ def _feature_sql() -> dict[str, str]:
             f"SELECT feature, p.position, pearson, spearman, mutual_info FROM"
             f" ({scores('pearson', 'complete')}) p JOIN ({scores('spearman', 'ranks')}) s"
             f" USING (feature) JOIN ({information}) i USING (feature)", complete + ranks),
+        "feature_target_top": with_sql(
+            f"SELECT feature, p.position, pearson, spearman, mutual_info FROM"
+            f" ({scores('pearson', 'complete')}) p JOIN ({scores('spearman', 'ranks')}) s"
+            f" USING (feature) JOIN ({information}) i USING (feature)"
+            f" ORDER BY abs(pearson) DESC, feature LIMIT {features.TOP_FEATURES}", complete + ranks),
         "variance_selection": with_sql(variance),
         "select_k_best_regression": with_sql(regression, complete),
         "select_k_best_classification": with_sql(by_class, flagged),
@@ -1140,7 +1172,30 @@ def _model_sql() -> dict[str, str]:
     i AS (SELECT *, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS id FROM k),
     h AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY
           CAST('0x' || substr(md5('42:' || id), 1, 13) AS BIGINT)) AS place FROM i)"""
+    # Rows of the one feature with their fold and their place in the split.
+    alone = """, k AS (SELECT quantity AS x, revenue AS y, concat_ws('|', quantity, revenue,
+        row_number() OVER (PARTITION BY quantity, revenue)) AS key FROM p),
+    i AS (SELECT *, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS id FROM k),
+    h AS (SELECT *, CAST('0x' || substr(md5('43:' || id), 1, 13) AS BIGINT) % 5 AS fold,
+          row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || id), 1, 13) AS BIGINT))
+            <= ceil(count(*) OVER () * 0.2::DOUBLE) AS test FROM i)"""
+    slopes = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, f AS fold, mx, my, {slope} AS b FROM t" for name, slope in (
+            ("Linear Regression", "sxy / sxx"), ("Ridge", "sxy / (sxx + 1)"),
+            ("Lasso", "sign(sxy) * greatest(abs(sxy) / n - 1, 0) / (sxx / n)")))
+    folds = alone + f""", t AS (SELECT f, avg(x) AS mx, avg(y) AS my, count(*) AS n,
+        regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx
+        FROM h, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f),
+    l AS ({slopes})"""
     return {
+        "linear_folds": with_sql(
+            "SELECT model, CAST(l.fold AS INT) AS fold, round(1 - sum((y - my - b * (x - mx)) ** 2)"
+            " / (var_pop(y) * count(*)), 4) AS r2 FROM h JOIN l ON l.fold = h.fold"
+            " GROUP BY model, l.fold", complete + folds),
+        "test_residuals": with_sql(
+            "SELECT round(y, 6) AS y_test, round(my + b * (x - mx), 6) AS y_pred,"
+            " round(y - my - b * (x - mx), 6) AS residual FROM h, (SELECT avg(x) AS mx, avg(y) AS my,"
+            " regr_slope(y, x) AS b FROM h WHERE NOT test) WHERE test", complete + alone),
         "prepare_features": with_sql(
             "SELECT CAST(tier AS DOUBLE) AS label, count(*) AS n, round(sum(quantity), 2)"
             " AS quantity, round(sum(discount), 2) AS discount, round(sum(tax), 2) AS tax FROM p"

@@ -12,6 +12,7 @@ from vistrata.functions.columns import (
 )
 from vistrata.operators.lookup import attach_by_value, value_sizes
 from vistrata.operators.ordered import running_totals
+from vistrata.plans.session import materialise
 from vistrata.operators.profile import correlation_pairs
 from vistrata.operators.quantiles import grouped_quantiles
 
@@ -201,7 +202,7 @@ def crosstab(
 
     Without ``y_values`` these are the cells that occur, whatever their number.
     With a list or a DataFrame of values there is one cell per ``x`` and given value,
-    zeros included.
+    zeros included: as many cells as distinct ``x`` times values, which is what is asked for.
     """
     cells = _cells(df, x, y)
     return _as_text(cells) if y_values is None else dense_cells(cells, y_values)
@@ -213,7 +214,7 @@ def chi_square(df: DataFrame, x: str, y: str) -> DataFrame:
     Cells that do not occur need not be listed: each adds its expected count, and
     all expected counts sum to n.
     """
-    cells = _cells(df, x, y)
+    cells = materialise(_cells(df, x, y), "cells")
     by_x = cells.groupBy("x").agg(F.sum("n").alias("nx"))
     by_y = cells.groupBy("y").agg(F.sum("n").alias("ny"))
     size = fit_scalars(by_x, {"k": F.count(F.lit(1)), "n": F.sum("nx")})

@@ -49,7 +49,7 @@ CONSTANT = 1.0
 # whole table may make in one task.
 TASK_FEATURES, WHOLE_FEATURES = 64 << 20, 256 << 20
 # Parts of the rows of a pair that are held out in turn for its sigmoid.
-SIGMOID_FOLDS = 5
+SIGMOID_FOLDS, SIGMOID_GAP = 5, 1e-2
 
 
 class LinearScore(Transformer, HasInputCol, HasPredictionCol, DefaultParamsReadable,
@@ -421,32 +421,52 @@ def classify_all(table: Table, fits: dict[int, tuple[frozenset, frozenset | None
 
 
 def _pairs_in_tasks(table: Table, fits, pairs, gap: float) -> dict:
+    """Weights, sigmoid and gap of every pair of every fit; a task solves one problem.
+
+    Fits that are scored need no probabilities and so no sigmoids.
+    """
     shared, spark = table.shared, table.frame.sparkSession
-    units = [(k, p) for k in sorted(fits) for p in range(len(pairs))]
+    units = [(k, p, b) for k in sorted(fits) for p in range(len(pairs))
+             for b in range(-1, SIGMOID_FOLDS if fits[k][1] is None else 0)]
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, groups = shared.value
         for batch in batches:
             for u in batch["id"]:
-                k, p = units[u]
+                k, p, b = units[u]
                 parts, _, how = fits[k]
                 w = rows.group_weights(Unit(k, 0, parts))
                 at = np.flatnonzero((w > 0) & np.isin(groups.y, pairs[p]))
                 x, y = how.features(groups.x[at]), np.where(groups.y[at] == pairs[p][0], 1.0, -1.0)
-                cost, out = how.cost * w[at], _bucket(groups.row[at])
-                weights, left = solve(Problem(x, y, cost, 0.0, True), gap)
-                margins = np.zeros(len(at))
-                for b in range(SIGMOID_FOLDS):
-                    inner, _ = solve(Problem(x[out != b], y[out != b], cost[out != b], 0.0, True), gap)
-                    margins[out == b] = x[out == b] @ inner
-                sigmoid = fit_sigmoid(margins, y > 0, w[at]) if len(at) else (0.0, 0.0)
+                cost, out = how.cost * w[at], _bucket(groups.row[at]) == b
+                weights, left = solve(Problem(x[~out], y[~out], cost[~out], 0.0, True),
+                                      gap if b < 0 else max(gap, SIGMOID_GAP))
+                held = _margin_counts(x[out] @ weights, y[out] > 0, w[at][out])
                 yield pd.DataFrame({"id": [u], "gap": [left], "weights": [weights.tobytes()],
-                                    "a": [sigmoid[0]], "b": [sigmoid[1]]})
+                                    "held": [held.to_numpy(float).tobytes()]})
+
+    dealt = spark.createDataFrame(
+        [(u,) for u in range(len(units))], "id long").repartition(min(len(units), 1_000), "id")
+    got = {units[r["id"]]: r for r in dealt.mapInPandas(
+        tasks, "id long, gap double, weights binary, held binary").collect()}
+    found = {}
+    for k, p in {unit[:2] for unit in units}:
+        held = [np.frombuffer(got[unit]["held"]).reshape(-1, 3)
+                for unit in units if unit[:2] == (k, p) and unit[2] >= 0]
+        sigmoid = (-1.0, 0.0)
+        if held:
+            margins, positive, n = np.concatenate(held).T
+            sigmoid = fit_sigmoid(margins, positive > 0, n)
+        main = got[k, p, -1]
+        found[k, p] = (np.frombuffer(main["weights"]), sigmoid, main["gap"])
+    return found
+
 
-    dealt = spark.range(0, len(units), 1, min(len(units), 1_000))
-    got = dealt.mapInPandas(
-        tasks, "id long, gap double, weights binary, a double, b double").collect()
-    return {units[r["id"]]: (np.frombuffer(r["weights"]), (r["a"], r["b"]), r["gap"]) for r in got}
+def _margin_counts(margins: np.ndarray, positive: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Margins in steps of a thousandth with their counts: all that a sigmoid needs."""
+    rounded = np.round(np.clip(margins, -50, 50), 3)
+    return pd.DataFrame({"margin": rounded, "positive": positive, "n": n}).groupby(
+        ["margin", "positive"], as_index=False)["n"].sum()
 
 
 def _pair_large(table: Table, parts: frozenset, how: Settings, pair: tuple[int, int], gap: float):
@@ -456,17 +476,15 @@ def _pair_large(table: Table, parts: frozenset, how: Settings, pair: tuple[int,
         *inputs, sign.alias("label"), "_count", "_hash")
     weights, left = _rounds(rows, inputs, how, True, gap)
     bucket = F.pmod(F.xxhash64("_hash"), F.lit(SIGMOID_FOLDS))
-    inner = {b: _rounds(rows.filter(bucket != b), inputs, how, True, gap)[0]
+    inner = {b: _rounds(rows.filter(bucket != b), inputs, how, True, max(gap, SIGMOID_GAP))[0]
              for b in range(SIGMOID_FOLDS)}
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, out = how.features(batch[inputs].to_numpy(float)), batch["_bucket"].to_numpy()
             found = sum((x @ inner[b]) * (out == b) for b in inner)
-            # In steps of a thousandth the sigmoid needs no more than their counts.
-            yield pd.DataFrame({"margin": np.round(np.clip(found, -50, 50), 3),
-                                "positive": batch["label"].to_numpy() > 0,
-                                "n": batch["_count"].to_numpy(float)})
+            yield _margin_counts(
+                found, batch["label"].to_numpy() > 0, batch["_count"].to_numpy(float))
 
     held = rows.withColumn("_bucket", bucket).mapInPandas(
         margins, "margin double, positive boolean, n double")

@@ -146,11 +146,12 @@ def _choose_pivots(rows: DataFrame, parents: DataFrame, wanted: int | None = Non
     """
     n = F.col("n") / F.lit(CELL_ROWS / 4)
     want = F.lit(wanted) if wanted else F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(n)))
-    named = parents.select("cell", "n", want.cast("int").alias("want"))
+    unlike = rows.groupBy("cell").agg(F.approx_count_distinct("vec").alias("unlike"))
+    named = parents.join(unlike, "cell").select("cell", "unlike", want.cast("int").alias("want"))
     draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # A few more than wanted are kept by their hash alone, before the window.
     likely = rows.join(named, "cell").withColumn("draw", draw).filter(
-        F.col("draw") * F.col("n") <= 2 * F.col("want") + 20).select(
+        F.col("draw") * F.col("unlike") <= 2 * F.col("want") + 20).select(
         "cell", "vec", "draw", "want").distinct()
     place = F.row_number().over(Window.partitionBy("cell").orderBy("draw", "vec"))
     drawn = likely.withColumn("place", place).filter("place <= want").select("cell", "vec")

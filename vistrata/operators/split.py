@@ -83,7 +83,8 @@ def prepare(
         codes = df.sparkSession.createDataFrame(
             [(c, float(i)) for i, c in enumerate(classes)],
             f"label {rows.schema['label'].dataType.simpleString()}, _code double")
-        rows = rows.join(F.broadcast(codes), "label").select(
+        # No hint: Spark broadcasts the codes where their size allows.
+        rows = rows.join(codes, "label").select(
             *inputs, F.col("_code").alias("label"))
     keyed = with_row_keys(rows, [*inputs, "label"])
     return Prepared(
