@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vistrata.llm.components import components
-from vistrata.llm.tables import join_groups, packed_counts, quoted, unused
+from vistrata.llm.tables import BLOCKS, counter_blocks, join_groups, quoted, summed_blocks, unused
 from vistrata.llm.wordhash import WordHasher, as_bytes, mixed, numbers, windows
 from vistrata.plans.session import materialise
 
@@ -140,13 +140,11 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> np.ndarr
                 cells = np.unique(owner << 20 | (hashes >> np.uint64(44)).astype(np.int64))
                 found += np.bincount(cells & (COUNTERS - 1), minlength=COUNTERS)
                 n_docs += int((counts > 0).sum())
-        at = np.flatnonzero(found)
-        yield pd.DataFrame({"name": "words", "counter": at, "n": found[at]})
-        yield pd.DataFrame({"name": ["texts"], "counter": [0], "n": [n_docs]})
+        yield counter_blocks("words", found)
+        yield counter_blocks("texts", np.array([n_docs]))
 
-    rows = docs.select(quoted(text_column).alias("text")).mapInPandas(
-        count, "name string, counter long, n long")
-    seen = packed_counts(rows, COUNTERS)
+    rows = docs.select(quoted(text_column).alias("text")).mapInPandas(count, BLOCKS)
+    seen = summed_blocks(rows, COUNTERS)
     total = seen["texts"][0] if "texts" in seen else 0
     return (1 + np.log((total + 1) / (seen.get("words", np.zeros(COUNTERS)) + 1))).astype(
         np.float32)
@@ -273,14 +271,13 @@ def _across(open_: DataFrame, texts: DataFrame, idf, similar: float) -> DataFram
         for batch in batches:
             for runs, _ in each(sampler, batch):
                 np.add.at(found, (runs >> np.uint64(44)).astype(np.int64), 1)
-        at = np.flatnonzero(found)
-        yield pd.DataFrame({"name": "runs", "counter": at, "n": found[at]})
+        yield counter_blocks("runs", found)
 
     crowded = open_.filter(F.col("size") > CROWD).select("fp", "label").distinct()
     source = materialise(
         crowded.join(texts, "fp").select("fp", "label", "text"), "crowded-texts")
-    seen = packed_counts(source.mapInPandas(count, "name string, counter long, n long"),
-                         COUNTERS).get("runs", np.zeros(COUNTERS))
+    seen = summed_blocks(source.mapInPandas(count, BLOCKS), COUNTERS).get(
+        "runs", np.zeros(COUNTERS))
     frequency = source.sparkSession.sparkContext.broadcast(seen.astype(np.float32))  # 4 MB
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The fixed white space of words: space and U+0009 to U+000D.
@@ -90,3 +93,48 @@ def packed_counts(counts: DataFrame, size: int) -> dict[str, np.ndarray]:
         part = np.frombuffer(row["dense"], np.float32)[:size - row["place"] * PACK]
         table[row["place"] * PACK:row["place"] * PACK + len(part)] = part
     return out
+
+
+BLOCKS = "name string, place long, counts binary"
+
+
+def counter_blocks(name: str, found: np.ndarray) -> pd.DataFrame:
+    """A task's table of counters as a few compressed rows (``BLOCKS``), blocks of zeros left out."""
+    pack = zstandard.ZstdCompressor(level=1)
+    parts = [(place, found[place * PACK:(place + 1) * PACK])
+             for place in range(-(-len(found) // PACK))]
+    rows = [(name, place, pack.compress(part.astype("<i8").tobytes()))
+            for place, part in parts if part.any()]
+    return pd.DataFrame(rows, columns=["name", "place", "counts"])
+
+
+def summed_blocks(blocks: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """Tables of ``size`` counters by name, from the rows of ``counter_blocks`` of all tasks.
+
+    The rows of a block are added one by one, however many tasks sent one; the driver gets
+    one row per block, in single precision.
+    """
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack, at, total = zstandard.ZstdDecompressor(), None, None
+
+        def done() -> pd.DataFrame:
+            dense = total.astype(np.float32).tobytes()
+            return pd.DataFrame({"name": [at[0]], "place": [at[1]], "counts": [dense]})
+
+        for batch in batches:
+            for name, place, counts in batch.itertuples(index=False):
+                if at != (name, place):
+                    if at is not None:
+                        yield done()
+                    at, total = (name, place), 0
+                total = total + np.frombuffer(unpack.decompress(counts), "<i8")
+        if at is not None:
+            yield done()
+
+    out: dict[str, np.ndarray] = {}
+    met = blocks.repartition("name", "place").sortWithinPartitions("name", "place")
+    for row in met.mapInPandas(add, BLOCKS).collect():
+        table = out.setdefault(row["name"], np.zeros(size))
+        part = np.frombuffer(row["counts"], np.float32)[:size - row["place"] * PACK]
+        table[row["place"] * PACK:row["place"] * PACK + len(part)] = part
+    return out
