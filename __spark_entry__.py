@@ -187,6 +187,8 @@ def _association_queries() -> dict[str, Query]:
         "eigen_scree": on_messy(
             lambda d: association.eigen_scree(d.select("price", "tax"))),
         "eigen_scree_all": on_messy(association.eigen_scree),
+        "eigen_leading": on_messy(
+            lambda d: association.leading_eigenvalues(d.select("price", "tax"))),
     }
 
 
@@ -843,6 +845,7 @@ def _association_sql() -> dict[str, str]:
             f"SELECT *, vif > 5 AS multicollinear FROM"
             f" ({_vif_sql(['price', 'discount', 'tax', 'gross'], 'gross')})", gross),
         "eigen_scree": with_sql(eig),
+        "eigen_leading": with_sql(f"SELECT pc, eigenvalue, explained_pct FROM ({eig})"),
     }
 
 

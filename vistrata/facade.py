@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from vistrata.operators import (
-    association, chartdata, clean, encode, features, models, profile, transform,
+    association, chartdata, clean, encode, features, information, models, profile, transform,
 )
 from vistrata.sources import files, report
 
@@ -113,6 +113,9 @@ class Profile:
     def feature_target_stats(self, target: str, problem_type: str = "regression") -> DataFrame:
         return features.feature_target_stats(self._df, target, problem_type)
 
+    def neighbour_information(self, target: str, problem_type: str = "regression") -> DataFrame:
+        return information.neighbour_mutual_information(self._df, target, problem_type)
+
     def select_by_variance(
         self, threshold: float = 0.0, exclude: list[str] | None = None
     ) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vistrata.functions import pvalues
@@ -10,11 +13,12 @@ from vistrata.functions.aggregates import fit_scalars, r4, safe_corr
 from vistrata.functions.columns import (
     as_double, col, is_numeric, normalise_missing, numeric_columns, require, require_numeric,
 )
+from vistrata.functions.packed import sum_vectors
 from vistrata.operators.lookup import attach_by_value, value_sizes
 from vistrata.operators.ordered import running_totals
-from vistrata.plans.session import materialise
 from vistrata.operators.profile import correlation_pairs
 from vistrata.operators.quantiles import grouped_quantiles
+from vistrata.plans.session import materialise
 
 VIF_LIMIT = 5.0
 
@@ -297,7 +301,9 @@ def bivariate_summary(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def _complete_numeric(df: DataFrame) -> tuple[DataFrame, list[str]]:
     names = numeric_columns(df)
     clean = normalise_missing(df).select(*[as_double(df, c).alias(c) for c in names])
-    return clean.na.drop(), names
+    for c in names:
+        clean = clean.filter(col(c).isNotNull())
+    return clean, names
 
 
 def vif_approx(df: DataFrame) -> DataFrame:
@@ -345,3 +351,74 @@ def eigen_scree(df: DataFrame) -> DataFrame:
     # One row per column of the input: a small table, ordered in one task.
     running = Window.orderBy("pc").rowsBetween(Window.unboundedPreceding, 0)
     return table.withColumn("cumulative_pct", F.round(F.sum("explained_pct").over(running), 2))
+
+
+# Further directions of a block beyond the wanted ones, and the most passes over the rows.
+EIGEN_SPARE, EIGEN_PASSES, EIGEN_CHANGE = 10, 40, 1e-10
+
+
+def leading_eigenvalues(df: DataFrame, count: int = 10) -> DataFrame:
+    """``pc, eigenvalue, explained_pct`` of the largest ``count`` of the correlation matrix.
+
+    For tables too wide for ``eigen_scree``: no matrix of columns by columns is built. Each
+    pass multiplies the matrix by a block of vectors, as the rows times the rows' products
+    with the block, summed over tasks; the vectors of all passes span a Krylov space, whose
+    eigenvalues close in on the wanted ones. The driver holds columns times ``count`` numbers
+    for each pass. Complete rows only; constant columns are left out; no rows give none.
+    """
+    rows, names = _complete_numeric(df)
+    schema = "pc int, eigenvalue double, explained_pct double"
+    spark = df.sparkSession
+    exprs = {}
+    for c in names:
+        exprs |= {("m", c): F.avg(col(c)), ("s", c): F.stddev_pop(col(c))}
+    seen = fit_scalars(rows, exprs | {"n": F.count(F.lit(1))}) if names else {"n": 0}
+    useful = [c for c in names if seen["n"] and seen["s", c]]
+    if len(useful) < 2:
+        return spark.createDataFrame([], schema)
+    mean, spread = (np.array([seen[kind, c] for c in useful]) for kind in ("m", "s"))
+    # Names of our own, whatever the columns are called.
+    inputs = [f"_x{i}" for i in range(len(useful))]
+    table = materialise(rows.select(*[col(c).alias(i) for c, i in zip(useful, inputs)]), "eigen-rows")
+    width = min(len(useful), count + EIGEN_SPARE)
+    draw = np.random.default_rng(0).normal(size=(len(useful), width))
+    block, blocks, images, before = np.linalg.qr(draw)[0], [], [], None
+    while True:
+        image = _times_correlation(table, inputs, mean, spread, block) / seen["n"]
+        blocks.append(block)
+        images.append(image)
+        basis = np.hstack(blocks)
+        small = basis.T @ np.hstack(images)
+        found = np.linalg.eigvalsh((small + small.T) / 2)[::-1][:count]
+        settled = before is not None and len(before) == len(found) and (
+            np.abs(found - before).max() <= EIGEN_CHANGE * found[0])
+        if settled or len(blocks) == EIGEN_PASSES:
+            break
+        before, rest = found, image
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        left, sizes, _ = np.linalg.svd(rest, full_matrices=False)
+        block = left[:, sizes > 1e-10 * max(found[0], 1.0)]
+        room = len(useful) - basis.shape[1]
+        if not room or not block.shape[1]:
+            break
+        block = block[:, :room]
+    values = [(i + 1, round(float(max(v, 0.0)), 4), round(float(v) / len(useful) * 100, 2))
+              for i, v in enumerate(found)]
+    return spark.createDataFrame(values, schema)
+
+
+def _times_correlation(table: DataFrame, inputs: list[str], mean, spread, block) -> np.ndarray:
+    """The sums of products of the standardised rows with themselves, times ``block``."""
+    shared = table.sparkSession.sparkContext.broadcast((mean, spread, block))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean, spread, block = shared.value
+        total = np.zeros(block.shape)
+        for batch in batches:
+            z = (batch[inputs].to_numpy(float) - mean) / spread
+            total += z.T @ (z @ block)
+        yield pd.DataFrame({"part": [0], "sums": [total.tobytes()]})
+
+    sent = table.mapInPandas(multiply, "part long, sums binary")
+    return np.frombuffer(sum_vectors(sent, ["part"]).first()["sums"]).reshape(block.shape)

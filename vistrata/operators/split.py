@@ -141,17 +141,19 @@ def _border_request(h: Column, n: int, wanted: int):
             min(1.0, share + reach) * _HASH_SPACE)
 
 
-def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Add ``_test``: exactly ceil(n*size) rows, stratified for up to 20 classes.
+def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED,
+              stratified_classes: int = STRATIFIED_CLASSES) -> DataFrame:
+    """Add ``_test``: exactly ceil(n*size) rows.
 
-    The test rows are those with the smallest hashes; the border is an exact order
+    Up to ``stratified_classes`` classes (20, the rule of the survey) each class gives its
+    share; more classes, and numeric targets, are split as a whole. The test rows are those with the smallest hashes; the border is an exact order
     statistic of the hashes, so no sort or window over the rows is needed.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     rows, h = data.rows, row_hash(seed)
     stratify = (
-        data.problem_type == "classification" and len(data.classes) <= STRATIFIED_CLASSES
+        data.problem_type == "classification" and len(data.classes) <= stratified_classes
     )
     if not stratify:
         n = rows.count()
