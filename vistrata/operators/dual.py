@@ -409,8 +409,8 @@ def classify_all(table: Table, fits: dict[int, tuple[frozenset, frozenset | None
     if _fits_a_task(table, size):
         found = _pairs_in_tasks(table, fits, pairs, gap)
     else:
-        found = {(k, p): _pair_large(table, parts, how, pair, gap)
-                 for k, (parts, _, how) in fits.items() for p, pair in enumerate(pairs)}
+        found = {(k, p): _pair_large(table, parts, how, pair, gap, scored is None)
+                 for k, (parts, scored, how) in fits.items() for p, pair in enumerate(pairs)}
     models = {}
     for k, (_, _, how) in fits.items():
         own = [found[k, p] for p in range(len(pairs))]
@@ -469,12 +469,16 @@ def _margin_counts(margins: np.ndarray, positive: np.ndarray, n: np.ndarray) ->
         ["margin", "positive"], as_index=False)["n"].sum()
 
 
-def _pair_large(table: Table, parts: frozenset, how: Settings, pair: tuple[int, int], gap: float):
+def _pair_large(table: Table, parts: frozenset, how: Settings, pair: tuple[int, int], gap: float,
+                with_sigmoid: bool):
+    """As ``_pairs_in_tasks``, for one pair, in rounds over the whole table."""
     inputs = table.inputs
     sign = F.when(F.col("label") == pair[0], 1.0).otherwise(-1.0)
     rows = table.frame.filter(F.col("_part").isin([*parts]) & F.col("label").isin(*pair)).select(
         *inputs, sign.alias("label"), "_count", "_hash")
     weights, left = _rounds(rows, inputs, how, True, gap)
+    if not with_sigmoid:
+        return weights, (-1.0, 0.0), left
     bucket = F.pmod(F.xxhash64("_hash"), F.lit(SIGMOID_FOLDS))
     inner = {b: _rounds(rows.filter(bucket != b), inputs, how, True, max(gap, SIGMOID_GAP))[0]
              for b in range(SIGMOID_FOLDS)}
