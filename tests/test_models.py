@@ -189,6 +189,22 @@ class TestTraining:
 
 
 class TestPredictAndStore:
+    @pytest.mark.parametrize("arrow", ["true", "false"])
+    def test_trees_are_stored_with_and_without_arrow(self, spark, regression, arrow):
+        """A session of its own settings has Arrow off; plain Python floats pass both ways."""
+        name = "spark.sql.execution.arrow.pyspark.enabled"
+        before = spark.conf.get(name)
+        spark.conf.set(name, arrow)
+        try:
+            model = models.fit_all(regression, "y", "Decision Tree", params={"depth": 3})
+            path = scratch_path(spark, "model-test")
+            modelstore.save_model(model, spark, path)
+            again = modelstore.load_model(spark, path)
+            found = [[r.prediction for r in m.predict(regression).collect()] for m in (model, again)]
+        finally:
+            spark.conf.set(name, before)
+        assert found[0] == found[1]
+
     def test_missing_features_count_as_zero(self, spark, regression):
         model = models.fit_all(regression, "y", "Linear Regression")
         df = spark.createDataFrame([(None, 1.0), (0.0, 1.0)], "x1 double, x2 double")

@@ -750,7 +750,7 @@ class GrownModel:
     def nodes(self) -> pd.DataFrame:
         return pd.concat([pd.DataFrame({
             "tree": i, "node": np.arange(len(t.feature)), "feature": t.feature,
-            "threshold": t.threshold, "left": t.left, "value": list(t.value), "gain": t.gain,
+            "threshold": t.threshold, "left": t.left, "value": t.value.tolist(), "gain": t.gain,
             "weight": t.weight}) for i, t in enumerate(self.trees)], ignore_index=True)
 
     @staticmethod
