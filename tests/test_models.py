@@ -62,6 +62,35 @@ class TestSplit:
         data = split.prepare(df, "y")
         assert data.rows.count() == 95 == data.rows.select("_row").distinct().count()
 
+    def test_few_distinct_rows_are_written_by_many_tasks(self, spark, monkeypatch):
+        """The tasks follow from the rows to write, not from the few distinct ones."""
+        monkeypatch.setattr(split, "ROWS_PER_TASK", 500)
+        df = spark.range(20_000).selectExpr("id % 40 * 1.0D AS x")
+        rows = split.with_row_keys(df, ["x"])
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 5_000
+
+    def test_rows_are_not_sorted_by_their_class(self, spark, monkeypatch):
+        """A few classes are no key to deal rows over tasks by."""
+        plans, write = [], split.materialise
+
+        def seen(df, label):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, label)
+
+        monkeypatch.setattr(split, "materialise", seen)
+        df = spark.range(200).selectExpr("id * 1.0D AS x", "IF(id % 3 = 0, 'a', 'b') AS c")
+        data = split.prepare(df, "c", "classification")
+        assert data.rows.groupBy("label").count().count() == 2
+        assert plans and not any("SortMergeJoin" in p for p in plans)
+
+    def test_hashes_are_computed_once(self, spark):
+        """The marked rows hold the split; no scan of them computes a digest again."""
+        data = split.prepare(spark.range(300).selectExpr("id * 1.0D AS x", "id % 7 * 1.0D AS y"), "y")
+        marked = split.mark_test(data)
+        assert "md5" not in marked._jdf.queryExecution().executedPlan().toString().lower()
+        assert marked.columns == [*data.rows.columns, "_test"]
+
     def test_identical_rows_are_split_too(self, spark):
         df = spark.createDataFrame([(1.0, 2.0)] * 100, "x double, y double")
         marked = split.mark_test(split.prepare(df, "y"), 0.25)

@@ -22,8 +22,11 @@ from vistrata.plans.session import materialise
 SEED = 42
 # Splits are stratified up to this many classes.
 STRATIFIED_CLASSES = 20
-# Equal rows that one task may write out.
-COPIES_PER_TASK = 100_000
+# Equal rows that are written out together, and rows of a task that writes them.
+COPIES_PER_TASK = 10_000
+ROWS_PER_TASK = 100_000
+# Class codes are sent to every task up to this many.
+BROADCAST_CLASSES = 100_000
 # Hashes are cut to 52 bits, 13 hex digits: exact as doubles.
 _HASH_SPACE, _HASH_DIGITS = 1 << 52, 13
 _KEY_DIGITS = 15
@@ -75,18 +78,22 @@ def prepare(
     rows = normalise_missing(df).select(
         *[as_double(df, c).alias(i) for c, i in zip(names, inputs)], y.alias("label")
     ).na.drop()
-    classes = None
+    classes, names_of_rows = None, [*inputs, "label"]
+    groups = _equal_rows(rows, names_of_rows)
     if problem_type == "classification" or not numeric_target:
         # A model holds parameters per class, so the driver may hold the class names.
-        found = rows.select("label").distinct().orderBy("label").collect()
+        found = groups.select("label").distinct().orderBy("label").collect()
         classes = [r[0] for r in found]
         codes = df.sparkSession.createDataFrame(
             [(c, float(i)) for i, c in enumerate(classes)],
             f"label {rows.schema['label'].dataType.simpleString()}, _code double")
-        # No hint: Spark broadcasts the codes where their size allows.
-        rows = rows.join(codes, "label").select(
-            *inputs, F.col("_code").alias("label"))
-    keyed = with_row_keys(rows, [*inputs, "label"])
+        # Spark does not know the size of a table from the driver and would sort all rows by
+        # their class.
+        if len(classes) <= BROADCAST_CLASSES:
+            codes = F.broadcast(codes)
+        groups = groups.join(codes, "label").select(
+            *inputs, F.col("_code").alias("label"), "_copies")
+    keyed = _written_out(groups, names_of_rows)
     return Prepared(
         materialise(keyed, "model-rows"), target, problem_type, names, classes, numeric_target,
         inputs,
@@ -94,19 +101,28 @@ def prepare(
 
 
 def with_row_keys(rows: DataFrame, names: list[str]) -> DataFrame:
-    """The rows with ``_row``, a digest of their values and their number among equal rows.
+    """The rows with ``_row``, a digest of their values and their number among equal rows."""
+    return _written_out(_equal_rows(rows, names), names)
 
-    Equal rows are counted, combined before the shuffle, and written out again by
-    their number; the copies of a frequent row are dealt over tasks in blocks.
-    """
+
+def _equal_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct rows with their number ``_copies``, combined before the shuffle."""
     groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    return materialise(groups, "row-groups")
+
+
+def _written_out(groups: DataFrame, names: list[str]) -> DataFrame:
+    """Equal rows by their number among them, with their key.
+
+    The copies of a row are dealt over tasks in blocks. The tasks follow from the rows that
+    they write: the distinct rows may be few, and Spark would make one task of them.
+    """
     blocks = groups.withColumn("_block", F.explode(F.sequence(
         F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_PER_TASK}"))))
     first = F.col("_block") * COPIES_PER_TASK + 1
-    many = materialise(blocks, "row-groups")
-    if many.filter("_block > 0").take(1):
-        many = many.repartition(*names, "_block")
-    each = many.withColumn("_copy", F.explode(F.sequence(
+    n = groups.agg(F.sum("_copies")).first()[0] or 0
+    dealt = blocks.repartition(max(1, -(-n // ROWS_PER_TASK)), *names, "_block")
+    each = dealt.withColumn("_copy", F.explode(F.sequence(
         first, F.least(first + (COPIES_PER_TASK - 1), F.col("_copies")))))
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in [*names, "_copy"]])
     return each.select(*names, _digits(text, _KEY_DIGITS).alias("_row"))
@@ -151,7 +167,7 @@ def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED,
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    rows, h = data.rows, row_hash(seed)
+    rows, h = data.rows, F.col("_hash")
     stratify = (
         data.problem_type == "classification" and len(data.classes) <= stratified_classes
     )
@@ -159,14 +175,16 @@ def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED,
         n = rows.count()
         if n < 2:
             raise ValueError("a split needs at least two complete rows")
+        rows = _hashed(rows, seed)
         request = _border_request(h, n, math.ceil(n * test_size))
         border = kth_smallest(rows, {"all": request})["all"]
-        return rows.withColumn("_test", h <= F.lit(border))
+        return rows.withColumn("_test", h <= F.lit(border)).drop("_hash")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(counts.values(), default=0) < 2:
         raise ValueError("the least frequent class has fewer than two rows")
     sizes = test_sizes(counts, test_size)
     wanted = {c: m for c, m in sizes.items() if m}
+    rows = _hashed(rows, seed)
     borders = kth_smallest(rows, {
         str(c): _border_request(F.when(F.col("label") == c, h), counts[c], m)
         for c, m in wanted.items()
@@ -174,7 +192,12 @@ def mark_test(data: Prepared, test_size: float = 0.2, seed: int = SEED,
     limit = F.lit(-1.0)
     for c in wanted:
         limit = F.when(F.col("label") == c, F.lit(borders[str(c)])).otherwise(limit)
-    return rows.withColumn("_test", h <= limit)
+    return rows.withColumn("_test", h <= limit).drop("_hash")
+
+
+def _hashed(rows: DataFrame, seed: int) -> DataFrame:
+    """The rows with ``_hash``, computed once for the search of the border and every later scan."""
+    return materialise(rows.withColumn("_hash", row_hash(seed)), "split-hashes")
 
 
 def fold_of(folds: int, seed: int = SEED) -> Column:
