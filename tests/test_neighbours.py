@@ -73,6 +73,46 @@ def test_neighbours_of_other_parts(spark, metric, monkeypatch):
     assert found_ids(found, 600) == want
 
 
+@pytest.mark.parametrize("part", [None, "fold"])
+def test_tiles_where_bounds_rule_out_little(spark, monkeypatch, part):
+    """Many independent columns: all queries meet large blocks of rows, and no query every cell."""
+    monkeypatch.setattr(knn, "CELL_ROWS", 40)
+    monkeypatch.setattr(knn, "PROBED_ROWS", 100)
+    monkeypatch.setattr(knn, "PROBES", 50)
+    monkeypatch.setattr(knn, "TILE_ROWS", 300)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 24)).round(3)
+    x[800:] = x[:100]
+    x[:12] = x[0]
+    fold = np.arange(900) % 3
+    calls, tiles, within = [], knn._search_tiles, knn._down_within
+    monkeypatch.setattr(knn, "_search_tiles", lambda *a: calls.append("tiles") or tiles(*a))
+    monkeypatch.setattr(knn, "_down_within", lambda rows, *a: calls.append(
+        rows.count()) or within(rows, *a))
+    found = knn.nearest_neighbours(
+        frame(spark, x, label=np.arange(900) % 4, fold=fold), frame(spark, x, "qid", fold=fold), 5,
+        part=part).toPandas().sort_values(["qid", "rank"])
+    # Only the probes were led into cells.
+    assert calls[-1] == "tiles" and len(calls) == 2 and calls[0] < 400
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    if part:
+        d[fold[:, None] == fold[None]] = np.inf
+    want = np.array([np.lexsort((np.arange(900), row))[:5] for row in d])
+    assert (found["id"].to_numpy().reshape(900, 5) == want).all()
+
+
+def test_no_piece_holds_all_children_of_many_queries():
+    """Queries that go into every child leave piece by piece."""
+    rng = np.random.default_rng(12)
+    x, pivots = rng.normal(size=(2_000, 64)), rng.normal(size=(256, 64))
+    queries = pd.DataFrame({"key": np.arange(2_000), "vec": list(x), "part": 0, "home": 0,
+                            "bound": np.inf, "cell": 0})
+    children = pd.DataFrame({"_cell": np.arange(256), "_pivot": list(pivots), "_radius": 9.0,
+                             "_low": list(pivots - 9), "_high": list(pivots + 9)})
+    sizes = [len(part) for part in knn._may_hold("euclidean", 1e-9)(queries, children)]
+    assert sum(sizes) == 2_000 * 256 and max(sizes) * 64 <= 2_000_000
+
+
 def test_groups_are_searched_apart(spark):
     rng = np.random.default_rng(2)
     x, g = rng.normal(size=(300, 2)), rng.integers(0, 3, 300)

@@ -14,6 +14,10 @@ On the way down, pivots and rows meet in a sorted stream, a level at a time, so
 the driver nor a task holds all pivots. Cells with many queries are copied to blocks of
 queries. Of equal vectors only the k smallest ids can be neighbours, so the others leave
 first; equal queries are asked once.
+
+Between many independent columns the bounds rule out little, and every query would go into
+most cells. Some queries are asked first; if they go into more cells than the rows have
+tiles, all queries meet all tiles, large blocks of rows, instead.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from vistrata.plans.session import materialise
 
 # Rows of a cell that is not divided any more, and queries that meet a cell in one task.
 CELL_ROWS, BLOCK_ROWS = 400, 4_000
+# Rows of a tile, and queries that meet it in one task, where bounds rule out little.
+TILE_ROWS = 20_000
+# Queries that tell how many cells a query goes into, and rows from which on they are asked.
+PROBES, PROBED_ROWS = 500, 10_000
 # Pivots drawn in a cell. The root is cell 0, others are named by a hash of their path.
 FANOUT = 256
 # Rows of a cell that one task sends down a level.
@@ -57,7 +65,7 @@ CHILDREN = ("parent long, cell long, pivot array<double>, n long, radius double,
 
 
 def _meet(rows: DataFrame, children: DataFrame, most: int, schema: str, step) -> DataFrame:
-    """``step(rows, children)`` for the rows of each cell and the children of that cell.
+    """What ``step(rows, children)`` yields for the rows of each cell and its children.
 
     Rows whose cell has no children are left out. A cell with many rows (``most`` is the
     largest number) is dealt over tasks, each with a copy of its children.
@@ -92,7 +100,7 @@ def _meet(rows: DataFrame, children: DataFrame, most: int, schema: str, step) ->
                 if len(found) and held:
                     if known is None:
                         known = pd.concat(held)
-                    yield step(found, known)
+                    yield from step(found, known)
 
     return both.mapInPandas(stream, schema)
 
@@ -101,11 +109,11 @@ def _to_nearest(schema: str, metric: str):
     """Rows move to the child whose pivot is nearest."""
     names = [part.split()[0] for part in schema.split(", ")]
 
-    def step(rows: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+    def step(rows: pd.DataFrame, children: pd.DataFrame) -> Iterator[pd.DataFrame]:
         distances = _pivot_distances(
             _vectors(rows["vec"]), _vectors(children["_pivot"]), metric)
         nearest = distances.argmin(axis=1)
-        return rows.assign(
+        yield rows.assign(
             cell=children["_cell"].to_numpy()[nearest].astype(np.int64),
             to_pivot=distances[np.arange(len(rows)), nearest])[names]
 
@@ -231,12 +239,11 @@ def _may_hold(metric: str, slack: float):
     """Queries with every child that may hold a row within their bound."""
     names = [p.split()[0] for p in QUERY.split(", ")]
 
-    def step(queries: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+    def step(queries: pd.DataFrame, children: pd.DataFrame) -> Iterator[pd.DataFrame]:
         q, pivots = _vectors(queries["vec"]), _vectors(children["_pivot"])
         low, high = _vectors(children["_low"]), _vectors(children["_high"])
         radius, cells = children["_radius"].to_numpy(float), children["_cell"].to_numpy()
         between = _pivot_distances(pivots, pivots, metric)
-        out = []
         size = max(1, 2_000_000 // (len(pivots) * q.shape[1]))
         for first in range(0, len(q), size):
             part, x = queries.iloc[first:first + size], q[first:first + size]
@@ -255,8 +262,8 @@ def _may_hold(metric: str, slack: float):
             bound = part["bound"].to_numpy(float)[:, None]
             room = np.where(np.isfinite(bound), bound, 0.0) + distances.max(axis=1)[:, None]
             row, child = np.nonzero(least <= bound + room * slack + slack)
-            out.append(part.iloc[row].assign(cell=cells[child].astype(np.int64)))
-        return pd.concat(out)[names]
+            # Piece by piece: a query may go into every child, a copy of its vector each time.
+            yield part.iloc[row].assign(cell=cells[child].astype(np.int64))[names]
 
     return step
 
@@ -326,6 +333,80 @@ def _search_block(k: int, metric: str, digits: int | None):
 FOUND = "qid long, id long, label double, distance double"
 
 
+def _many_cells(bounded: DataFrame, levels: list[DataFrame], tiles: int, slack: float) -> bool:
+    """Whether a query goes into more cells than there are tiles, judged by some queries."""
+    share = max(1, bounded.count() // PROBES)
+    probes = materialise(
+        bounded.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), "knn-probes")
+    cells = _down_within(probes, levels, "euclidean", slack).count()
+    return cells > tiles * probes.count()
+
+
+def _search_tile(k: int, digits: int | None):
+    """The k nearest rows of a tile within the bound of each query of a block."""
+
+    def search(train: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(train) and len(queries):
+            x, q = _vectors(train["vec"]), _vectors(queries["vec"])
+            ids, labels = train["key"].to_numpy(), train["label"].to_numpy()
+            parts, own = train["part"].to_numpy(), queries["part"].to_numpy()
+            qids, bound = queries["key"].to_numpy(), queries["bound"].to_numpy(float)
+            middle = x.mean(axis=0)
+            a, b = x - middle, q - middle
+            xx, qq = (a * a).sum(1), (b * b).sum(1)
+            # Rough squares choose candidates, with room for their rounding; those are
+            # measured exactly.
+            room = (qq + xx.max()) * 1e-9 + 1e-9
+            most = np.where(np.isfinite(bound), (bound + 1e-8) ** 2 + room, np.inf)
+            apart = len(np.intersect1d(parts, own)) > 0
+            for start in range(0, len(q), 128):
+                some = slice(start, start + 128)
+                rough = qq[some, None] + xx[None, :] - 2.0 * b[some] @ a.T
+                if apart:
+                    rough[parts[None, :] == own[some, None]] = np.inf
+                for i, square in enumerate(rough, start):
+                    near = np.flatnonzero((square <= most[i]) & (square < np.inf))
+                    if len(near) > k:
+                        border = np.partition(square[near], k - 1)[k - 1] + room[i]
+                        near = near[square[near] <= border]
+                    gap = x[near] - q[i]
+                    exact = np.sqrt((gap * gap).sum(1))
+                    exact = exact if digits is None else np.round(exact, digits)
+                    best = near[order := np.lexsort((ids[near], exact))[:k]]
+                    found.append((np.full(len(best), qids[i]), ids[best], labels[best],
+                                  exact[order]))
+        columns = ["qid", "id", "label", "distance"]
+        if not found:
+            return pd.DataFrame(columns=columns)
+        return pd.DataFrame({c: np.concatenate(part) for c, part in zip(columns, zip(*found))})
+
+    return search
+
+
+def _search_tiles(rows: DataFrame, bounded: DataFrame, k: int, n_rows: int, digits: int | None
+                  ) -> DataFrame:
+    """The nearest rows in every tile for every query: each pair of blocks is a task."""
+    tiles = -(-n_rows // TILE_ROWS)
+    blocks = max(1, -(-bounded.count() // TILE_ROWS))
+
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+
+    def everywhere(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = rows.select(dealt(tiles).alias("tile"), everywhere(blocks).alias("block"),
+                       "key", "vec", "label", "part")
+    right = bounded.select(everywhere(tiles).alias("tile"), dealt(blocks).alias("block"),
+                           "key", "vec", "part", "bound")
+    # A pair of blocks is little data and much work: Spark must not put several together.
+    tasks = 2 * tiles * blocks
+    return left.repartition(tasks, "tile", "block").groupBy("tile", "block").cogroup(
+        right.repartition(tasks, "tile", "block").groupBy("tile", "block")
+    ).applyInPandas(_search_tile(k, digits), FOUND)
+
+
 def _search(leaves: DataFrame, queries: DataFrame, block_rows: int, search) -> DataFrame:
     """The nearest rows in its cell for each row of ``queries``."""
     asked = queries.groupBy("cell").agg(
@@ -398,9 +479,15 @@ def nearest_neighbours(
         "key", "vec", "part", F.col("cell").alias("home"),
         F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound"),
         F.col("first_cell").alias("cell"))
-    routed = materialise(_down_within(bounded, levels, metric, slack), "knn-within")
-    second = _search(leaves, routed, block_rows, search)
-    best = _best(first.unionByName(second), k)
+    bounded = materialise(bounded, "knn-bounded")
+    n_rows = leaves.count()
+    if (metric == "euclidean" and group is None and n_rows > PROBED_ROWS
+            and _many_cells(bounded, levels, -(-n_rows // TILE_ROWS), slack)):
+        best = _best(_search_tiles(leaves, bounded, k, n_rows, digits), k)
+    else:
+        routed = materialise(_down_within(bounded, levels, metric, slack), "knn-within")
+        second = _search(leaves, routed, block_rows, search)
+        best = _best(first.unionByName(second), k)
     return members.join(best, F.col("first_key") == F.col("qid")).select(
         F.col("key").alias("qid"), "id", "label", "distance", "rank")
 
