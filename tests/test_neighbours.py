@@ -113,6 +113,35 @@ def test_no_piece_holds_all_children_of_many_queries():
     assert sum(sizes) == 2_000 * 256 and max(sizes) * 64 <= 2_000_000
 
 
+@pytest.mark.parametrize("kind", ["regression", "classification"])
+def test_folds_ask_equal_rows_once(spark, monkeypatch, kind):
+    """The score of every fold counts all rows, though equal ones are one query."""
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 600) * 1.0, "b": rng.integers(0, 5, 600) * 1.0})
+    pdf["y"] = (pdf.a * 2 + rng.integers(0, 3, 600)) if kind == "regression" else (
+        (pdf.a + rng.integers(0, 3, 600)) > 3) * 1.0
+    asked, search = [], models.nearest_neighbours
+    monkeypatch.setattr(models, "nearest_neighbours", lambda train, queries, *a, **how: (
+        asked.append(queries.count()), search(train, queries, *a, **how))[1])
+    data = split.prepare(spark.createDataFrame(pdf), "y", kind, ["a", "b"])
+    got = models.cross_validate(data, "KNN", 3)["scores"]
+    assert asked and asked[0] <= 3 * 30
+    local = data.rows.withColumn("fold", split.fold_of(3)).toPandas()
+    for i in range(3):
+        train, test = local[local.fold != i], local[local.fold == i]
+        d = np.sqrt(((test[["_f0", "_f1"]].to_numpy()[:, None]
+                      - train[["_f0", "_f1"]].to_numpy()[None]) ** 2).sum(axis=2)).round(9)
+        near = [train["label"].to_numpy()[np.lexsort((train["_row"], row))[:5]] for row in d]
+        y = test["label"].to_numpy()
+        if kind == "regression":
+            p = np.mean(near, axis=1)
+            want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+        else:
+            p = np.array([np.bincount(n.astype(int)).argmax() for n in near])
+            want = (y == p).mean()
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
 def test_groups_are_searched_apart(spark):
     rng = np.random.default_rng(2)
     x, g = rng.normal(size=(300, 2)), rng.integers(0, 3, 300)

@@ -123,9 +123,11 @@ class NeighbourModel:
         ])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        keyed = materialise(df.withColumn("_qid", F.monotonically_increasing_id()), "knn-input")
+        # Equal rows have the same neighbours and are asked once.
+        asked = materialise(df.groupBy(*self.inputs).agg(F.count(F.lit(1)).alias("_n")).drop(
+            "_n").withColumn("_qid", F.monotonically_increasing_id()), "knn-input")
         train = self.table.select(F.col("_row").alias("id"), self.vector().alias("vec"), "label")
-        queries = keyed.select(F.col("_qid").alias("qid"), self.vector().alias("vec"))
+        queries = asked.select(F.col("_qid").alias("qid"), self.vector().alias("vec"))
         near = nearest_neighbours(train, queries, self.k)
         if not self.classes:
             found = average(near)
@@ -135,7 +137,9 @@ class NeighbourModel:
             shares = shares.select("qid", F.transform(labels, lambda c: F.size(
                 F.filter("near", lambda x: x == c)) / F.size("near")).alias("_probability"))
             found = vote(near).drop("votes").join(shares, "qid")
-        return keyed.join(found, F.col("_qid") == F.col("qid"), "left").drop("_qid", "qid")
+        answers = materialise(asked.join(found, F.col("_qid") == F.col("qid")).drop(
+            "_qid", "qid"), "knn-answers")
+        return df.join(answers, self.inputs, "left")
 
 
 @dataclass
@@ -513,7 +517,12 @@ def cross_validate(
     if model_name in KERNEL_MODELS:
         _, scores = _support_vectors(data, data.rows, folds, scale_features, params or {}, False)
         return _cv_summary(scores, data)
-    rows = data.rows.withColumn("_fold", fold_of(folds))
+    key = ("fold rows", folds)
+    if key not in data.shared:
+        # The folds are digests of the rows; every fit scans them several times.
+        data.shared[key] = materialise(
+            data.rows.withColumn("_fold", fold_of(folds)), "fold-rows")
+    rows = data.shared[key]
     if model_name == "KNN" and not scale_features:
         return _cv_summary(_neighbour_scores(rows, data, folds, params or {}), data)
     scores = []
@@ -530,19 +539,28 @@ def cross_validate(
 
 def _neighbour_scores(rows: DataFrame, data: Prepared, folds: int, params: dict) -> list:
     """The score of every fold from one search, where neighbours come from other folds."""
+    # Rows that differ in their number alone are asked once and count so often.
+    counts = materialise(rows.groupBy(*data.inputs, "_fold", "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")), "knn-counts")
     vec = F.array(*data.inputs)
+    asked = materialise(counts.groupBy(*data.inputs, "_fold").agg(
+        F.min("_first").alias("qid")), "knn-folds")
     near = nearest_neighbours(
         rows.select(F.col("_row").alias("id"), vec.alias("vec"), "label", "_fold"),
-        rows.select(F.col("_row").alias("qid"), vec.alias("vec"), "_fold"),
+        asked.select("qid", vec.alias("vec"), "_fold"),
         params.get("k", NEIGHBOURS), part="_fold")
     found = vote(near) if data.problem_type == "classification" else average(near)
-    pairs = rows.select("_row", "label", "_fold").join(
-        found.select(F.col("qid").alias("_row"), "prediction"), "_row")
-    y, p = F.col("label"), F.col("prediction")
+    pairs = counts.join(asked.join(found, "qid").select(
+        *data.inputs, "_fold", "prediction"), [*data.inputs, "_fold"])
+    y, p, n = F.col("label"), F.col("prediction"), F.col("_n")
     if data.problem_type == "classification":
-        score = F.avg((y == p).cast("double"))
+        score = F.sum(F.when(y == p, n).otherwise(0)) / F.sum(n)
     else:
-        wrong, spread = F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)
+        pairs = materialise(pairs, "knn-pairs")
+        middle = pairs.groupBy("_fold").agg((F.sum(n * y) / F.sum(n)).alias("_middle"))
+        pairs, away = pairs.join(F.broadcast(middle), "_fold"), y - F.col("_middle")
+        wrong = F.sum(n * (y - p) * (y - p))
+        spread = F.when(F.max(y) > F.min(y), F.sum(n * away * away)).otherwise(0.0)
         score = F.when(spread > 0, 1 - wrong / F.nullif(spread, F.lit(0.0))).otherwise(
             F.when(wrong == 0, 1.0).otherwise(0.0))
     by_fold = {r["_fold"]: r["s"] for r in pairs.groupBy("_fold").agg(score.alias("s")).collect()}
