@@ -251,3 +251,54 @@ class TestPredictAndStore:
         before = {tuple(r[c] for c in key): r.prediction for r in model.predict(regression).collect()}
         after = {tuple(r[c] for c in key): r.prediction for r in again.predict(regression).collect()}
         assert before == pytest.approx(after)
+
+
+class TestRepeatedRows:
+    """MLlib models pass over the distinct rows, which count as often as they occur."""
+
+    @pytest.fixture(scope="class")
+    def grid(self, spark):
+        rng = np.random.default_rng(5)
+        a, b = rng.integers(0, 6, 600).astype(float), rng.integers(0, 4, 600).astype(float)
+        rows = [(float(x), float(y), float(2 * x - y + (i % 3)), "hi" if x + y + i % 3 > 5 else "lo")
+                for i, (x, y) in enumerate(zip(a, b))]
+        return spark.createDataFrame(rows, "x1 double, x2 double, y double, name string").cache()
+
+    @pytest.mark.parametrize("name, kind", [
+        *[(m, "regression") for m in models.LINEAR_MODELS], ("Logistic Regression", "classification")])
+    def test_solver_sees_distinct_rows(self, grid, monkeypatch, name, kind):
+        target = "y" if kind == "regression" else "name"
+        seen, solve = [], models.Pipeline.fit
+
+        def fit(pipeline, df):
+            seen.append(df.count())
+            return solve(pipeline, df)
+
+        monkeypatch.setattr(models.Pipeline, "fit", fit)
+        models.train_model(grid, target, name, kind, feature_cols=["x1", "x2"], cv_folds=3)
+        # Each fold has its own.
+        assert seen and max(seen) <= 3 * grid.select("x1", "x2", target).distinct().count() < 300
+
+    @pytest.mark.parametrize("scaled", [False, True])
+    def test_fold_scores_weigh_copies(self, grid, scaled):
+        data = split.prepare(grid, "name", "classification", ["x1", "x2"])
+        found = models.cross_validate(data, "Logistic Regression", 3, scaled)["scores"]
+        rows = data.rows.withColumn("_fold", split.fold_of(3))
+        expected = []
+        for i in range(3):
+            model = models.fit(rows.filter(F.col("_fold") != i), data, "Logistic Regression", scaled)
+            held = models.score(model, rows.filter(F.col("_fold") == i))
+            expected.append(held.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0])
+        assert found == pytest.approx(expected, abs=1e-4)
+
+    def test_weights_equal_rows(self, grid):
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        data = split.prepare(grid, "name", "classification", ["x1", "x2"])
+        found = models.fit(data.rows, data, "Logistic Regression").stages[-1]
+        plain = LogisticRegression(
+            maxIter=1_000, regParam=1 / 600, standardization=False).fit(
+            VectorAssembler(inputCols=data.inputs, outputCol="features").transform(data.rows))
+        assert found.coefficients.toArray() == pytest.approx(plain.coefficients.toArray(), rel=1e-3)
+        assert found.intercept == pytest.approx(plain.intercept, rel=1e-3)

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vistrata.functions.aggregates import fit_scalars, union_all
+from vistrata.functions.aggregates import fit_scalars, r4, union_all
 from vistrata.functions.columns import as_double, col, normalise_missing, require
 from vistrata.operators import dual, evaluate, gram, trees
 from vistrata.operators.features import check_problem_type, complete_rows
@@ -47,7 +47,8 @@ class FitContext:
 # deviation because the solver works on a scaled label.
 CLASSIFIERS: dict[str, Callable[[FitContext, dict], Any]] = {
     "Logistic Regression": lambda c, p: LogisticRegression(
-        maxIter=p.get("max_iter", MAX_ITERATIONS), regParam=1.0 / c.n, standardization=False),
+        maxIter=p.get("max_iter", MAX_ITERATIONS), regParam=1.0 / c.n, standardization=False,
+        weightCol="_n"),
     "Random Forest": lambda c, p: None,
     "Gradient Boosting": lambda c, p: None,
     "Decision Tree": lambda c, p: None,
@@ -55,13 +56,14 @@ CLASSIFIERS: dict[str, Callable[[FitContext, dict], Any]] = {
     "SVM": lambda c, p: None,
 }
 REGRESSORS: dict[str, Callable[[FitContext, dict], Any]] = {
-    "Linear Regression": lambda c, p: LinearRegression(regParam=0.0, solver="normal"),
+    "Linear Regression": lambda c, p: LinearRegression(
+        regParam=0.0, solver="normal", weightCol="_n"),
     "Ridge": lambda c, p: LinearRegression(
         regParam=p.get("alpha", 1.0) * c.label_std / c.n, elasticNetParam=0.0,
-        standardization=False, solver="normal"),
+        standardization=False, solver="normal", weightCol="_n"),
     "Lasso": lambda c, p: LinearRegression(
         regParam=p.get("alpha", 1.0), elasticNetParam=1.0, standardization=False,
-        maxIter=MAX_ITERATIONS, tol=1e-9),
+        maxIter=MAX_ITERATIONS, tol=1e-9, weightCol="_n"),
     "Random Forest": lambda c, p: None,
     "Gradient Boosting": lambda c, p: None,
     "Decision Tree": lambda c, p: None,
@@ -221,20 +223,33 @@ def score(fitted: PipelineModel | NeighbourModel | trees.GrownModel, df: DataFra
 # -- fitting --------------------------------------------------------------------------
 
 
-def _context(train: DataFrame, data: Prepared) -> FitContext:
-    seen = fit_scalars(train, {"n": F.count(F.lit(1)), "std": F.stddev_pop("label")})
-    if seen["n"] == 0:
+def _counted(rows: DataFrame, data: Prepared, *parts: str) -> DataFrame:
+    """The distinct rows (of each of ``parts``) with their number ``_n``.
+
+    MLlib passes over its rows once an iteration, and weighs a row that occurs often.
+    """
+    counts = rows.groupBy(*data.inputs, "label", *parts).agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(counts, "counted-rows")
+
+
+def _context(counted: DataFrame) -> FitContext:
+    n, y = F.col("_n"), F.col("label")
+    seen = fit_scalars(counted, {"n": F.sum(n), "mean": F.sum(n * y) / F.sum(n)})
+    if not seen["n"]:
         raise ValueError("no complete rows to train on")
-    return FitContext(seen["n"], seen["std"] or 1.0)
+    away = y - F.lit(seen["mean"])
+    std = fit_scalars(counted, {"std": F.sqrt(F.sum(n * away * away) / F.lit(seen["n"]))})["std"]
+    return FitContext(seen["n"], std or 1.0)
 
 
 def fit(
     train: DataFrame, data: Prepared, model_name: str, scale_features: bool = False,
-    params: dict | None = None,
+    params: dict | None = None, counted: DataFrame | None = None,
 ) -> PipelineModel | NeighbourModel | trees.GrownModel:
     """Fit one model on prepared rows. Scaling is part of the fitted model.
 
-    Trees do not depend on the scale of an input and so leave it as it is.
+    Trees do not depend on the scale of an input and so leave it as it is. ``counted`` are
+    the distinct rows with their number ``_n``, where they are known.
     """
     settings, params = REGISTRY[data.problem_type].settings(model_name), params or {}
     if model_name == "KNN":
@@ -249,16 +264,19 @@ def fit(
         alone = replace(data, rows=train, shared={})
         solution, _ = _support_vectors(alone, train, 0, scale_features, params, True)
         return _kernel_pipeline(train, data, solution, scale_features)
-    context = _context(train, data)
+    counted = _counted(train, data) if counted is None else counted
+    context = _context(counted)
     stages = [VectorAssembler(inputCols=data.inputs, outputCol="raw_features")]
     current = "raw_features"
     if scale_features:
-        stages.append(StandardScaler(
-            inputCol=current, outputCol="scaled_features", withMean=True, withStd=True))
+        # A scaler knows no weights and sees the rows themselves.
+        scaler = StandardScaler(
+            inputCol=current, outputCol="scaled_features", withMean=True, withStd=True)
+        stages.append(scaler.fit(stages[0].transform(train)))
         current = "scaled_features"
     stages.append(VectorAssembler(inputCols=[current], outputCol="features"))
     stages.append(settings(context, params))
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(counted)
 
 
 def _class_count(data: Prepared) -> int:
@@ -499,7 +517,7 @@ def cross_validate(
     """Accuracy or R2 per fold, their mean and population standard deviation.
 
     The folds of trees are grown from one table and those of linear models solved from
-    one set of sums; the other models are fitted once per fold.
+    one set of sums; the other models are fitted once per fold, MLlib's on distinct rows.
     """
     if folds < 2:
         return {}
@@ -517,14 +535,19 @@ def cross_validate(
     if model_name in KERNEL_MODELS:
         _, scores = _support_vectors(data, data.rows, folds, scale_features, params or {}, False)
         return _cv_summary(scores, data)
-    key = ("fold rows", folds)
+    key, rows = ("fold rows", folds), data.rows.withColumn("_fold", fold_of(folds))
+    if model_name != "KNN" and not scale_features:
+        return _cv_summary(
+            _weighted_scores(rows, data, model_name, folds, False, params), data)
     if key not in data.shared:
         # The folds are digests of the rows; every fit scans them several times.
-        data.shared[key] = materialise(
-            data.rows.withColumn("_fold", fold_of(folds)), "fold-rows")
+        data.shared[key] = materialise(rows, "fold-rows")
     rows = data.shared[key]
     if model_name == "KNN" and not scale_features:
         return _cv_summary(_neighbour_scores(rows, data, folds, params or {}), data)
+    if model_name != "KNN":
+        return _cv_summary(
+            _weighted_scores(rows, data, model_name, folds, True, params), data)
     scores = []
     for i in range(folds):
         fitted = fit(rows.filter(F.col("_fold") != i), data, model_name, scale_features, params)
@@ -537,6 +560,19 @@ def cross_validate(
     return _cv_summary(scores, data)
 
 
+def _weighted_scores(rows: DataFrame, data: Prepared, model_name: str, folds: int,
+                     scale_features: bool, params: dict | None) -> list:
+    """The accuracy of every fold, fitted and scored on distinct rows with their number."""
+    counted, fold, scores = _counted(rows, data, "_fold"), F.col("_fold"), []
+    for i in range(folds):
+        fitted = fit(rows.filter(fold != i), data, model_name, scale_features, params,
+                     counted.filter(fold != i))
+        hit = F.when(F.col("label") == F.col("prediction"), F.col("_n")).otherwise(0)
+        scores.append(score(fitted, counted.filter(fold == i)).agg(
+            r4(F.sum(hit) / F.sum("_n"))).first()[0])
+    return scores
+
+
 def _neighbour_scores(rows: DataFrame, data: Prepared, folds: int, params: dict) -> list:
     """The score of every fold from one search, where neighbours come from other folds."""
     # Rows that differ in their number alone are asked once and count so often.
