@@ -1,5 +1,7 @@
 """Pruned neighbour search, mutual information by neighbours and support vector regression."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -31,6 +33,59 @@ def found_ids(found, n):
 # ---------------------------------------------------------------- search
 
 
+def test_chebyshev_distances_take_a_column_at_a_time():
+    rng = np.random.default_rng(1)
+    x, pivots = rng.normal(size=(1_000, 40)), rng.normal(size=(200, 40))
+    tracemalloc.start()
+    found = knn._pivot_distances(x, pivots, "chebyshev")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All columns of all pairs are 64 MB.
+    assert peak < 16_000_000
+    assert (found == np.abs(x[:, None, :] - pivots[None, :, :]).max(axis=2)).all()
+
+
+def test_cells_are_summed_up_in_a_stream(spark):
+    """Cells that go on over batches and tasks, and no call per cell."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"cell": rng.integers(0, 40, 1_000), "to_pivot": rng.uniform(size=1_000)})
+    x = rng.normal(size=(1_000, 2))
+    rows["vec"] = x.tolist()
+    pivots = pd.DataFrame({"parent": 0, "cell": np.arange(40), "pivot": [[0.0, 0.0]] * 40})
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        table = knn._summaries(
+            spark.createDataFrame(rows).repartition(3), spark.createDataFrame(pivots))
+        found = table.toPandas().set_index("cell")
+        plan = table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(size, before)
+    assert len(found) == 40 and "FlatMapGroupsInPandas" not in plan
+    for cell, part in rows.groupby("cell"):
+        own, at = found.loc[cell], x[part.index]
+        assert own["n"] == len(part) and own["radius"] == part["to_pivot"].max()
+        assert (np.array(own["low"]) == at.min(axis=0)).all()
+        assert (np.array(own["high"]) == at.max(axis=0)).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_block_search_with_many_ties_in_pieces(metric, monkeypatch):
+    monkeypatch.setattr(knn, "CANDIDATES", 100)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (120, 2)).astype(float)
+    q = np.vstack([x[:40], rng.normal(size=(30, 2))])
+    ids = rng.permutation(120)
+    train = pd.DataFrame({"key": ids, "vec": list(x), "label": 0.0, "part": 0})
+    queries = pd.DataFrame({"key": np.arange(70), "vec": list(q), "part": 1})
+    found = knn._search_block(4, metric, 9)(train, queries)
+    order = np.argsort(ids)
+    got = [found[found["qid"] == i]["id"].tolist() for i in range(70)]
+    assert got == brute(x[order], q, 4, metric)
+
+
+
 def test_search_divides_crowded_cells_and_skips_far_ones(spark, monkeypatch):
     """Three features: below a quarter of the cells for a query, over more than one level."""
     monkeypatch.setattr(knn, "CELL_ROWS", 60)

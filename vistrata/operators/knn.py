@@ -39,8 +39,10 @@ PROBES, PROBED_ROWS = 500, 10_000
 # Pivots drawn in a cell. The root is cell 0, others are named by a hash of their path.
 FANOUT = 256
 # Rows of a cell that one task sends down a level.
-STREAM_ROWS = 200_000
+STREAM_ROWS = 50_000
 DISTANCE_DIGITS = 9
+# Candidates whose distances are measured at once.
+CANDIDATES = 20_000
 # Room for rounding in the bounds, relative and absolute.
 _SLACK = 1e-9
 
@@ -51,7 +53,11 @@ def _vectors(column: pd.Series) -> np.ndarray:
 
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     if metric == "chebyshev":
-        return np.abs(x[:, None, :] - pivots[None, :, :]).max(axis=2)
+        # A column at a time: no array of all columns of all pairs.
+        out = np.abs(x[:, :1] - pivots[:, 0])
+        for i in range(1, x.shape[1]):
+            np.maximum(out, np.abs(x[:, i:i + 1] - pivots[:, i]), out=out)
+        return out
     middle = pivots.mean(axis=0)
     a, b = x - middle, pivots - middle
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
@@ -120,28 +126,47 @@ def _to_nearest(schema: str, metric: str):
     return step
 
 
+def _reduced(cells: np.ndarray, n: np.ndarray, radius: np.ndarray, low: np.ndarray,
+             high: np.ndarray) -> pd.DataFrame:
+    """One row per cell, in the order of the cells."""
+    order = np.argsort(cells, kind="stable")
+    named = cells[order]
+    first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+    return pd.DataFrame({
+        "cell": named[first], "n": np.add.reduceat(n[order], first),
+        "radius": np.maximum.reduceat(radius[order], first),
+        "low": list(np.minimum.reduceat(low[order], first)),
+        "high": list(np.maximum.reduceat(high[order], first))})
+
+
 def _summaries(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     """``CHILDREN`` of the cells of ``rows``: number, distance from the pivot, box."""
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, cells = _vectors(batch["vec"]), batch["cell"].to_numpy()
-            order = np.argsort(cells, kind="stable")
-            named = cells[order]
-            first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
-            yield pd.DataFrame({
-                "cell": named[first], "n": np.diff(np.append(first, len(cells))),
-                "radius": np.maximum.reduceat(batch["to_pivot"].to_numpy()[order], first),
-                "low": list(np.minimum.reduceat(x[order], first)),
-                "high": list(np.maximum.reduceat(x[order], first))})
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "cell": [part["cell"].iloc[0]], "n": [part["n"].sum()],
-            "radius": [part["radius"].max()], "low": [_vectors(part["low"]).min(axis=0)],
-            "high": [_vectors(part["high"]).max(axis=0)]})
+            if len(batch):
+                x = _vectors(batch["vec"])
+                yield _reduced(batch["cell"].to_numpy(), np.ones(len(x), np.int64),
+                               batch["to_pivot"].to_numpy(), x, x)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Cells are many and small: a sorted stream, in which the last one may go on.
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = batch if held is None else pd.concat([held, batch])
+            found = _reduced(part["cell"].to_numpy(), part["n"].to_numpy(),
+                             part["radius"].to_numpy(), _vectors(part["low"]),
+                             _vectors(part["high"]))
+            held = found.iloc[-1:]
+            if len(found) > 1:
+                yield found.iloc[:-1]
+        if held is not None:
+            yield held
 
     schema = "cell long, n long, radius double, low array<double>, high array<double>"
-    found = rows.mapInPandas(gather, schema).groupBy("cell").applyInPandas(merge, schema)
+    found = rows.mapInPandas(gather, schema).repartition("cell").sortWithinPartitions(
+        "cell").mapInPandas(merge, schema)
     return pivots.join(found, "cell").select(
         "parent", "cell", "pivot", "n", "radius", "low", "high")
 
@@ -248,10 +273,14 @@ def _may_hold(metric: str, slack: float):
         for first in range(0, len(q), size):
             part, x = queries.iloc[first:first + size], q[first:first + size]
             distances = _pivot_distances(x, pivots, metric)
-            gaps = np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0.0)
             if metric == "chebyshev":
-                least = gaps.max(axis=2)
+                least = np.zeros(distances.shape)
+                for i in range(x.shape[1]):
+                    np.maximum(least, low[:, i] - x[:, i:i + 1], out=least)
+                    np.maximum(least, x[:, i:i + 1] - high[:, i], out=least)
             else:
+                gaps = np.maximum(
+                    np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0.0)
                 least = np.sqrt((gaps * gaps).sum(axis=2))
                 # Rows of a cell are nearer to its pivot than to the query's nearest pivot.
                 near = distances.argmin(axis=1)
@@ -297,6 +326,7 @@ def _search_block(k: int, metric: str, digits: int | None):
             x, q = _vectors(train["vec"]), _vectors(queries["vec"])
             ids, labels = train["key"].to_numpy(), train["label"].to_numpy()
             parts, own = train["part"].to_numpy(), queries["part"].to_numpy()
+            qids = queries["key"].to_numpy()
             middle = x.mean(axis=0)
             a, b = x - middle, q - middle
             xx, qq = (a * a).sum(1), (b * b).sum(1)
@@ -312,16 +342,24 @@ def _search_block(k: int, metric: str, digits: int | None):
                 border = np.partition(rough, kept - 1, axis=1)[:, kept - 1]
                 if metric == "euclidean":
                     border = border + (qq[part] + xx.max()) * 1e-9 + 1e-9
-                for i, qid in enumerate(queries["key"].to_numpy()[part]):
-                    near = np.flatnonzero((rough[i] <= border[i]) & np.isfinite(rough[i]))
-                    gap = x[near] - q[start + i]
+                asked, near = np.nonzero((rough <= border[:, None]) & np.isfinite(rough))
+                # A share of the pairs at a time: with many ties all rows are candidates.
+                ends = np.searchsorted(asked, np.arange(len(rough) + 1))
+                step = max(1, CANDIDATES // max(1, int(np.diff(ends).max())))
+                for first in range(0, len(rough), step):
+                    some = slice(ends[first], ends[min(first + step, len(rough))])
+                    i, j = asked[some], near[some]
+                    gap = x[j] - q[start + i]
                     if metric == "chebyshev":
                         exact = np.abs(gap).max(axis=1)
                     else:
                         exact = np.sqrt((gap * gap).sum(1))
                     exact = exact if digits is None else np.round(exact, digits)
-                    best = near[order := np.lexsort((ids[near], exact))[:k]]
-                    found.append((np.full(len(best), qid), ids[best], labels[best], exact[order]))
+                    order = np.lexsort((ids[j], exact, i))
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    best = order[place < k]
+                    found.append((qids[start + i[best]], ids[j[best]], labels[j[best]],
+                                  exact[best]))
         columns = ["qid", "id", "label", "distance"]
         if not found:
             return pd.DataFrame(columns=columns)
