@@ -304,6 +304,34 @@ def test_repeated_bytes(spark, frame, odd_rows, group_contexts):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def context_row(gram, key, text, place):
+    first = max(0, place - suffixdedup.LEFT)
+    return gram, key, first, place - first, 1, text[first:place + suffixdedup.WINDOW]
+
+
+def test_contexts_known_as_a_whole_are_not_sorted(monkeypatch):
+    rng = random.Random(4)
+    shared = bytes(rng.choice(b"abcdefgh") for _ in range(330))
+    own = lambda i, n: b"%d" % i * n
+    # Two contexts share 260 bytes; of three, each two share other bytes about the anchor.
+    pair = [own(i, 100) + shared[:260] + own(i, 100) for i in (0, 1)]
+    three = [own(i, 60) + shared[a:b] + own(i, 60)
+             for i, (a, b) in zip((5, 6, 7), ((0, 240), (30, 300), (70, 330)))]
+    rows = [context_row(1, b"%d" % i, t, 200) for i, t in enumerate(pair)]
+    more = [context_row(2, b"%d" % (5 + i), t, 60 + 130 - a)
+            for i, (t, a) in enumerate(zip(three, (0, 30, 70)))]
+    sizes = []
+    sort = suffixdedup.suffix_array
+    monkeypatch.setattr(suffixdedup, "suffix_array", lambda t: sizes.append(len(t)) or sort(t))
+    found = suffixdedup._sorted_spans(rows)
+    assert sorted(map(tuple, found.values.tolist())) == [(b"0", 100, 360), (b"1", 100, 360)]
+    assert not sizes
+    both = suffixdedup._sorted_spans(rows + more).values.tolist()
+    assert sorted(map(tuple, both)) == [
+        (b"0", 100, 360), (b"1", 100, 360), (b"5", 90, 300), (b"6", 60, 330), (b"7", 60, 290)]
+    assert len(sizes) == 1 and sizes[0] <= sum(len(r[-1]) + 1 for r in more)
+
+
 def test_anchors_of_long_texts_do_not_depend_on_segments(monkeypatch):
     rng = random.Random(9)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))

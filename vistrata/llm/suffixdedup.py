@@ -244,6 +244,34 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + WINDOW) for p in np.split(starts, cut)]
 
 
+def _all_known(size: int, parts: list[tuple[int, int]]) -> bool:
+    """Whether each window of a context of ``size`` bytes lies in one of its parts."""
+    starts = 0  # windows from here on are still to be found in a part
+    for low, high in sorted(parts):
+        if low > starts:
+            break
+        starts = max(starts, high - WINDOW + 1)
+    return starts > size - WINDOW
+
+
+def _starts_of_groups(group: np.ndarray, texts: list[bytes], places: list[tuple[int, int]],
+                      parts: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """``repeated_starts`` of the contexts, where those of a group could share more.
+
+    Equal windows of an anchor stand at one distance from it. A group whose contexts all
+    consist of parts known from further places has no other windows to find, so
+    its bytes are not sorted.
+    """
+    known = np.array([_all_known(len(t), p) for t, p in zip(texts, parts)])
+    open_ = np.isin(group, group[~known])
+    hits = [np.arange(len(t) - WINDOW + 1) for t in texts]
+    at = np.flatnonzero(open_).tolist()
+    if at:
+        for i, hit in zip(at, repeated_starts(*([x[i] for i in at] for x in (texts, places, parts)))):
+            hits[i] = hit
+    return hits
+
+
 def _sorted_spans(rows: list[tuple]) -> pd.DataFrame:
     """Repeated spans of whole groups of contexts: rows of gram, key, first, left, n, bytes."""
     grams, keys, firsts, lefts, counts, contexts = zip(*rows)
@@ -274,7 +302,8 @@ def _sorted_spans(rows: list[tuple]) -> pd.DataFrame:
         parts = [[(a, b) for _, a, b in inside]
                  + ([(0, len(t))] if counts[i] > 1 else [])
                  for (i, inside), t in zip(whole, texts)]
-        for (held, inside), text, hit in zip(whole, texts, repeated_starts(texts, places, parts)):
+        found = _starts_of_groups(group[[i for i, _ in whole]], texts, places, parts)
+        for (held, inside), text, hit in zip(whole, texts, found):
             for i, shift, end in [(held, 0, len(text)), *inside]:
                 at = firsts[i] + int(low[i]) - shift
                 own = hit[(hit >= shift) & (hit <= end - WINDOW)]
