@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.operators import dual, information, knn, models, split, trees
+from vistrata.operators import dual, gram, information, knn, models, split, trees
 from vistrata.operators.kernel import random_features
+from vistrata.plans.inspect import count_nodes, plan_text
 
 
 def frame(spark, x, name="id", **more):
@@ -364,6 +365,38 @@ def test_support_vector_regression_is_its_name(spark, waves):
     assert scaled.metrics["r2"] > 0.95
 
 
+@pytest.mark.parametrize("name,kind,target", [
+    ("SVR", "regression", "y"), ("SVM", "classification", "side")])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_scores_of_kernel_models_hold_no_column_of_features(
+        spark, waves, name, kind, target, scaled):
+    rows = waves.withColumn("side", F.when(F.col("y") > 0, "up").otherwise("down"))
+    model = models.fit_all(rows, target, name, kind, ["a", "b"], scaled)
+    asked = rows.select(F.col("a").alias("_f0"), F.col("b").alias("_f1"))
+    found, staged = models.score(model.fitted, asked), model.fitted.transform(asked)
+    assert count_nodes(found, "ArrowEvalPython") == 1 and "zip_with" not in plan_text(found)
+    assert "features" not in found.columns and "_judged" not in found.columns
+    for got, want in zip(found.collect(), staged.select(*found.columns).collect()):
+        assert got.prediction == pytest.approx(want.prediction, rel=1e-9, abs=1e-9)
+        if kind == "classification":
+            assert got._probability == pytest.approx(want._probability, rel=1e-9)
+    assert models.score(model.fitted, asked.limit(0)).collect() == []
+
+
+def test_kernel_moments_come_from_counted_rows(spark, waves):
+    data = split.prepare(waves.unionByName(waves).unionByName(waves), "y", "regression", ["a", "b"])
+    table = models._tree_table(data, data.rows, 3)
+    assert table.n < data.rows.count()
+    counted = gram.moments_by_part(table.frame, data.inputs, F.col("_part"), F.col("_count"))
+    each = gram.moments_by_part(data.rows, data.inputs, split.fold_of(3) * 2)
+    assert counted.keys() == each.keys()
+    for part, found in counted.items():
+        assert found.n == each[part].n
+        for a, b in zip(found.centred(), each[part].centred()):
+            assert np.allclose(a + (found.middle if a.ndim == 1 else 0),
+                               b + (each[part].middle if b.ndim == 1 else 0), rtol=1e-9, atol=1e-7)
+
+
 def test_random_features_approach_the_kernel():
     x = np.random.default_rng(0).normal(size=(20, 3))
     z = random_features(3, 20_000, 0.3, 1)(x)

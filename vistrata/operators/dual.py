@@ -35,7 +35,7 @@ from pyspark.ml.param.shared import HasInputCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from vistrata.operators.kernel import random_features
+from vistrata.operators.kernel import RandomFourierFeatures, random_features
 from vistrata.operators.trees import Rows, Table, Unit, frame_score, scramble, weighted_score
 from vistrata.plans.session import materialise
 
@@ -72,6 +72,12 @@ class LinearScore(Transformer, HasInputCol, HasPredictionCol, DefaultParamsReada
         total = F.aggregate(products, F.lit(self.getOrDefault(self.intercept)), lambda a, b: a + b)
         return dataset.withColumn(self.getPredictionCol(), total)
 
+    def judge(self):
+        """What finds predictions from an array of vectors."""
+        weights = np.array(self.getOrDefault(self.weights))
+        intercept = self.getOrDefault(self.intercept)
+        return lambda x: (x @ weights + intercept, None)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -377,23 +383,41 @@ class PairScore(Transformer, HasInputCol, HasPredictionCol, DefaultParamsReadabl
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def judge(self):
+        """What finds class codes and probabilities from an array of vectors."""
         k = self.getOrDefault(self.classes)
         sigmoids = np.array(self.getOrDefault(self.sigmoids)).reshape(-1, 2)
         weights = np.array(self.getOrDefault(self.weights)).reshape(len(sigmoids), -1)
-        model = PairModel(None, k, weights, sigmoids)
-
-        @F.pandas_udf("prediction double, shares array<double>")
-        def judge(vectors: pd.Series) -> pd.DataFrame:
-            if not len(vectors):
-                return pd.DataFrame({"prediction": [], "shares": []})
-            codes, shares = model.judge(np.stack(vectors.to_numpy()))
-            return pd.DataFrame({"prediction": codes.astype(float), "shares": list(shares)})
-
-        judged = dataset.withColumn("_judged", judge(vector_to_array(F.col(self.getInputCol()))))
-        return judged.withColumns({
-            self.getPredictionCol(): F.col("_judged.prediction"),
-            "_probability": F.col("_judged.shares")}).drop("_judged")
+        return PairModel(None, k, weights, sigmoids).judge
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return _judged(dataset, self.getInputCol(), self, lambda x: x)
+
+
+def _judged(dataset: DataFrame, column: str, scorer: LinearScore | PairScore, lift_of) -> DataFrame:
+    """The prediction, and ``_probability`` of classes, of the lifted vectors of a column."""
+    judge, classes = scorer.judge(), isinstance(scorer, PairScore)
+
+    @F.pandas_udf("prediction double" + (", shares array<double>" if classes else ""))
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for vectors in batches:
+            found, shares = np.zeros(0), np.zeros((0, 1))
+            if len(vectors):
+                found, shares = judge(lift_of(np.stack(vectors.to_numpy())))
+            out = pd.DataFrame({"prediction": np.asarray(found, float)})
+            yield out.assign(shares=list(shares)) if classes else out
+
+    judged = dataset.withColumn("_judged", apply(vector_to_array(F.col(column))))
+    names = {scorer.getPredictionCol(): F.col("_judged.prediction")}
+    if classes:
+        names["_probability"] = F.col("_judged.shares")
+    return judged.withColumns(names).drop("_judged")
+
+
+def score_lifted(dataset: DataFrame, features: RandomFourierFeatures,
+                 scorer: LinearScore | PairScore) -> DataFrame:
+    """As both stages one after the other, whose random features stay in the task."""
+    return _judged(dataset, features.getInputCol(), scorer, features.lift())
 
 
 def _bucket(row: np.ndarray) -> np.ndarray:

@@ -48,8 +48,12 @@ class Moments:
         return means, self.gram[1:, 1:] - self.gram[0, 0] * np.outer(means, means)
 
 
-def moments_by_part(rows: DataFrame, inputs: list[str], part: Column) -> dict[int, Moments]:
-    """The moments of every part of the rows, from one scan; rows hold no missing values."""
+def moments_by_part(rows: DataFrame, inputs: list[str], part: Column,
+                    count: Column | None = None) -> dict[int, Moments]:
+    """The moments of every part of the rows, from one scan; rows hold no missing values.
+
+    A row stands for ``count`` equal ones.
+    """
     names = [*inputs, "label"]
     middle = rows.select(*names).limit(MIDDLE_ROWS).agg(*[F.avg(c) for c in names]).first()
     middle = np.array([m or 0.0 for m in middle], float)
@@ -58,16 +62,18 @@ def moments_by_part(rows: DataFrame, inputs: list[str], part: Column) -> dict[in
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             z = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(float) - middle])
-            parts = batch["_part"].to_numpy()
+            parts, counts = batch["_part"].to_numpy(), batch["_count"].to_numpy(float)
             for p in np.unique(parts):
-                own = z[parts == p]
-                sums[int(p)] = sums.get(int(p), 0.0) + own.T @ own
+                own, n = z[parts == p], counts[parts == p]
+                sums[int(p)] = sums.get(int(p), 0.0) + own.T @ (own * n[:, None])
         if sums:
             keys = [(p, i) for p, g in sums.items() for i in range(len(g))]
             yield pd.DataFrame({"part": [k[0] for k in keys], "row": [k[1] for k in keys],
                                 "sums": [sums[p][i].tobytes() for p, i in keys]})
 
-    sent = rows.select(*names, part.cast("long").alias("_part")).mapInPandas(
+    count = F.lit(1) if count is None else count
+    sent = rows.select(
+        *names, part.cast("long").alias("_part"), count.alias("_count")).mapInPandas(
         products, "part long, row long, sums binary")
     size = len(names) + 1
     out: dict[int, Moments] = {}

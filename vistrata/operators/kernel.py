@@ -40,20 +40,28 @@ class RandomFourierFeatures(
         self._setDefault(size=256, gamma=1.0)
         self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def lift(self):
+        """What makes random features of an array of vectors; drawn once for a task."""
         size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
+        drawn = []
+
+        def to_features(x: np.ndarray) -> np.ndarray:
+            if not drawn:
+                drawn.append(random_features(x.shape[1], size, gamma, seed))
+            return drawn[0](x)
+
+        return to_features
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        to_features = self.lift()
 
         @F.pandas_udf("array<double>")
         def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            to_features = None
             for vectors in batches:
                 if not len(vectors):
                     yield pd.Series([], dtype=object)
                     continue
-                x = np.stack(vectors.to_numpy())
-                # Drawn once for a task.
-                to_features = to_features or random_features(x.shape[1], size, gamma, seed)
-                yield pd.Series(list(to_features(x)))
+                yield pd.Series(list(to_features(np.stack(vectors.to_numpy()))))
 
         lifted = lift(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(lifted))

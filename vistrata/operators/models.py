@@ -211,8 +211,16 @@ class TrainedModel:
 
 
 def score(fitted: PipelineModel | NeighbourModel | trees.GrownModel, df: DataFrame) -> DataFrame:
-    """Apply a fitted model; ``_probability`` is an array where the model has one."""
-    scored = fitted.transform(df)
+    """Apply a fitted model; ``_probability`` is an array where the model has one.
+
+    The random features of a kernel model are not made columns on the way.
+    """
+    if isinstance(fitted, PipelineModel) and len(fitted.stages) > 1 and isinstance(
+            fitted.stages[-2], RandomFourierFeatures):
+        lifted = PipelineModel(fitted.stages[:-2]).transform(df)
+        scored = dual.score_lifted(lifted, *fitted.stages[-2:])
+    else:
+        scored = fitted.transform(df)
     if "probability" in scored.columns:
         scored = scored.withColumn("_probability", vector_to_array("probability"))
     internal = ["raw_features", "scaled_features", "features", "rawPrediction", "probability",
@@ -344,7 +352,8 @@ def _support_vectors(data: Prepared, rows: DataFrame, folds: int, scaled: bool,
     table = _tree_table(data, rows, folds)
     key = ("moments by part", folds, "_test" in rows.columns)
     if key not in data.shared:
-        data.shared[key] = gram.moments_by_part(table.marked, data.inputs, F.col("_part"))
+        data.shared[key] = gram.moments_by_part(
+            table.frame, data.inputs, F.col("_part"), F.col("_count"))
     moments = data.shared[key]
 
     def fit_of(learn: frozenset, scored: frozenset | None):
@@ -375,7 +384,6 @@ def _tree_table(data: Prepared, rows: DataFrame, folds: int) -> trees.Table:
         fold = fold_of(folds) if folds >= 2 else F.lit(0)
         marked = rows.withColumn("_part", fold * 2 + test)
         data.shared[key] = trees.Table.of(marked, data.inputs, _class_count(data))
-        data.shared[key].marked = marked
     return data.shared[key]
 
 

@@ -357,8 +357,6 @@ class Table:
     edges: list[np.ndarray] | None = None
     # All values of the features that are cut between any two of them, else None.
     values_of: list[np.ndarray | None] = field(default_factory=list)
-    # The rows that the distinct ones came from, with their part.
-    marked: DataFrame | None = None
 
     @classmethod
     def of(cls, rows: DataFrame, inputs: list[str], classes: int) -> Table:
