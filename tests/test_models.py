@@ -1,4 +1,6 @@
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vistrata.operators import chartdata, models, split
+from vistrata.plans.inspect import plan_text
 from vistrata.plans.session import scratch_path
 from vistrata.sources import modelstore
 
@@ -302,3 +305,18 @@ class TestRepeatedRows:
             VectorAssembler(inputCols=data.inputs, outputCol="features").transform(data.rows))
         assert found.coefficients.toArray() == pytest.approx(plain.coefficients.toArray(), rel=1e-3)
         assert found.intercept == pytest.approx(plain.intercept, rel=1e-3)
+
+
+def test_keys_of_copies_share_the_text_of_their_values(spark):
+    rows = [(1.5, "a")] * 3 + [(None, "b")] * 2 + [(None, None)] * 2 + [(2.0, "")]
+    df = spark.createDataFrame(rows, "x double, s string")
+    groups = df.groupBy("x", "s").agg(F.count("*").alias("_copies"))
+    keyed = split._written_out(groups, ["x", "s"])
+    # Made before the copies are, once for all of them.
+    assert "_text" in plan_text(keyed).split("Generate")[-1]
+    want = []
+    for (x, s), n in Counter(rows).items():
+        for i in range(1, n + 1):
+            text = "|".join(str(v) for v in (x, s, i) if v is not None)
+            want.append((x, s, int(hashlib.md5(text.encode()).hexdigest()[:15], 16)))
+    assert Counter(map(tuple, keyed.collect())) == Counter(want)

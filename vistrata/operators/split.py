@@ -122,9 +122,13 @@ def _written_out(groups: DataFrame, names: list[str]) -> DataFrame:
     first = F.col("_block") * COPIES_PER_TASK + 1
     n = groups.agg(F.sum("_copies")).first()[0] or 0
     dealt = blocks.repartition(max(1, -(-n // ROWS_PER_TASK)), *names, "_block")
-    each = dealt.withColumn("_copy", F.explode(F.sequence(
+    # The text of the values is made once for all copies; it is null where all of them are.
+    values = [F.col(c).cast("string") for c in names]
+    texts = dealt.withColumn(
+        "_text", F.when(F.coalesce(*values).isNotNull(), F.concat_ws("|", *values)))
+    each = texts.withColumn("_copy", F.explode(F.sequence(
         first, F.least(first + (COPIES_PER_TASK - 1), F.col("_copies")))))
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in [*names, "_copy"]])
+    text = F.concat_ws("|", "_text", F.col("_copy").cast("string"))
     return each.select(*names, _digits(text, _KEY_DIGITS).alias("_row"))
 
 
