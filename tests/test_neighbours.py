@@ -157,6 +157,68 @@ def test_tiles_where_bounds_rule_out_little(spark, monkeypatch, part):
     assert (found["id"].to_numpy().reshape(900, 5) == want).all()
 
 
+def test_rows_are_not_divided_where_the_first_level_rules_out_little(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 40)
+    monkeypatch.setattr(knn, "PROBED_ROWS", 100)
+    monkeypatch.setattr(knn, "TILE_ROWS", 400)
+    divided, divide = [], knn._divide
+    monkeypatch.setattr(knn, "_divide", lambda *a: divided.append(1) or divide(*a))
+    rng = np.random.default_rng(14)
+    x, q = rng.normal(size=(1_000, 24)), rng.normal(size=(60, 24))
+    found = knn.nearest_neighbours(
+        frame(spark, x, label=np.zeros(1_000)), frame(spark, q, "qid"), 3).toPandas()
+    assert found_ids(found, 60) == brute(x, q, 3) and not divided
+    # Along a line the bounds rule out nearly all, in many columns, too.
+    line = np.linspace(0, 1, 1_000)[:, None] * np.ones(24)
+    monkeypatch.setattr(knn, "VISIT_ROWS", 100)
+    found = knn.nearest_neighbours(
+        frame(spark, line, label=np.zeros(1_000)), frame(spark, line[::20], "qid"), 3).toPandas()
+    assert found_ids(found, 50) == brute(line, line[::20], 3) and divided
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-6, 1e25])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_nearest_rows_of_a_tile(monkeypatch, spread, parts):
+    """Ties, distances that single precision cannot tell apart or hold, few rows at a time."""
+    monkeypatch.setattr(knn, "PANEL_ROWS", 70)
+    monkeypatch.setattr(knn, "PANEL_QUERIES", 30)
+    monkeypatch.setattr(knn, "CANDIDATES", 50)
+    monkeypatch.setattr(knn, "MANY", 8)
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 4, (500, 6)) * spread + rng.integers(0, 2, (500, 1)) * 1_000.0
+    ids, part = rng.permutation(500), rng.integers(0, parts, 500)
+    q, own = x[:90], part[:90] if parts > 1 else np.full(90, 7)
+    nearest = knn._Nearest((np.arange(90), q, np.zeros(90), own), 4, 9)
+    for first in range(0, 500, 110):
+        some = slice(first, first + 110)
+        nearest.meet((ids[some], x[some], ids[some] / 2, part[some]))
+    found = nearest.found()
+    order = np.argsort(ids)
+    d = np.round(np.sqrt(((q[:, None] - x[order][None]) ** 2).sum(axis=2)), 9)
+    d[own[:, None] == part[order][None]] = np.inf
+    want = np.array([np.lexsort((np.arange(500), row))[:4] for row in d])
+    assert (found["id"].to_numpy(np.int64).reshape(90, 4) == want).all()
+    assert (found["label"] == found["id"] / 2).all()
+    assert (found["distance"].to_numpy().reshape(90, 4) == np.take_along_axis(d, want, 1)).all()
+
+
+def test_packed_rows_come_back(spark):
+    """Doubles that floats cannot hold, missing labels and keys; what is no number leaves."""
+    for x in (np.arange(12.0).reshape(4, 3), np.arange(12.0).reshape(4, 3) / 3):
+        x[3, 1] = np.nan
+        keys, labels = [5, None, 2**60 + 1, 7], [1.0, 2.0, None, 3.0]
+        rows = spark.createDataFrame(
+            [(k, v.tolist(), y, 0) for k, v, y in zip(keys, x, labels)],
+            "key long, vec array<double>, label double, part long")
+        got = {}
+        for piece in knn._packed(rows, 2).toPandas().itertuples(index=False):
+            for key, v, y, part in zip(*knn._unpacked(*piece[1:], 3)):
+                got[int(key)] = (v.tolist(), y, part)
+        assert got.keys() == {5, knn.NO_KEY, 2**60 + 1} and np.isnan(got[2**60 + 1][1])
+        assert [got[k][0] for k in (5, knn.NO_KEY, 2**60 + 1)] == x[:3].tolist()
+        assert got[5][1:] == (1.0, 0)
+
+
 def test_no_piece_holds_all_children_of_many_queries():
     """Queries that go into every child leave piece by piece."""
     rng = np.random.default_rng(12)

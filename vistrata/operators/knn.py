@@ -16,8 +16,10 @@ queries. Of equal vectors only the k smallest ids can be neighbours, so the othe
 first; equal queries are asked once.
 
 Between many independent columns the bounds rule out little, and every query would go into
-most cells. Some queries are asked first; if they go into more cells than the rows have
-tiles, all queries meet all tiles, large blocks of rows, instead.
+most cells. Some queries are asked first, after the first level and again in the last cells;
+if to go into their cells costs more than to meet all rows, all queries meet all tiles,
+large blocks of rows, instead. That is a matrix product in single precision whose candidates
+are measured exactly.
 """
 
 from __future__ import annotations
@@ -32,14 +34,22 @@ from vistrata.plans.session import materialise
 
 # Rows of a cell that is not divided any more, and queries that meet a cell in one task.
 CELL_ROWS, BLOCK_ROWS = 400, 4_000
-# Rows of a tile, and queries that meet it in one task, where bounds rule out little.
-TILE_ROWS = 20_000
-# Queries that tell how many cells a query goes into, and rows from which on they are asked.
+# Rows of a tile, where bounds rule out little (and at most their bytes); a quarter as many
+# queries meet it in one task, or fewer, so that there are some blocks of them.
+TILE_ROWS, TILE_BYTES, LEAST_BLOCKS = 100_000, 64_000_000, 16
+# Queries and rows whose products are made at once, and candidates for a query among them
+# that are too many for single precision.
+PANEL_QUERIES, PANEL_ROWS, MANY = 256, 2_048, 64
+# Queries that tell how many cells a query goes into, and rows from which on they are asked;
+# columns from which on they are asked after the first level, too, and rows they meet there.
 PROBES, PROBED_ROWS = 500, 10_000
+PROBED_COLUMNS, HOME_ROWS = 8, 5_000
+# Rows of a tile that cost a query as much as going into a cell.
+VISIT_ROWS = 10_000
 # Pivots drawn in a cell. The root is cell 0, others are named by a hash of their path.
 FANOUT = 256
 # Rows of a cell that one task sends down a level.
-STREAM_ROWS = 50_000
+STREAM_ROWS = 10_000
 DISTANCE_DIGITS = 9
 # Candidates whose distances are measured at once.
 CANDIDATES = 20_000
@@ -199,35 +209,45 @@ def _choose_pivots(rows: DataFrame, parents: DataFrame, wanted: int | None = Non
         "cell", F.xxhash64("parent", number)).select("parent", "cell", "pivot")
 
 
-def _divide(train: DataFrame, pivots: int | None, metric: str
-            ) -> tuple[DataFrame, list[DataFrame]]:
-    """The training rows with their last cell, and the children of each level."""
+def _next_level(rows: DataFrame, parents: DataFrame, most: int, pivots: int | None, metric: str
+                ) -> tuple[DataFrame, DataFrame]:
+    """The rows of crowded cells in their next cells, and these cells."""
     schema = "key long, vec array<double>, label double, part long, cell long, to_pivot double"
+    chosen = materialise(_choose_pivots(rows, parents, pivots), "knn-pivots")
+    children = chosen.withColumns({
+        "n": F.lit(0).cast("long"), "radius": F.lit(0.0),
+        "low": F.lit(None).cast("array<double>"), "high": F.lit(None).cast("array<double>")})
+    crowded = rows.join(parents.select("cell"), "cell", "left_semi")
+    moved = materialise(_meet(
+        crowded.select(*[c.split()[0] for c in schema.split(", ")]), children, most, schema,
+        _to_nearest(schema, metric)), "knn-cells")
+    return moved, materialise(_summaries(moved, chosen), "knn-children")
+
+
+def _first_level(train: DataFrame, pivots: int | None, metric: str) -> tuple[DataFrame, DataFrame]:
     rows = train.withColumn("to_pivot", F.lit(0.0))
     parents = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    done, levels = [], []
     most = parents.agg(F.max("n")).first()[0]
+    return _next_level(rows, parents, most, pivots, metric)
+
+
+def _divide(train: DataFrame, pivots: int | None, metric: str,
+            begun: tuple[DataFrame, DataFrame] | None = None
+            ) -> tuple[DataFrame, list[DataFrame]]:
+    """The training rows with their last cell, and the children of each level."""
+    moved, cells = begun or _first_level(train, pivots, metric)
+    done, levels = [], [cells]
     while True:
-        chosen = materialise(_choose_pivots(rows, parents, None if levels else pivots), "knn-pivots")
-        children = chosen.withColumns({
-            "n": F.lit(0).cast("long"), "radius": F.lit(0.0),
-            "low": F.lit(None).cast("array<double>"), "high": F.lit(None).cast("array<double>")})
-        crowded = rows.join(parents.select("cell"), "cell", "left_semi") if levels else rows
-        moved = materialise(_meet(
-            crowded.select(*[c.split()[0] for c in schema.split(", ")]), children, most, schema,
-            _to_nearest(schema, metric)), "knn-cells")
-        cells = materialise(_summaries(moved, chosen), "knn-children")
-        levels.append(cells)
         # Cells of equal vectors stay as they are; they have k rows for each part at most.
         apart = F.exists(F.arrays_zip("low", "high"), lambda z: z["low"] < z["high"])
         parents = cells.filter((F.col("n") > CELL_ROWS) & apart).select("cell", "n")
-        rows = moved
-        more = parents.agg(F.max("n")).first()[0]
-        if more is None:
+        most = parents.agg(F.max("n")).first()[0]
+        if most is None:
             done.append(moved)
             break
         done.append(moved.join(parents.select("cell"), "cell", "left_anti"))
-        most = more
+        moved, cells = _next_level(moved, parents, most, None, metric)
+        levels.append(cells)
     leaves = done[0]
     for part in done[1:]:
         leaves = leaves.unionByName(part)
@@ -371,78 +391,233 @@ def _search_block(k: int, metric: str, digits: int | None):
 FOUND = "qid long, id long, label double, distance double"
 
 
-def _many_cells(bounded: DataFrame, levels: list[DataFrame], tiles: int, slack: float) -> bool:
-    """Whether a query goes into more cells than there are tiles, judged by some queries."""
-    share = max(1, bounded.count() // PROBES)
-    probes = materialise(
-        bounded.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), "knn-probes")
+def _some(queries: DataFrame) -> DataFrame:
+    """Queries that tell how many cells a query goes into."""
+    share = max(1, queries.count() // PROBES)
+    return materialise(
+        queries.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), "knn-probes")
+
+
+def _bounded(first: DataFrame, at_home: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """``QUERY``: the k-th distance at home; without k rows there any distance may count."""
+    bounds = first.groupBy(F.col("qid").alias("key")).agg(
+        F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
+    return at_home.join(bounds, "key", "left").join(groups, "key").select(
+        "key", "vec", "part", F.col("cell").alias("home"),
+        F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound"),
+        F.col("first_cell").alias("cell"))
+
+
+def _many_cells(bounded: DataFrame, levels: list[DataFrame], n_rows: int, slack: float) -> bool:
+    """Whether meeting all tiles costs a query less than the cells it goes into."""
+    probes = _some(bounded)
     cells = _down_within(probes, levels, "euclidean", slack).count()
-    return cells > tiles * probes.count()
+    return cells * VISIT_ROWS > n_rows * probes.count()
 
 
-def _search_tile(k: int, digits: int | None):
-    """The k nearest rows of a tile within the bound of each query of a block."""
+def _many_children(asked: DataFrame, begun: tuple[DataFrame, DataFrame], k: int, n_rows: int,
+                   block_rows: int, search, slack: float) -> bool:
+    """The same, foreseen from the first level: also true of queries that go into most of it."""
+    moved, cells = begun
+    probes = _some(asked)
+    at_home = materialise(_down_home(probes, [cells], "euclidean"), "knn-queries")
+    # The distance to some rows at home bounds the k-th, too.
+    share = F.ceil(F.col("n") / F.lit(HOME_ROWS))
+    rows = moved.join(cells.select("cell", share.alias("share")), "cell").filter(
+        F.pmod(F.xxhash64("key"), F.col("share")) == 0).drop("share")
+    groups = probes.select("key", F.col("cell").alias("first_cell"))
+    first = materialise(_search(rows, at_home, block_rows, search), "knn-near")
+    bounded = materialise(_bounded(first, at_home, groups, k), "knn-bounded")
+    met = _down_within(bounded, [cells], "euclidean", slack).count()
+    return met > min(n_rows / VISIT_ROWS, cells.count() / 2) * probes.count()
 
-    def search(train: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(train) and len(queries):
-            x, q = _vectors(train["vec"]), _vectors(queries["vec"])
-            ids, labels = train["key"].to_numpy(), train["label"].to_numpy()
-            parts, own = train["part"].to_numpy(), queries["part"].to_numpy()
-            qids, bound = queries["key"].to_numpy(), queries["bound"].to_numpy(float)
-            middle = x.mean(axis=0)
-            a, b = x - middle, q - middle
-            xx, qq = (a * a).sum(1), (b * b).sum(1)
-            # Rough squares choose candidates, with room for their rounding; those are
-            # measured exactly.
-            room = (qq + xx.max()) * 1e-9 + 1e-9
-            most = np.where(np.isfinite(bound), (bound + 1e-8) ** 2 + room, np.inf)
-            apart = len(np.intersect1d(parts, own)) > 0
-            for start in range(0, len(q), 128):
-                some = slice(start, start + 128)
-                rough = qq[some, None] + xx[None, :] - 2.0 * b[some] @ a.T
-                if apart:
-                    rough[parts[None, :] == own[some, None]] = np.inf
-                for i, square in enumerate(rough, start):
-                    near = np.flatnonzero((square <= most[i]) & (square < np.inf))
-                    if len(near) > k:
-                        border = np.partition(square[near], k - 1)[k - 1] + room[i]
-                        near = near[square[near] <= border]
-                    gap = x[near] - q[i]
-                    exact = np.sqrt((gap * gap).sum(1))
-                    exact = exact if digits is None else np.round(exact, digits)
-                    best = near[order := np.lexsort((ids[near], exact))[:k]]
-                    found.append((np.full(len(best), qids[i]), ids[best], labels[best],
-                                  exact[order]))
-        columns = ["qid", "id", "label", "distance"]
-        if not found:
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame({c: np.concatenate(part) for c, part in zip(columns, zip(*found))})
 
-    return search
+# They stand for missing keys and parts among numbers.
+NO_KEY, NO_PART = 2**63 - 1, -2**63
+PACKED = "at int, n int, keys binary, vecs binary, labels binary, parts binary"
 
 
-def _search_tiles(rows: DataFrame, bounded: DataFrame, k: int, n_rows: int, digits: int | None
-                  ) -> DataFrame:
-    """The nearest rows in every tile for every query: each pair of blocks is a task."""
-    tiles = -(-n_rows // TILE_ROWS)
-    blocks = max(1, -(-bounded.count() // TILE_ROWS))
+def _packed(rows: DataFrame, shares: int) -> DataFrame:
+    """The rows dealt into ``shares``, many to a row of ``PACKED``.
 
-    def dealt(n: int) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    Values that floats hold without loss are packed as floats.
+    """
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, part in batch.groupby("at"):
+                x = _vectors(part["vec"])
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                yield pd.DataFrame({
+                    "at": [at], "n": [len(part)],
+                    "keys": [part["key"].to_numpy(np.int64).tobytes()],
+                    "vecs": [(short if (short == x).all() else x).tobytes()],
+                    "labels": [part["label"].to_numpy(float).tobytes()],
+                    "parts": [part["part"].to_numpy(np.int64).tobytes()]})
+
+    dealt = F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int")
+    # Several tasks pack a share: each writes out all copies of what it packs.
+    return rows.select(
+        dealt.alias("at"), F.pmod(F.hash("key"), F.lit(4)).alias("salt"),
+        F.coalesce("key", F.lit(NO_KEY)).alias("key"), "vec", "label",
+        F.coalesce("part", F.lit(NO_PART)).alias("part")).repartition(
+        4 * shares, "at", "salt").mapInPandas(pack, PACKED)
+
+
+def _unpacked(n: int, keys: bytes, vecs: bytes, labels: bytes, parts: bytes, columns: int
+              ) -> tuple[np.ndarray, ...]:
+    """Keys, vectors, labels and parts; rows that are not numbers are near to none."""
+    x = np.frombuffer(vecs, float if len(vecs) == 8 * n * columns else np.float32)
+    x = x.reshape(n, columns).astype(float)
+    kept = np.isfinite(x).all(axis=1)
+    return (np.frombuffer(keys, np.int64)[kept], x[kept],
+            np.frombuffer(labels, float)[kept], np.frombuffer(parts, np.int64)[kept])
+
+
+class _Nearest:
+    """The k nearest rows, among those met so far, of each query of a block.
+
+    Rough products in single precision, with room for their rounding, choose candidates
+    within the k-th distance so far; those are measured exactly. Where that room lets too
+    many pass, the products are made in double precision.
+    """
+
+    def __init__(self, queries: tuple[np.ndarray, ...], k: int, digits: int | None) -> None:
+        self.keys, self.x, _, self.parts = queries
+        self.k, self.digits = k, digits
+        self.step = 1e-8 if digits is None else max(1e-8, 10.0 ** -digits)
+        n = len(self.x)
+        self.middle = self.x.mean(axis=0)
+        b = self.x - self.middle
+        self.square = (b * b).sum(axis=1)
+        self.wide = np.hstack([b, np.ones((n, 1))])
+        with np.errstate(over="ignore"):
+            self.narrow = self.wide.astype(np.float32)
+        # One place for all products: fresh memory costs as much as they do.
+        self.products = np.empty(PANEL_QUERIES * PANEL_ROWS, np.float32)
+        self.far = np.full((n, k), np.inf)
+        self.ids = np.full((n, k), NO_KEY)
+        self.labels = np.zeros((n, k))
+
+    def meet(self, rows: tuple[np.ndarray, ...]) -> None:
+        for first in range(0, len(rows[0]), PANEL_ROWS):
+            self._panel(*[v[first:first + PANEL_ROWS] for v in rows])
+
+    def _panel(self, ids: np.ndarray, x: np.ndarray, labels: np.ndarray, parts: np.ndarray
+               ) -> None:
+        a = x - self.middle
+        square = (a * a).sum(axis=1)
+        # The product of both is the less, the farther a row is: (|b|^2 - |b - a|^2) / 2.
+        wide = np.hstack([a, -square[:, None] / 2])
+        size = self.square + square.max()
+        single = size.max() < 1e30
+        narrow = wide.astype(np.float32) if single else wide
+        shared = np.intersect1d(parts, self.parts)
+        for first in range(0, len(self.x), PANEL_QUERIES):
+            some = slice(first, first + PANEL_QUERIES)
+            apart = parts[None, :] != self.parts[some, None] if len(shared) else None
+            near = None
+            if single:
+                room = size[some] * (x.shape[1] + 16) * 2.0**-23 + 1e-9
+                product = self.products[:len(room) * len(x)].reshape(len(room), len(x))
+                np.matmul(self.narrow[some], narrow.T, out=product)
+                near = self._candidates(product, some, room, apart)
+            if near is None or len(near) > MANY * len(self.x[some]):
+                near = self._candidates(
+                    self.wide[some] @ wide.T, some, size[some] * 1e-9 + 1e-9, apart)
+            i, j = np.divmod(near, len(x))
+            most = max(1, 64 * CANDIDATES // x.shape[1])
+            for start in range(0, len(near), most):
+                part = slice(start, start + most)
+                self._take(first + i[part], ids[j[part]], x[j[part]], labels[j[part]])
+
+    def _candidates(self, product: np.ndarray, some: slice, room: np.ndarray,
+                    apart: np.ndarray | None) -> np.ndarray:
+        """Places in ``product`` of the pairs that may be among the k nearest."""
+        far, square = self.far[some, -1].copy(), self.square[some]
+        if apart is not None:
+            product[~apart] = -np.inf
+        new = np.flatnonzero(np.isinf(far))
+        if len(new) and product.shape[1] >= self.k:
+            place = product.shape[1] - self.k
+            border = np.partition(product[new], place, axis=1)[:, place]
+            far[new] = np.sqrt(np.maximum(square[new] - 2 * (border - room[new]), 0.0))
+        least = (square - (far + self.step) ** 2) / 2 - room
+        least = np.maximum(least, np.finfo(product.dtype).min)
+        return np.flatnonzero(product >= least.astype(product.dtype)[:, None])
+
+    def _take(self, i: np.ndarray, ids: np.ndarray, x: np.ndarray, labels: np.ndarray) -> None:
+        gap = x - self.x[i]
+        exact = np.sqrt((gap * gap).sum(axis=1))
+        exact = exact if self.digits is None else np.round(exact, self.digits)
+        last = self.far[i, -1]
+        kept = (exact < last) | ((exact == last) & (ids < self.ids[i, -1]))
+        i, exact, ids, labels = i[kept], exact[kept], ids[kept], labels[kept]
+        if not len(i):
+            return
+        own = i[np.concatenate(([True], i[1:] != i[:-1]))]
+        i = np.concatenate([np.repeat(own, self.k), i])
+        exact = np.concatenate([self.far[own].ravel(), exact])
+        ids = np.concatenate([self.ids[own].ravel(), ids])
+        labels = np.concatenate([self.labels[own].ravel(), labels])
+        order = np.lexsort((ids, exact, i))
+        place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+        best = order[place < self.k]
+        self.far[own] = exact[best].reshape(-1, self.k)
+        self.ids[own] = ids[best].reshape(-1, self.k)
+        self.labels[own] = labels[best].reshape(-1, self.k)
+
+    def found(self) -> pd.DataFrame:
+        query, place = np.nonzero(np.isfinite(self.far))
+        return pd.DataFrame({
+            "qid": self.keys[query], "id": pd.Series(self.ids[query, place]).astype(
+                "Int64").where(self.ids[query, place] != NO_KEY),
+            "label": self.labels[query, place], "distance": self.far[query, place]})
+
+
+def _search_tiles(rows: DataFrame, asked: DataFrame, k: int, n_rows: int, columns: int,
+                  digits: int | None) -> DataFrame:
+    """The nearest rows in every tile for every query: each tile and block is a task.
+
+    The queries of a block are held, the rows of the tile pass by, both packed.
+    """
+    most = max(1, min(TILE_ROWS, TILE_BYTES // (8 * columns)))
+    n_asked = asked.count()
+    tiles, blocks = -(-n_rows // most), max(min(n_asked, LEAST_BLOCKS), -(-4 * n_asked // most))
+    names = [c.split()[0] for c in PACKED.split(", ")][1:]
 
     def everywhere(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = rows.select(dealt(tiles).alias("tile"), everywhere(blocks).alias("block"),
-                       "key", "vec", "label", "part")
-    right = bounded.select(everywhere(tiles).alias("tile"), dealt(blocks).alias("block"),
-                           "key", "vec", "part", "bound")
-    # A pair of blocks is little data and much work: Spark must not put several together.
-    tasks = 2 * tiles * blocks
-    return left.repartition(tasks, "tile", "block").groupBy("tile", "block").cogroup(
-        right.repartition(tasks, "tile", "block").groupBy("tile", "block")
-    ).applyInPandas(_search_tile(k, digits), FOUND)
+    left = _packed(asked.withColumn("label", F.lit(0.0)), blocks).select(
+        everywhere(tiles).alias("tile"), F.col("at").alias("block"), F.lit(0).alias("kind"), *names)
+    right = _packed(rows, tiles).select(
+        F.col("at").alias("tile"), everywhere(blocks).alias("block"), F.lit(1).alias("kind"),
+        *names)
+    # A tile and a block are little data and much work: Spark must not put several together.
+    both = left.unionByName(right).repartition(4 * tiles * blocks, "tile", "block")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, nearest = None, [], None
+        for batch in batches:
+            for piece in batch.itertuples(index=False):
+                if (piece.tile, piece.block) != at:
+                    if nearest is not None:
+                        yield nearest.found()
+                    at, held, nearest = (piece.tile, piece.block), [], None
+                values = _unpacked(*[getattr(piece, c) for c in names], columns)
+                if piece.kind == 0:
+                    held.append(values)
+                elif held and len(values[0]):
+                    if nearest is None:
+                        nearest = _Nearest(
+                            tuple(np.concatenate(v) for v in zip(*held)), k, digits)
+                        held = [()]
+                    nearest.meet(values)
+        if nearest is not None:
+            yield nearest.found()
+
+    return both.sortWithinPartitions("tile", "block", "kind").mapInPandas(stream, FOUND)
 
 
 def _search(leaves: DataFrame, queries: DataFrame, block_rows: int, search) -> DataFrame:
@@ -464,6 +639,11 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _of_members(best: DataFrame, members: DataFrame) -> DataFrame:
+    return members.join(best, F.col("first_key") == F.col("qid")).select(
+        F.col("key").alias("qid"), "id", "label", "distance", "rank")
+
+
 def nearest_neighbours(
     train: DataFrame,
     queries: DataFrame,
@@ -503,31 +683,29 @@ def nearest_neighbours(
     least = F.row_number().over(Window.partitionBy(*alike).orderBy("key"))
     rows = materialise(
         rows.withColumn("place", least).filter(F.col("place") <= k).drop("place"), "knn-rows")
-    leaves, levels = _divide(rows, pivots, metric)
-    once = asked.groupBy(*alike).agg(F.min("key").alias("first_key"))
+    n_rows = rows.count()
+    once = materialise(asked.groupBy(*alike).agg(F.min("key").alias("first_key")), "knn-once")
     members = materialise(asked.join(once, alike).select("key", "first_key"), "knn-asked")
     asked = once.select(F.col("first_key").alias("key"), "vec", "part", "cell")
+    tiled = metric == "euclidean" and group is None and n_rows > PROBED_ROWS
+    columns = rows.select(F.size("vec")).first()[0] if tiled else 0
+    begun = _first_level(rows, pivots, metric)
+    if tiled and columns >= PROBED_COLUMNS and _many_children(
+            asked, begun, k, n_rows, block_rows, search, slack):
+        best = _best(_search_tiles(rows, asked, k, n_rows, columns, digits), k)
+        return _of_members(best, members)
+    leaves, levels = _divide(rows, pivots, metric, begun)
     groups = asked.select("key", F.col("cell").alias("first_cell"))
     at_home = materialise(_down_home(asked, levels, metric), "knn-queries")
     first = materialise(_search(leaves, at_home, block_rows, search), "knn-near")
-    # The k-th distance at home; without k rows there any distance may count.
-    bounds = first.groupBy(F.col("qid").alias("key")).agg(
-        F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
-    bounded = at_home.join(bounds, "key", "left").join(groups, "key").select(
-        "key", "vec", "part", F.col("cell").alias("home"),
-        F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("bound"),
-        F.col("first_cell").alias("cell"))
-    bounded = materialise(bounded, "knn-bounded")
-    n_rows = leaves.count()
-    if (metric == "euclidean" and group is None and n_rows > PROBED_ROWS
-            and _many_cells(bounded, levels, -(-n_rows // TILE_ROWS), slack)):
-        best = _best(_search_tiles(leaves, bounded, k, n_rows, digits), k)
+    bounded = materialise(_bounded(first, at_home, groups, k), "knn-bounded")
+    if tiled and _many_cells(bounded, levels, n_rows, slack):
+        best = _best(_search_tiles(rows, asked, k, n_rows, columns, digits), k)
     else:
         routed = materialise(_down_within(bounded, levels, metric, slack), "knn-within")
         second = _search(leaves, routed, block_rows, search)
         best = _best(first.unionByName(second), k)
-    return members.join(best, F.col("first_key") == F.col("qid")).select(
-        F.col("key").alias("qid"), "id", "label", "distance", "rank")
+    return _of_members(best, members)
 
 
 def vote(neighbours: DataFrame) -> DataFrame:
